@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy pass covers; a longer document is a pass of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -77,23 +77,53 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = end
 
 
-def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by ``key``; a group may span batches."""
+def groups(batches: Iterable[pa.RecordBatch], key: str, limit: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Tables of whole groups from batches sorted by an integer ``key``; a group may span batches.
+
+    With ``limit``, a group of more rows than that comes in parts, as they arrive, each
+    alone in its table and marked True: it is never held whole.
+    """
     held: list[pa.RecordBatch] = []
+    large = None  # the key of a group that is being passed on in parts
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = batch.column(key).to_numpy(zero_copy_only=False)
-        if held and keys[-1] == held[-1].column(key)[0].as_py():
+        if large is not None:
+            same = int(np.searchsorted(keys, large, "right"))
+            if same:
+                yield pa.Table.from_batches([batch.slice(0, same)]), True
+            batch, keys = batch.slice(same), keys[same:]
+            if not len(keys):
+                continue
+            large = None
+        last = int(np.searchsorted(keys, keys[-1], "left"))  # where the open group starts
+        if held and last == 0 and held[0].column(key)[0].as_py() == keys[-1]:
             held.append(batch)
-            continue
-        cut = int(np.flatnonzero(keys[1:] != keys[:-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-        if cut or held:
-            first = [batch.slice(0, cut)] if cut else []
-            yield pa.Table.from_batches([*held, *first])
-        held = [batch.slice(cut)]
+        else:
+            done = [*held, batch.slice(0, last)] if last else held
+            if done:
+                yield from _parted(pa.Table.from_batches(done), key, limit)
+            held = [batch.slice(last)]
+        if limit is not None and sum(b.num_rows for b in held) > limit:
+            large = keys[-1]
+            yield pa.Table.from_batches(held), True
+            held = []
     if held:
-        yield pa.Table.from_batches(held)
+        yield from _parted(pa.Table.from_batches(held), key, limit)
+
+
+def _parted(table: pa.Table, key: str, limit: int | None) -> Iterator[tuple[pa.Table, bool]]:
+    """Groups over the limit apart from the others."""
+    edges = runs(table.column(key).to_numpy())
+    at = 0
+    for i in np.flatnonzero(np.diff(edges) > limit) if limit is not None else ():
+        if edges[i] > at:
+            yield table.slice(at, edges[i] - at), False
+        yield table.slice(edges[i], edges[i + 1] - edges[i]), True
+        at = edges[i + 1]
+    if at < table.num_rows:
+        yield table.slice(at), False
 
 
 def runs(values: np.ndarray) -> np.ndarray:
@@ -121,7 +151,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``length`` of each."""
-    size = 1 << max(22, int(length).bit_length())
+    size = 1 << max(21, int(length).bit_length())
     return _powers(size)
 
 
