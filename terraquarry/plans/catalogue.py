@@ -1,10 +1,363 @@
-"""The query catalogue: each entry applies library operators to whole tables."""
+"""The query catalogue: each entry applies library operators to whole tables, with its DuckDB form."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terraquarry.functions import scalars as S
+from terraquarry.operators import change, metrics, pairing, search, stats, tiling
+from terraquarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Pixels a row and a tile of the raster that ``events`` stands in for.
+WIDTH, PIXELS = 100, 10_000
+DOMAIN = ["F", "O", "P", "X"]
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function under its name, with its SQL."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(sql: str) -> str:
+    return f"floor(({sql}) * 1000000 + 0.5) / 1000000"
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: S.rounded(F.col(n)) for n in names})
+
+
+def first_vector(spark: SparkSession, sf_dir: str):
+    """The query vector, one row of one column, as a literal."""
+    row = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    return F.array(*(F.lit(float(x)) for x in (row[0] if row else [])))
+
+
+SCORE = r6("list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])")
+TOP = f"SELECT e.vec_id, {SCORE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+
+
+@query(f"{TOP} ORDER BY score DESC, vec_id LIMIT 10")
+def cosine_topk(spark, sf_dir):
+    return search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10).select("vec_id", "score")
+
+
+@query(f"{TOP} WHERE e.label = 3 AND e.vec_id >= 1 ORDER BY score DESC, vec_id LIMIT 10")
+def filtered_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where("label = 3 AND vec_id >= 1")
+    return search.top_k(rows, first_vector(spark, sf_dir), 10).select("vec_id", "score")
+
+
+ALL = f"""
+WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {SCORE} AS score, q.label = e.label AS is_rel
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scored)
+"""
+
+
+def _similar(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return search.search_all(rows.where("id % 50 = 0"), rows, 10)
+
+
+@query(ALL + "SELECT query_id, id, score, rank FROM ranked WHERE rank <= 10")
+def similar_tiles_all(spark, sf_dir):
+    return _similar(spark, sf_dir)
+
+
+@query(
+    ALL
+    + f""", tot AS (SELECT query_id, sum(is_rel::INT) AS n FROM ranked GROUP BY 1),
+hit AS (SELECT *, sum(is_rel::INT) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM ranked WHERE rank <= 10),
+per AS (SELECT query_id, sum(is_rel::INT) AS h, min(CASE WHEN is_rel THEN rank END) AS f,
+  sum(CASE WHEN is_rel THEN hits / rank ELSE 0 END) AS ap, sum(CASE WHEN is_rel THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM hit GROUP BY 1)
+SELECT {r6("avg(coalesce((f = 1)::INT, 0))")} AS recall_at_1, {r6("avg(coalesce(1.0::DOUBLE / f, 0))")} AS mrr,
+  {r6("avg(h / greatest(n, 1))")} AS recall_at_k, {r6("avg(h / 10.0::DOUBLE)")} AS precision_at_k,
+  {r6("avg(CASE WHEN n > 0 THEN ap / least(n, 10) END)")} AS map_at_k,
+  {r6("avg(CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, least(n, 10)::BIGINT + 1), lambda i: 1 / log2(i + 1))) END)")} AS ndcg_at_k
+FROM tot JOIN per USING (query_id)"""
+)
+def retrieval_metrics(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("n_rel"))
+    queries = labels.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    ranked = _similar(spark, sf_dir).join(queries, "query_id").join(labels.select(F.col("vec_id").alias("id"), "label"), "id")
+    ranked = ranked.select("query_id", "rank", (F.col("label") == F.col("q_label")).alias("is_rel"))
+    totals = queries.join(sizes, queries["q_label"] == sizes["label"]).select("query_id", "n_rel")
+    out = metrics.retrieval_metrics(ranked, totals, 10)
+    return rounded(out, *out.columns)
+
+
+NORM = "sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))"
+
+
+@query(f"SELECT {r6(f'min({NORM})')} AS min_norm, {r6(f'max({NORM})')} AS max_norm, count(*) FILTER (abs({NORM} - 1) > 0.002) AS n_bad FROM embeddings")
+def norm_check(spark, sf_dir):
+    n = table(spark, sf_dir, "embeddings").select(S.norm(F.col("embedding")).alias("n"))
+    return rounded(n.agg(F.min("n").alias("min_norm"), F.max("n").alias("max_norm"), F.count_if(F.abs(F.col("n") - 1) > 0.002).alias("n_bad")), "min_norm", "max_norm")
+
+
+EVENT_KEY = ["event_type", "user_id"]
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(*EVENT_KEY, F.col("event_id").alias("scene_id"), F.col("ts").alias("acquired"))
+
+
+@query(
+    """WITH pairs AS (SELECT a.event_type, a.user_id, a.event_id AS scene_id, b.event_id AS partner_id, epoch_us(b.ts) - epoch_us(a.ts) AS d
+  FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id = b.user_id AND a.ts <> b.ts)
+SELECT event_type, user_id, scene_id, partner_id, d / 1000000.0::DOUBLE AS delta_seconds FROM pairs
+QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY abs(d), d DESC, partner_id) = 1"""
+)
+def nearest_in_time(spark, sf_dir):
+    return pairing.nearest_in_time(_events(spark, sf_dir), EVENT_KEY)
+
+
+@query(
+    """SELECT a.o_custkey, a.o_orderkey AS reference_id, b.o_orderkey AS comparison_id, date_diff('second', a.o_orderdate, b.o_orderdate) / 86400.0::DOUBLE AS delta_days
+FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate < b.o_orderdate WHERE date_diff('second', a.o_orderdate, b.o_orderdate) / 86400.0::DOUBLE <= 90"""
+)
+def all_pairs(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("scene_id"), F.col("o_orderdate").alias("acquired"))
+    return pairing.all_pairs(orders, ["o_custkey"], max_days=90)
+
+
+@query(
+    """SELECT user_id, n_left, n_right FROM (SELECT user_id, count(*) AS n_left FROM events WHERE event_type = 'click' GROUP BY 1)
+JOIN (SELECT user_id, count(*) AS n_right FROM events WHERE event_type = 'view' GROUP BY 1) USING (user_id)"""
+)
+def scene_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return pairing.scene_pairs(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id"])
+
+
+@query(
+    """SELECT l_orderkey, min(l_quantity) AS west, min(l_extendedprice) AS south, max(l_quantity) AS east, max(l_extendedprice) AS north, count(*) AS n_tiles
+FROM lineitem GROUP BY 1"""
+)
+def scene_envelope(spark, sf_dir):
+    return pairing.scene_envelope(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", "l_extendedprice")
+
+
+def _boxes(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "CAST(p_size AS DOUBLE) AS west", "p_retailprice / 100D AS south", "p_size + 5D AS east", "p_retailprice / 100D + 4D AS north"
+    )
+
+
+BOXES = "SELECT p_partkey, p_size::DOUBLE AS west, p_retailprice / 100 AS south, p_size + 5.0::DOUBLE AS east, p_retailprice / 100 + 4 AS north FROM part"
+
+
+@query(f"SELECT p_partkey FROM ({BOXES}) WHERE west <= 25 AND east >= 10 AND south <= 14 AND north >= 11")
+def bbox_filter(spark, sf_dir):
+    return search.metadata_filter(_boxes(spark, sf_dir), bbox=(10, 11, 25, 14)).select("p_partkey")
+
+
+WIDE, HIGH = "(least(east, 25) - greatest(west, 10))", "(least(north, 14) - greatest(south, 11))"
+
+
+@query(
+    f"""SELECT p_partkey, {r6(f"CASE WHEN {WIDE} > 0 AND {HIGH} > 0 THEN {WIDE} * {HIGH} / ((east - west) * (north - south) + 45 - {WIDE} * {HIGH}) ELSE 0 END")} AS iou
+FROM ({BOXES})"""
+)
+def bbox_iou(spark, sf_dir):
+    mine, other = [F.col(c) for c in ("west", "south", "east", "north")], [F.lit(float(x)) for x in (10, 11, 25, 14)]
+    return _boxes(spark, sf_dir).select("p_partkey", S.rounded(S.box_iou(mine, other)).alias("iou"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts <= TIMESTAMP '2024-01-20 23:59:59.999999'")
+def date_range(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("acquired"))
+    return search.metadata_filter(rows, date_from="2024-01-02", date_to="2024-01-20").select("event_id")
+
+
+V = "CASE WHEN l_quantity <> 1 THEN l_quantity END"
+
+
+@query(
+    f"""SELECT l_returnflag, min({V}) AS min, max({V}) AS max, {r6(f"avg({V})")} AS mean, {r6(f"quantile_cont({V}, 0.01)")} AS p01, {r6(f"quantile_cont({V}, 0.5)")} AS p50,
+{r6(f"quantile_cont({V}, 0.99)")} AS p99, count({V}) AS n_valid, count(*) AS n_total, count(*) FILTER ({V} > 40) AS n_saturated FROM lineitem GROUP BY 1"""
+)
+def band_stats(spark, sf_dir):
+    out = stats.band_statistics(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", nodata=1, saturated=40)
+    return rounded(out, "mean", "p01", "p50", "p99")
+
+
+@query(
+    f"""WITH d AS (SELECT unnest(['F', 'O', 'P', 'X']) AS class), n AS (SELECT class, count(l_orderkey) AS n FROM d LEFT JOIN lineitem ON class = l_linestatus GROUP BY 1)
+SELECT class, n, {r6("coalesce(n * 100.0::DOUBLE / nullif(sum(n) OVER (), 0), 0)")} AS percent FROM n"""
+)
+def class_distribution(spark, sf_dir):
+    return rounded(stats.class_distribution(table(spark, sf_dir, "lineitem"), "l_linestatus", DOMAIN), "percent")
+
+
+def _raster(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr(
+        f"event_id div {PIXELS} AS pair_id", f"(event_id % {PIXELS}) div {WIDTH} AS r", f"event_id % {WIDTH} AS c", "value AS magnitude", "value * 1.5D AS band2", "value AS band1"
+    )
+
+
+RASTER = f"SELECT event_id // {PIXELS} AS pair_id, (event_id % {PIXELS}) // {WIDTH} AS r, event_id % {WIDTH} AS c, value AS magnitude FROM events"
+
+
+@query(
+    f"""WITH p AS ({RASTER}) SELECT a.pair_id, a.r // 2 AS r, a.c, {r6("sqrt(((b.magnitude - a.magnitude) / 10000) ** 2 + ((b.magnitude * 1.5 - a.magnitude * 1.5) / 10000) ** 2)")} AS magnitude
+FROM p a JOIN p b ON a.pair_id = b.pair_id AND a.c = b.c AND a.r + 1 = b.r WHERE a.r % 2 = 0 AND a.magnitude > 0 AND b.magnitude > 0"""
+)
+def change_magnitude(spark, sf_dir):
+    p = _raster(spark, sf_dir)
+    even, odd = (p.where(f"r % 2 = {i}").withColumn("r", F.expr("r div 2")) for i in (0, 1))
+    return rounded(change.change_magnitude(even, odd, ["band1", "band2"]), "magnitude")
+
+
+@query(
+    f"""SELECT pair_id, count(*) AS n_valid, {r6("avg(magnitude)")} AS mean, {r6("median(magnitude)")} AS median, max(magnitude) AS max, {r6("stddev_pop(magnitude)")} AS std,
+CASE WHEN count(*) / {PIXELS} < 0.1 THEN 'insufficient_valid_pixels' ELSE 'success' END AS status FROM ({RASTER}) GROUP BY 1"""
+)
+def change_summary(spark, sf_dir):
+    return rounded(change.summary(_raster(spark, sf_dir), PIXELS), "mean", "median", "std")
+
+
+@query(
+    f"""WITH p AS ({RASTER}) SELECT p.pair_id, p.r, p.c FROM p SEMI JOIN (SELECT * FROM p WHERE r < 50 AND c < 50 AND (r + c) % 12 NOT IN (0, 1, 3, 8, 9, 10, 11)) s
+ON p.pair_id = s.pair_id AND p.r // 2 = s.r AND p.c // 2 = s.c"""
+)
+def scl_expand_mask(spark, sf_dir):
+    p = _raster(spark, sf_dir)
+    classes = p.where("r < 50 AND c < 50").selectExpr("pair_id", "r AS r2", "c AS c2", "(r + c) % 12 AS class")
+    return change.mask_classes(p, classes).select("pair_id", "r", "c")
+
+
+THRESHOLD = "median(magnitude) + 1.4826 * mad(magnitude)"
+
+
+@query(
+    f"""SELECT event_type, {r6("median(magnitude)")} AS median, {r6("mad(magnitude)")} AS mad, {r6("median(magnitude) + 3 * 1.4826 * mad(magnitude)")} AS threshold
+FROM (SELECT event_type, value AS magnitude FROM events) GROUP BY 1"""
+)
+def mad_threshold(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.col("value").alias("magnitude"))
+    return rounded(change.thresholds(e, by="event_type").select("event_type", "median", "mad", "threshold"), "median", "mad", "threshold")
+
+
+NEAR = f"""WITH RECURSIVE p AS ({RASTER}), t AS (SELECT pair_id, {THRESHOLD} AS threshold FROM p GROUP BY 1),
+cand AS (SELECT p.*, threshold FROM p JOIN t USING (pair_id) WHERE magnitude > threshold),
+near AS (SELECT a.pair_id, a.r, a.c, any_value(a.magnitude) AS magnitude, any_value(a.threshold) AS threshold, count(b.r) AS neighbors FROM cand a
+  LEFT JOIN cand b ON a.pair_id = b.pair_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY 1, 2, 3)"""
+
+
+@query(f"{NEAR} SELECT pair_id, r, c, neighbors FROM near")
+def neighbors8(spark, sf_dir):
+    return change.neighbors8(change.candidates(_raster(spark, sf_dir), k=1.0)).select("pair_id", "r", "c", "neighbors")
+
+
+COMPONENTS = f"""{NEAR}, kept AS (SELECT * FROM near WHERE neighbors >= 2),
+reach AS (SELECT pair_id, r, c, r * {WIDTH} + c AS component FROM kept
+  UNION SELECT k.pair_id, k.r, k.c, x.component FROM reach x JOIN kept k ON k.pair_id = x.pair_id AND abs(k.r - x.r) <= 1 AND abs(k.c - x.c) <= 1),
+named AS (SELECT pair_id, r, c, min(component) AS component FROM reach GROUP BY 1, 2, 3),
+sized AS (SELECT *, count(*) OVER (PARTITION BY pair_id, component) AS area FROM named)
+SELECT n.pair_id, n.r, n.c, neighbors, component, area,
+  {r6("least(greatest(0.5 * (magnitude - threshold) / (magnitude + threshold) + neighbors / 16, 0.05), 1)")} AS confidence
+FROM near n JOIN sized s ON n.pair_id = s.pair_id AND n.r = s.r AND n.c = s.c WHERE area >= 4"""
+
+
+@query(COMPONENTS)
+def suppression(spark, sf_dir):
+    return rounded(change.suppress(_raster(spark, sf_dir), WIDTH, k=1.0), "confidence")
+
+
+@query(
+    """WITH d AS (SELECT p_partkey AS scene_id, (p_size * 40 + 100)::BIGINT AS w FROM part),
+o AS (SELECT scene_id, w, CASE WHEN w <= 256 THEN [0::BIGINT] ELSE list_sort(list_distinct(list_concat(range(0, w - 255, 256), [w - 256]))) END AS offs FROM d)
+SELECT a.scene_id, (i - 1)::INT AS row_idx, (j - 1)::INT AS col_idx, a.offs[i] AS row_off, a.offs[j] AS col_off, least(256, w - a.offs[j]) AS width, least(256, w - a.offs[i]) AS height
+FROM o a, unnest(range(1, len(offs) + 1)) AS x(i), unnest(range(1, len(offs) + 1)) AS y(j)"""
+)
+def tile_windows(spark, sf_dir):
+    side = (F.col("p_size") * 40 + 100).cast("long")
+    return tiling.tile_windows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scene_id"), side.alias("width"), side.alias("height")))
+
+
+@query(r"SELECT n_nationkey, replace(lower(n_name), '_', ' ') AS category FROM nation WHERE regexp_full_match(n_name, '[a-zA-Z_]+') UNION ALL SELECT n_nationkey, 'unknown' FROM nation WHERE NOT regexp_full_match(n_name, '[a-zA-Z_]+')")
+def category_extract(spark, sf_dir):
+    name = F.concat("n_name", F.lit("_"), F.col("n_nationkey").cast("string"), F.lit(".jpg"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", S.category_of(name).alias("category"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def sha256_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
+def modality_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT * FROM (SELECT o_orderkey, concat_ws(',', CASE WHEN coalesce(o_totalprice < 100000, false) THEN NULL ELSE 'price' END,
+CASE WHEN coalesce(o_orderstatus IN ('F', 'O'), false) THEN NULL ELSE 'status' END) AS errors FROM orders) WHERE errors <> ''"""
+)
+def validator_rules(spark, sf_dir):
+    return stats.violations(table(spark, sf_dir, "orders"), ["o_orderkey"], {"price": F.col("o_totalprice") < 100000, "status": F.col("o_orderstatus").isin("F", "O")})
+
+
+@query("SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def union_index(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic")
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def missing_members(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id").exceptAll(table(spark, sf_dir, "labels").select("doc_id")).distinct()
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return stats.duplicates(table(spark, sf_dir, "events"), ["user_id"])
+
+
+@query(
+    f"""WITH s AS (SELECT var_pop(l_quantity) AS xx, var_pop(l_discount) AS yy, covar_pop(l_quantity, l_discount) AS xy, covar_pop(l_quantity, l_extendedprice) AS xz,
+covar_pop(l_discount, l_extendedprice) AS yz, avg(l_quantity) AS mx, avg(l_discount) AS my, avg(l_extendedprice) AS mz FROM lineitem),
+f AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b FROM s)
+SELECT {r6("a")} AS a, {r6("b")} AS b, {r6("mz - a * mx - b * my")} AS c FROM f"""
+)
+def affine_lstsq(spark, sf_dir):
+    return rounded(stats.affine_fit(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", "l_extendedprice"), "a", "b", "c")
+
+
+@query(
+    """SELECT l_orderkey, count(*) AS n_points, sum(l_quantity - 20) AS sum_col FROM lineitem WHERE l_quantity BETWEEN 10 AND 40 GROUP BY 1"""
+)
+def gcp_translate(spark, sf_dir):
+    point = F.struct(F.col("l_quantity").alias("source_col"), F.lit(0.0).alias("source_row"))
+    scenes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(point).alias("gcps"))
+    moved = scenes.select("l_orderkey", tiling.translate_gcps(F.col("gcps"), F.lit(20.0), F.lit(0.0), 10, 10, 10.0).alias("g")).where(F.size("g") > 0)
+    return moved.select("l_orderkey", F.size("g").cast("long").alias("n_points"), F.aggregate("g", F.lit(0.0), lambda s, g: s + g["local_col"]).alias("sum_col"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round_even(least(greatest(l_extendedprice / 10000, 0), 0.35) / 0.35 * 255.0::DOUBLE, 0)::INT AS byte FROM lineitem")
+def rgb_scale(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", tiling.optical_scale(F.col("l_extendedprice")).alias("byte"))
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {r6('log10(1 + l_extendedprice)')} AS level FROM lineitem")
+def sar_scale(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", S.rounded(F.log10(1 + F.col("l_extendedprice"))).alias("level"))
