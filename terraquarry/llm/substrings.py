@@ -152,6 +152,19 @@ def maximal_repeats(left: np.ndarray, left_lengths: np.ndarray, lcp: np.ndarray)
                 yield right, length, members[among]
 
 
+def merged(rows: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges least to most of whole numbers, those of a row that overlap or adjoin as one."""
+    order = np.lexsort((least, rows))
+    rows, least, most = rows[order], least[order], most[order]
+    base = rows.astype(np.int64) << 32  # keeps rows apart in one running maximum
+    reach = np.maximum.accumulate(base + most)
+    new = np.ones(len(rows), bool)
+    new[1:] = (base + least)[1:] > reach[:-1] + 1
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(rows)) - 1
+    return rows[first], least[first], reach[last] - base[last] if len(rows) else most
+
+
 def _repeats(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Repeated windows of contexts that occur once, from rows sorted by anchor string and what follows it."""
     for table, _ in common.groups(batches, "gram"):
@@ -181,7 +194,7 @@ def _repeats(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         # a window starts so many bytes before its anchor
         least, most = np.maximum(least, lead[rows] - windows[rows] + 1), np.minimum(most, lead[rows])
         good = (least <= most) & (times[rows] == 1)
-        rows, least, most = rows[good], least[good], most[good]
+        rows, least, most = merged(rows[good], least[good], most[good])
         taken = table.select([*KEY, "start"]).take(pa.array(rows)).combine_chunks()
         place = taken.column("start").to_numpy() + lead[rows]
         yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in taken.select(KEY).columns), pa.array(place - most), pa.array(place - least)], names=[*KEY, "first", "last"])
