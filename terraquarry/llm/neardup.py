@@ -6,7 +6,10 @@
    values. Nodes of at most ``node_limit`` classes are compared exhaustively by 4-bit
    sketches; larger nodes branch again, each class by two further minwise values.
    A node gives clusters of classes that may be similar; equal clusters of different
-   trees are kept once. No pairs leave a node.
+   trees are kept once. No pairs leave a node. The members of a large node are linked to
+   the nearest of a few pivots first, as far as full sets confirm it. What is connected so
+   needs no more comparison with itself: a node of one component is settled, and where one
+   component makes up all but a few, it meets just those few, slice by slice.
 3. Each cluster is resolved on full shingle sets: pairs by falling estimate, those that
    are already connected skipped. It gives at most one edge a member.
 4. Components of the edges, and of equal sets, are the groups.
@@ -114,6 +117,10 @@ def _fixed(rows: np.ndarray) -> pa.Array:
 
 
 NODE = "node long, rep long, sketch binary"
+#: Members of a large node that the others are held against.
+PIVOTS = 8
+#: Members of a pivot's star that are resolved together.
+STAR = 256
 
 
 def _roots(classes: DataFrame, trees: int) -> DataFrame:
@@ -151,8 +158,8 @@ def _branches(large: DataFrame, classes: DataFrame) -> DataFrame:
     return large.join(classes.select("rep", "signature"), "rep").select("node", "rep", "signature").mapInArrow(run, NODE)
 
 
-def _blocks(large: DataFrame, classes: DataFrame, node_limit: int) -> DataFrame:
-    """The exact way for nodes that stay large: members in blocks, each pair of blocks a node."""
+def _sketched(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of nodes (node, rep) with their sketches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,22 +168,32 @@ def _blocks(large: DataFrame, classes: DataFrame, node_limit: int) -> DataFrame:
             sketch = _fixed(sketches(_signatures(batch.column("signature"))))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("rep"), sketch], names=["node", "rep", "sketch"])
 
+    return members.join(classes.select("rep", "signature"), "rep").select("node", "rep", "signature").mapInArrow(run, NODE)
+
+
+def _blocks(large: DataFrame, classes: DataFrame, node_limit: int) -> DataFrame:
+    """The exact way for nodes that stay large: members in blocks, each pair of blocks a node."""
     sizes = large.groupBy("node").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / F.lit(node_limit // 4)).cast("long")
     dealt = large.join(sizes, "node").select("node", "rep", parts.alias("parts"), F.pmod(F.xxhash64("rep"), parts).alias("part"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    pairs = pairs.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "rep")
-    return pairs.join(classes.select("rep", "signature"), "rep").select("node", "rep", "signature").mapInArrow(run, NODE)
+    return _sketched(pairs.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "rep"), classes)
 
 
 def _compare(nodes: DataFrame, node_limit: int | None, most: int) -> DataFrame:
-    """Compare small nodes. Rows: cluster and member, or node and member of a large node."""
+    """Compare small nodes. Rows: cluster and member; or large node, member and its nearest pivot (itself if none is near)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_node = pivots = pivot_sketches = None
         for table, large in common.groups(batches, "node", node_limit):
             keys, reps = table.column("node").to_numpy(), table.column("rep").to_numpy()
             if large:
-                out = [(keys, reps, np.ones(len(keys), bool))]
+                sketch = _sketch_rows(table, np.arange(len(keys)))
+                if keys[0] != open_node:
+                    open_node, pivots, pivot_sketches = keys[0], reps[:PIVOTS], sketch[:PIVOTS].copy()
+                differ = np.stack([mismatches(p, sketch) for p in pivot_sketches])
+                nearest = np.where(differ.min(0) <= most, pivots[differ.argmin(0)], reps)
+                out = [(keys, reps, np.ones(len(keys), bool), nearest)]
             else:
                 edges = common.runs(keys)
                 sizes = np.diff(edges)
@@ -184,8 +201,7 @@ def _compare(nodes: DataFrame, node_limit: int | None, most: int) -> DataFrame:
                 rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
                 if not len(rows):
                     continue
-                column = table.column("sketch").take(pa.array(rows)).combine_chunks()
-                sketch = common.text_buffers(column)[0].view(np.uint64).reshape(-1, WIDTH // 16)
+                sketch = _sketch_rows(table, rows)
                 out, at = [], 0
                 for i in several:
                     members = reps[edges[i] : edges[i + 1]]
@@ -194,12 +210,50 @@ def _compare(nodes: DataFrame, node_limit: int | None, most: int) -> DataFrame:
                     for label in np.flatnonzero(np.bincount(labels) > 1):
                         own = members[labels == label]
                         name = common.mix(own.view(np.uint64), 5).sum(dtype=np.uint64).astype(np.int64)
-                        out.append((np.full(len(own), name), own, np.zeros(len(own), bool)))
+                        out.append((np.full(len(own), name), own, np.zeros(len(own), bool), own))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cluster", "rep", "large"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cluster", "rep", "large", "pivot"])
+
+    return nodes.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "cluster long, rep long, large boolean, pivot long")
+
+
+def _sketch_rows(table: pa.Table, rows: np.ndarray) -> np.ndarray:
+    column = table.column("sketch").take(pa.array(rows)).combine_chunks()
+    return common.text_buffers(column)[0].view(np.uint64).reshape(-1, WIDTH // 16)
+
 
-    return nodes.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "cluster long, rep long, large boolean")
+def _stars(large: DataFrame) -> DataFrame:
+    """Clusters of a pivot and some of the members nearest to it; a pivot has as many as its members fill."""
+    near = large.where("pivot <> rep").select("pivot", "rep").distinct()
+    parts = near.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("long").alias("parts"))
+    dealt = near.join(parts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("rep"), "parts")).alias("cluster"), "pivot", "rep")
+    return dealt.select("cluster", "rep").unionByName(dealt.select("cluster", F.col("pivot").alias("rep"))).distinct()
+
+
+def _with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the component that confirmed links give so far (themselves, without a link)."""
+    known = labels.select(F.col("node").alias("rep"), "component")
+    return members.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _open(large: DataFrame, labels: DataFrame, node_limit: int) -> DataFrame:
+    """Members of nodes that hold several components, with the node's largest one and how many are outside it."""
+    members = _with_component(large.select(F.col("cluster").alias("node"), "rep"), labels)
+    counts = members.groupBy("node", "component").agg(F.count("*").alias("n"))
+    nodes = counts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("major"), F.sum("n").alias("total"))
+    nodes = nodes.select("node", F.col("major.component").alias("major"), F.col("major.n").alias("n_major"), (F.col("total") - F.col("major.n")).alias("few"))
+    return members.join(nodes.where("few > 0"), "node").withColumn("sliced", F.col("few") <= node_limit)
+
+
+def _slices(open_: DataFrame, classes: DataFrame, node_limit: int) -> DataFrame:
+    """Nodes of a part of the largest component each, with all members outside it: less than thrice the rows."""
+    parts = F.ceil(F.col("n_major") / F.lit(node_limit)).cast("long")
+    own = F.pmod(F.xxhash64("rep"), parts)
+    every = F.sequence(F.lit(0).cast("long"), parts - 1)
+    part = F.explode(F.when(F.col("component") == F.col("major"), F.array(own)).otherwise(every))
+    dealt = open_.where("sliced").select("node", "rep", part.alias("part")).select(F.xxhash64("node", "part").alias("node"), "rep")
+    return _sketched(dealt, classes)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -212,11 +266,46 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common_ >= percent * (len(a) + len(b) - common_)
 
 
+#: A cluster of more members is resolved by matrix products.
+CROWD = 64
+
+
+def crowd_labels(sets: list[np.ndarray], percent: int, width: int = 2048) -> np.ndarray:
+    """A label for each set, connected by links: all intersections at once, some shingles at a time."""
+    sizes = np.array([len(s) for s in sets])
+    _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.flatnonzero(times[shingle] > 1)  # a shingle of one set is in no intersection
+    column = (np.cumsum(times > 1) - 1)[shingle[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[shared][order], column[order]
+    common_ = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (at, at + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[a:b], column[a:b] - at] = 1
+        common_ += part @ part.T
+    links = 100 * common_ >= percent * (sizes[:, None] + sizes[None, :] - common_.astype(np.float64))
+    labels = np.full(len(sets), -1)
+    for start in range(len(sets)):
+        if labels[start] < 0:
+            labels[start], front = start, links[start]
+            while True:
+                fresh = np.flatnonzero(front & (labels < 0))
+                if not len(fresh):
+                    break
+                labels[fresh], front = start, links[fresh].any(0)
+    return labels
+
+
 def resolve(reps: np.ndarray, sets: list[np.ndarray], percent: int, most: int) -> list[tuple[int, int]]:
     """Edges that connect the members of a cluster just as their links do, confirmed on full sets."""
     count = len(sets)
     if count == 2:
         return [(int(reps[0]), int(reps[1]))] if linked(*sets, percent) else []
+    if count > CROWD:
+        labels = crowd_labels(sets, percent)
+        return [(int(reps[labels == label].min()), int(r)) for label in np.flatnonzero(np.bincount(labels) > 1) for r in reps[labels == label]]
     sketch = sketches(np.array([signature(s) for s in sets]))
     first, second, worth = [], [], []
     for i in range(count - 1):
@@ -280,17 +369,33 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("signature").alias("signature"))
     classes = common.materialize(classes, "classes")
 
-    nodes, found = _roots(classes, trees), None
+    nodes, found, stars, labels = _roots(classes, trees), None, None, None
     for level in range(depth + 2):
         compared = common.materialize(_compare(nodes, node_limit if level <= depth else None, most), "nodes")
         small = compared.where("NOT large").select("cluster", "rep")
         found = small if found is None else found.unionByName(small)
-        large = compared.where("large").select(F.col("cluster").alias("node"), "rep")
+        large = compared.where("large")
         if large.isEmpty():
             break
-        nodes = _branches(large, classes) if level < depth else _blocks(large, classes, node_limit)
-    members = common.materialize(found.distinct(), "members")
-    labels = connected_components(_edges(docs, members, shingle, percent, most))
+        star = common.materialize(_stars(large), "stars")
+        edges = common.materialize(_edges(docs, star, shingle, percent, most), "staredges")
+        stars = edges if stars is None else stars.unionByName(edges)
+        labels = common.materialize(connected_components(stars), "starlabels")
+        open_ = common.materialize(_open(large, labels, node_limit), "open")
+        slices = _compare(_slices(open_, classes, node_limit), None, most)
+        found = found.unionByName(common.materialize(slices.select("cluster", "rep"), "slices"))
+        rest = open_.where("NOT sliced").select("node", "rep")
+        if rest.isEmpty():
+            break
+        nodes = _branches(rest, classes) if level < depth else _blocks(rest, classes, node_limit)
+    members = found.distinct()
+    if labels is not None:  # clusters within one component have nothing to add
+        known = _with_component(members, labels)
+        mixed = known.groupBy("cluster").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("cluster")
+        members = members.join(mixed, "cluster", "left_semi")
+    members = common.materialize(members, "members")
+    edges = _edges(docs, members, shingle, percent, most)
+    labels = connected_components(edges if stars is None else edges.unionByName(stars))
 
     groups = classes.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("linked")), "rep", "left")
     groups = groups.where("n > 1 OR linked IS NOT NULL").select("h1", "h2", F.coalesce("linked", "rep").alias("component"))
