@@ -270,7 +270,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 CROWD = 64
 
 
-def crowd_labels(sets: list[np.ndarray], percent: int, width: int = 2048) -> np.ndarray:
+def crowd_labels(sets: list[np.ndarray], percent: int, width: int = 512) -> np.ndarray:
     """A label for each set, connected by links: all intersections at once, some shingles at a time."""
     sizes = np.array([len(s) for s in sets])
     _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -284,8 +284,13 @@ def crowd_labels(sets: list[np.ndarray], percent: int, width: int = 2048) -> np.
         a, b = np.searchsorted(column, (at, at + width))
         part = np.zeros((len(sets), width), np.float32)
         part[owner[a:b], column[a:b] - at] = 1
-        common_ += part @ part.T
-    links = 100 * common_ >= percent * (sizes[:, None] + sizes[None, :] - common_.astype(np.float64))
+        for row in range(0, len(sets), 256):
+            common_[row : row + 256] += part[row : row + 256] @ part.T
+    links = np.empty(common_.shape, bool)
+    for at in range(0, len(sets), 128):  # in rows, so that no other matrix is whole
+        shared_ = common_[at : at + 128].astype(np.int64)
+        links[at : at + 128] = 100 * shared_ >= percent * (sizes[at : at + 128, None] + sizes[None, :] - shared_)
+    del common_
     labels = np.full(len(sets), -1)
     for start in range(len(sets)):
         if labels[start] < 0:
