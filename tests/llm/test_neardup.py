@@ -43,7 +43,7 @@ def test_documents_against_brute_force(spark, sf, size):
     assert rows(neardup.near_duplicates(docs, shingle=size)) == want
 
 
-@pytest.mark.parametrize("options", [{}, {"node_limit": 16, "depth": 2}, {"node_limit": 16, "depth": 0}])
+@pytest.mark.parametrize("options", [{}, {"node_limit": 16, "depth": 2}, {"node_limit": 16, "depth": 0}, {"node_limit": 16, "depth": 2, "few_limit": 4}, {"node_limit": 16, "depth": 0, "few_limit": 4}])
 def test_a_crowd_of_near_copies_of_all_distances(spark, options):
     draw = random.Random(4)
     words = [f"w{i}" for i in range(300)]

@@ -1,0 +1,61 @@
+import hashlib
+import random
+import re
+
+from terraquarry.llm import queries, secrets
+
+ORDER = ("assign", "access", "hex", "markov")
+
+
+def brute(text):
+    """The fixed patterns by the letter of their definition: whole matches first, lengths after."""
+    text = text or ""
+    found = [("assign", *m.span()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found, key=lambda s: (s[1], ORDER.index(s[0])))
+
+
+def held(df, texts):
+    for r in df.collect():
+        base = brute(texts[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        kinds = [k for k, _, _ in base]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in ORDER[:3])
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        assert [s for s in spans if s[0] != "markov"] == base
+        assert spans == sorted(spans, key=lambda s: (s[1], ORDER.index(s[0])))
+        assert sum(s[0] == "markov" for s in spans) == r.n_markov
+
+
+def test_all_documents_against_the_definition(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = queries.op2_secrets(spark, sf)
+    assert found.count() == len(texts)
+    held(found, texts)
+
+
+def test_edge_cases(spark):
+    key = "0123456789abcdef" * 2
+    texts = [
+        None, "", "token=abc", "TOKEN = 'abcdef'", "api_key:a.b=c-d", "apiKey\"  :  \"zzzzzz\"", "paſsword=abcdef", "toKen=abcdef", "token:\tabcdef", "token =abcdef",
+        "AKIA" + "A" * 15, "AKIA" + "A" * 16, "xAKIA" + "Z9" * 30, key[:23], key[:24], key + "G" + key, "é😀 " + key, "secret=secret=abcdef", "password=" + key, "x" * 300_000 + " token=abcdef " + "y" * 300_000,
+    ]
+    docs = spark.createDataFrame([(i, t, 1, "s") for i, t in enumerate(texts)] * 2, "doc_id long, text string, n_hex int, spans string")
+    found = secrets.scan(docs)
+    assert found.count() == 2 * len(texts)
+    held(found, texts)
+    assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_the_models_part_random_strings_from_identifiers():
+    draw = random.Random(5)
+    words = "value total record index customer order amount status region number account session request handler".split()
+    secret, names = secrets.labelled_samples([" ".join(words)])
+    model = secrets.RatioModel(secret, names)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random_ = ["".join(draw.choices(symbols, k=32)) for _ in range(300)]
+    plain = ["_".join(draw.choices(words, k=3)) + str(draw.randint(0, 99)) for _ in range(300)]
+    assert sum(model.score(s) > 0.35 for s in random_) >= 297
+    assert sum(model.score(s) > 0.35 for s in plain) <= 3
