@@ -8,8 +8,9 @@
    A node gives clusters of classes that may be similar; equal clusters of different
    trees are kept once. No pairs leave a node. The members of a large node are linked to
    the nearest of a few pivots first, as far as full sets confirm it. What is connected so
-   needs no more comparison with itself: a node of one component is settled, and where one
-   component makes up all but a few, it meets just those few, slice by slice.
+   needs no more comparison with itself: a node of one component is settled, and where at
+   most ``few_limit`` members are outside its largest component, that one meets just those,
+   slice by slice. Only nodes with more members outside branch on.
 3. Each cluster is resolved on full shingle sets: pairs by falling estimate, those that
    are already connected skipped. It gives at most one edge a member.
 4. Components of the edges, and of equal sets, are the groups.
@@ -237,17 +238,17 @@ def _with_component(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _open(large: DataFrame, labels: DataFrame, node_limit: int) -> DataFrame:
+def _open(large: DataFrame, labels: DataFrame, few_limit: int) -> DataFrame:
     """Members of nodes that hold several components, with the node's largest one and how many are outside it."""
     members = _with_component(large.select(F.col("cluster").alias("node"), "rep"), labels)
     counts = members.groupBy("node", "component").agg(F.count("*").alias("n"))
     nodes = counts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("major"), F.sum("n").alias("total"))
     nodes = nodes.select("node", F.col("major.component").alias("major"), F.col("major.n").alias("n_major"), (F.col("total") - F.col("major.n")).alias("few"))
-    return members.join(nodes.where("few > 0"), "node").withColumn("sliced", F.col("few") <= node_limit)
+    return members.join(nodes.where("few > 0"), "node").withColumn("sliced", F.col("few") <= few_limit)
 
 
 def _slices(open_: DataFrame, classes: DataFrame, node_limit: int) -> DataFrame:
-    """Nodes of a part of the largest component each, with all members outside it: less than thrice the rows."""
+    """Nodes of a part of the largest component each, with all members outside it, which are few."""
     parts = F.ceil(F.col("n_major") / F.lit(node_limit)).cast("long")
     own = F.pmod(F.xxhash64("rep"), parts)
     every = F.sequence(F.lit(0).cast("long"), parts - 1)
@@ -351,7 +352,7 @@ def _edges(docs: DataFrame, members: DataFrame, size: int, percent: int, most: i
     return members.join(whole, "rep").repartition("cluster").sortWithinPartitions("cluster", "rep").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 12, node_limit: int = 1024, depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 12, node_limit: int = 1024, few_limit: int | None = None, depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of word shingles.
 
     Words are runs of characters other than space and \\t to \\r, A-Z lower-cased. A text
@@ -364,8 +365,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     component_id is null and it is kept. Rows that repeat a doc_id with equal texts get
     equal rows. Other columns are ignored; an empty table gives no rows.
 
-    Nodes that are large after ``depth`` levels are compared in blocks, exactly.
+    Nodes that are large after ``depth`` levels are compared in blocks, exactly. Without
+    ``few_limit``, it is four times ``node_limit``.
     """
+    few_limit = 4 * node_limit if few_limit is None else few_limit
     common.tune(docs.sparkSession)
     docs = common.documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     most = most_mismatches(percent / 100)
@@ -386,7 +389,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
         edges = common.materialize(_edges(docs, star, shingle, percent, most), "staredges")
         stars = edges if stars is None else stars.unionByName(edges)
         labels = common.materialize(connected_components(stars), "starlabels")
-        open_ = common.materialize(_open(large, labels, node_limit), "open")
+        open_ = common.materialize(_open(large, labels, few_limit), "open")
         slices = _compare(_slices(open_, classes, node_limit), None, most)
         found = found.unionByName(common.materialize(slices.select("cluster", "rep"), "slices"))
         rest = open_.where("NOT sliced").select("node", "rep")
