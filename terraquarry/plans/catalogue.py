@@ -134,6 +134,16 @@ def all_pairs(spark, sf_dir):
     return pairing.all_pairs(orders, ["o_custkey"], max_days=90)
 
 
+@query(
+    """SELECT a.o_custkey, a.o_orderkey AS reference_id, b.o_orderkey AS comparison_id, date_diff('second', a.o_orderdate, b.o_orderdate) / 86400.0::DOUBLE AS delta_days
+FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate < b.o_orderdate"""
+)
+def all_pairs_unlimited(spark, sf_dir):
+    """Every pair, however far apart; ``all_pairs`` keeps those within 90 days."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("scene_id"), F.col("o_orderdate").alias("acquired"))
+    return pairing.all_pairs(orders, ["o_custkey"])
+
+
 @query(
     """SELECT user_id, n_left, n_right FROM (SELECT user_id, count(*) AS n_left FROM events WHERE event_type = 'click' GROUP BY 1)
 JOIN (SELECT user_id, count(*) AS n_right FROM events WHERE event_type = 'view' GROUP BY 1) USING (user_id)"""
