@@ -23,11 +23,37 @@ KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: What the model judges: long strings of identifier characters with a digit. Ordinary
-#: words have none; a random string of 16 characters over 62 lacks one once in 15 times.
+#: What the model judges: all long strings of identifier characters.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[A-Za-z]{3,12}")
+#: Ordinary words that join the texts' own: tables of few words would else teach too little.
+_ORDINARY = """
+about access account action address after again agent allow amount analysis answer application archive array article average backup balance
+bank batch begin between block board body book boundary branch buffer build business button cache calendar callback campaign cancel capture
+catalog category center chain change channel character check child choice class clean client clock close cloud cluster collection color column
+command comment common company compare component condition config connect constant container content context control convert copy core count
+country create credit current customer data database date debug decimal default define delete delivery depth describe design detail device
+dictionary different digest direct display distance document domain double driver during dynamic early edge effect element employee empty enable
+engine enough entity entry environment equal error event every example exception exchange execute exist expect export express extend external
+factory failure false family feature fetch field figure file filter final finish first float folder follow format forward found frame friend
+function future gateway general generate global graph green group growth guide handle hash header health height help hidden history home host
+house human image import include increase index information input insert inside instance integer interface internal invoice issue item join
+journal justify kernel keyboard kind know label language large last launch layer layout leader learn left legal length level library license
+light limit line link list load local location lock logic long lookup machine main manager many market master match matrix maximum measure
+media member memory menu merge message metadata method middle minimum mobile mode model module money monitor month mouse move multiple music
+name native network never next node normal nothing notice number object offer office online open operation option order origin other output
+owner package page paper parameter parent parse part partition party path pattern payment people percent period person phone picture pixel place
+plan platform player point policy pool position power prefix present previous price print priority private problem process product profile
+program progress project property protocol provider proxy public purchase quality query question queue quick random range rate reader ready
+really reason receive record reference region register relation release remote remove render replace report request require reset resource
+response restore result return review right role root route router safe sample save scale schedule schema school science scope screen script
+search second section segment select sender sequence serial server service session setting shape share ship short should signal simple single
+size social software sort source space special speed stack stage standard start state station status step stock stop storage store stream
+street string strong structure student style subject submit success suffix summary supply support switch symbol sync system table target task
+team template term test text theme thread threshold ticket time title today tool total trace track trade traffic transaction transfer transform
+travel tree trigger type union unique unit unknown update upload user utility valid value variable vector vendor version video view visible
+visit volume wait warning watch water weather web week weight where while white width window with within word work world write yellow zone
+""".split()
 _HINTS = (b"password", b"passwd", b"secret", b"token", b"api")
 
 
@@ -53,14 +79,15 @@ class MarkovModel:
 def labelled_samples(texts: Iterable[str], count: int = 4000, seed: int = 11) -> tuple[list[str], list[str]]:
     """Random strings and ordinary identifiers.
 
-    Random strings are drawn over the alphabets that keys use, and join what the fixed
-    patterns found in the texts; identifiers are built of the texts' own words, joined and
-    numbered as programmers do.
+    Random strings are drawn over the alphabets that keys use, letters alone among them, and
+    join what the fixed patterns found in the texts; identifiers are built of the texts' own
+    words and ordinary ones, joined and numbered as programmers do, or long and without digits.
     """
     draw = random.Random(seed)
-    words = sorted({w for t in texts for w in _WORD.findall(t)}) or ["value", "index", "record", "total"]
+    words = sorted({w for t in texts for w in _WORD.findall(t)}.union(_ORDINARY))
     found = [t[a:b] for t in texts for kind, a, b in base_spans(t) if kind != "assign"]
     alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]
+    alphabets += ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"]
     secrets = ["".join(draw.choices(draw.choice(alphabets), k=draw.randint(16, 48))) for _ in range(count)] + found[:count]
     names = []
     for _ in range(count):
@@ -68,8 +95,11 @@ def labelled_samples(texts: Iterable[str], count: int = 4000, seed: int = 11) ->
         joined = draw.choice(["_".join(p.lower() for p in parts), "-".join(p.lower() for p in parts), "".join(p.capitalize() for p in parts), "".join(parts).lower(), "_".join(p.upper() for p in parts), "/".join(parts)])
         number = draw.choice(["", str(draw.randint(0, 9)), str(draw.randint(10, 9999)), f"{draw.randint(1990, 2030)}-{draw.randint(1, 12):02d}-{draw.randint(1, 28):02d}"])
         names.append(joined + draw.choice(["", "_", "-"]) * bool(number) + number)
-    # separators and numbers alone are ordinary too
-    names += ["".join(draw.choices("0123456789", k=draw.randint(16, 24))) for _ in range(count // 10)] + [c * draw.randint(16, 40) for c in "-=_0" for _ in range(20)]
+    for _ in range(count // 2):
+        parts = [draw.choice(draw.choice([words, _ORDINARY])) for _ in range(draw.randint(4, 10))]
+        names.append(draw.choice(["", "", "_", "-", "/"]).join(draw.choice([parts, [p.lower() for p in parts], [p.upper() for p in parts], [p.capitalize() for p in parts]])))
+    # separators, numbers and repeated characters alone are ordinary too
+    names += ["".join(draw.choices("0123456789", k=draw.randint(16, 24))) for _ in range(count // 10)] + [c * draw.randint(16, 40) for c in "-=_0" for _ in range(20)] + [c * draw.randint(16, 40) for c in alphabets[3] for _ in range(5)]
     return secrets, names
 
 
@@ -98,7 +128,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if b"akia" in low:
         out += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    if _DIGIT.search(text) or "a" in text:
+    if re.search("[0-9a]", text):
         out += [("hex", *m.span()) for m in _HEX.finditer(text)]
     return out
 
@@ -106,10 +136,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def markov_spans(text: str, model: RatioModel, threshold: float, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidates over the threshold that no pattern has touched."""
     out = []
-    if _DIGIT.search(text):
-        for m in _CANDIDATE.finditer(text):
-            if _DIGIT.search(s := m[0]) and not any(a < m.end() and m.start() < b for _, a, b in taken) and model.score(s) > threshold:
-                out.append(("markov", *m.span()))
+    for m in _CANDIDATE.finditer(text):
+        if not any(a < m.end() and m.start() < b for _, a, b in taken) and model.score(m[0]) > threshold:
+            out.append(("markov", *m.span()))
     return out
 
 

@@ -59,3 +59,30 @@ def test_the_models_part_random_strings_from_identifiers():
     plain = ["_".join(draw.choices(words, k=3)) + str(draw.randint(0, 99)) for _ in range(300)]
     assert sum(model.score(s) > 0.35 for s in random_) >= 297
     assert sum(model.score(s) > 0.35 for s in plain) <= 3
+
+
+def test_strings_without_a_digit_are_judged_by_the_model(spark, sf):
+    draw = random.Random(8)
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    model = secrets.RatioModel(*secrets.labelled_samples(texts))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    for symbols in (upper + lower, upper, lower):
+        keys = ["".join(draw.choices(symbols, k=20)) for _ in range(200)]
+        assert sum(secrets.markov_spans(f"the key {k} is", model, 0.35, []) == [("markov", 8, 28)] for k in keys) >= 194
+    words = sorted({w for t in texts for w in re.findall("[a-z]{5,12}", t)})
+    prose = ["".join(draw.choices(words, k=3)) for _ in range(200)] + ["_".join(draw.choices(words, k=4)).upper() for _ in range(200)] + ["=" * 40, "x" * 40, "Z" * 16]
+    assert sum(bool(secrets.markov_spans(p, model, 0.35, [])) for p in prose) <= 4
+
+
+def test_a_key_of_letters_in_a_text_without_a_digit(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    key = "QzXwVkPtRbNmJhGfDsLc"
+    found = secrets.scan(docs.unionByName(spark.createDataFrame([(-1, f"use {key} here")], "doc_id long, text string")))
+    row = found.where("doc_id = -1").first()
+    assert (row.spans, row.n_markov) == ("markov:4:24", 1)
+
+
+def test_few_words_do_not_make_long_words_secrets(spark):
+    texts = ["token=abc", "internationalization", "misunderstandings", "getUserAccountRequestHandler", "org/apache/spark/sql/execution", "x" * 300_000]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.spans for r in found.collect()] == [""] * len(texts)
