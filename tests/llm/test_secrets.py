@@ -86,3 +86,8 @@ def test_few_words_do_not_make_long_words_secrets(spark):
     texts = ["token=abc", "internationalization", "misunderstandings", "getUserAccountRequestHandler", "org/apache/spark/sql/execution", "x" * 300_000]
     found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert [r.spans for r in found.collect()] == [""] * len(texts)
+
+
+def test_hex_of_letters_alone(spark):
+    texts = ["f" * 24, "bcdef" * 6, "no " + "f" * 23, "b" * 24 + "x" + "c" * 24]
+    held(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), texts)
