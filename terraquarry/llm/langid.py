@@ -2,8 +2,8 @@
 
 Each word's likelihood under each language is the product of its byte trigrams'. For each
 document, expectation-maximisation estimates the proportions of languages from its words;
-of the nested sets of its likeliest languages, the one of best penalised likelihood is
-selected. A uniform component beside the languages takes what fits none of them.
+of the nested sets of its likeliest languages, up to all of them, the one of best penalised
+likelihood is selected. A uniform component beside the languages takes what fits none of them.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ BUCKETS = 1 << 16
 TEMPER = 0.5
 #: Penalty for each further language of a set, in units of the log of the word count.
 PENALTY = 1.5
-#: Further languages that a set may have after all but the first have been tried.
+#: Rounds of expectation-maximisation for each set.
 ROUNDS = 8
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -76,24 +76,33 @@ def mixtures(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     top = words.max(1, keepdims=True)
     likely = np.exp(words - top).astype(np.float64)
 
-    def estimate(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def estimate(likely: np.ndarray, of: np.ndarray, lengths: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.cumsum(lengths) - lengths
         share = allowed / allowed.sum(1, keepdims=True)
         for _ in range(ROUNDS):
             part = likely * share[of]
             part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
             share = np.add.reduceat(part, starts, axis=0) / lengths[:, None]
-        fit = np.log(np.maximum((likely * share[of]).sum(1), 1e-300))
-        return share, np.add.reduceat(fit, starts)
+        mixed = np.maximum((likely * share[of]).sum(1), 1e-300)
+        return share, np.add.reduceat(np.log(mixed), starts), mixed
 
-    share, _ = estimate(np.ones((len(some), size)))
+    share, fit, mixed = estimate(likely, of, lengths, np.ones((len(some), size)))
+    # the log-likelihood is concave in the proportions: its tangent here bounds that of every set
+    most = fit + np.add.reduceat(likely / mixed[:, None], starts, axis=0).max(1) - lengths
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
     best = np.full(len(some), -np.inf)
     chosen = np.zeros_like(share)
-    for languages in range(1, min(size, 4) + 1):
-        found, fit = estimate((rank < languages).astype(np.float64))
-        fit = fit - PENALTY * (languages - 1) * np.log(lengths + 1.0)
-        better = fit > best + 1e-9
-        best[better], chosen[better] = fit[better], found[better]
+    for languages in range(1, size + 1):
+        penalty = PENALTY * (languages - 1) * np.log(lengths + 1.0)
+        able = most - penalty > best  # in the others, no set of so many languages or more can win
+        if not able.any():
+            break
+        words_of = able[of]
+        found, fit, _ = estimate(likely[words_of], np.repeat(np.arange(able.sum()), lengths[able]), lengths[able], (rank[able] < languages).astype(np.float64))
+        fit = fit - penalty[able]
+        better = fit > best[able] + 1e-9
+        at = np.flatnonzero(able)[better]
+        best[at], chosen[at] = fit[better], found[better]
     out[some] = chosen
     return out
 

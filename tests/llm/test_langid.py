@@ -66,3 +66,42 @@ def test_edge_cases(spark):
     none = langid.fit(docs.where("lang IS NULL"))
     assert {(r.lang_pred, r.score) for r in langid.predict(docs, none).collect()} == {("und", 0.0)}
     assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_mixtures_find_as_many_languages_as_there_are():
+    size = 7
+    draw = np.random.default_rng(4)
+    for count in (1, 4, 6, 7):  # the last of seven components is the uniform one
+        parts = [np.where(np.arange(size) == i, 0.0, -12.0) for i in range(count) for _ in range(40 - 4 * i)]
+        words = np.array(parts)[draw.permutation(len(parts))].astype(np.float32)
+        share = langid.mixtures(words, np.array([0, len(words)]))[0]
+        assert (share > 0).sum() == count
+        assert np.allclose(share[:count], np.array([40 - 4 * i for i in range(count)]) / len(parts), atol=0.01)
+
+
+def test_the_bound_loses_no_set():
+    draw = np.random.default_rng(6)
+    size, first = 9, np.concatenate(([0], np.cumsum(draw.integers(0, 60, 120))))
+    words = draw.normal(-8, 3, (first[-1], size)).astype(np.float32)
+    got = langid.mixtures(words, first)
+    for text, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        if a == b:
+            assert not got[text].any()
+            continue
+        likely = np.exp(words[a:b] - words[a:b].max(1, keepdims=True)).astype(np.float64)
+
+        def estimate(allowed):
+            share = allowed / allowed.sum()
+            for _ in range(langid.ROUNDS):
+                part = likely * share
+                share = (part / np.maximum(part.sum(1, keepdims=True), 1e-300)).mean(0)
+            return share, np.log(np.maximum((likely * share).sum(1), 1e-300)).sum()
+
+        order = np.argsort(-estimate(np.ones(size))[0], kind="stable")
+        best, chosen = -np.inf, None
+        for count in range(1, size + 1):
+            share, fit = estimate(np.isin(np.arange(size), order[:count]).astype(np.float64))
+            fit -= langid.PENALTY * (count - 1) * np.log(b - a + 1.0)
+            if fit > best + 1e-9:
+                best, chosen = fit, share
+        assert np.allclose(got[text], chosen, atol=1e-9)
