@@ -26,6 +26,8 @@ BUCKETS = 1 << 16
 TEMPER = 0.5
 #: Penalty for each further language of a set, in units of the log of the word count.
 PENALTY = 1.5
+#: Components whose trigrams are looked up at once.
+COLUMNS = 64
 #: Rounds of expectation-maximisation for each set.
 ROUNDS = 8
 
@@ -60,7 +62,15 @@ class Model:
         grams, starts, first = word_trigrams(texts)
         if not len(starts):
             return np.zeros((0, self.table.shape[1]), np.float32), first
-        return np.add.reduceat(self.table[grams], starts, axis=0) * np.float32(TEMPER), first
+        size = self.table.shape[1]
+        words = np.empty((len(starts), size), np.float32)
+        for at in range(0, size, COLUMNS):
+            words[:, at : at + COLUMNS] = np.add.reduceat(self.table[:, at : at + COLUMNS][grams], starts, axis=0)
+        return words * np.float32(TEMPER), first
+
+    def chunk_bytes(self) -> int:
+        """Bytes of text that are judged at once: fewer the more components there are."""
+        return max(1, common.CHUNK_BYTES * COLUMNS // max(COLUMNS, self.table.shape[1]))
 
 
 def mixtures(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -107,14 +117,14 @@ def mixtures(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(labelled: DataFrame, *, per_language: int = 2000, max_languages: int = 64, smoothing: float = 0.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(labelled: DataFrame, *, per_language: int = 2000, smoothing: float = 0.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit a model to a bounded sample: about ``per_language`` rows of each label, chosen by a hash of their ids.
 
-    Rows without a label or text are left out; of more than ``max_languages`` labels the
-    most frequent are learned. Without any row the model knows no language.
+    Rows without a label or text are left out; every label is learned, at 256 KB of the
+    model each. Without any row the model knows no language.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     table = np.full((BUCKETS, len(languages) + 1), -np.log(BUCKETS), np.float32)
     if not languages:
@@ -123,21 +133,26 @@ def fit(labelled: DataFrame, *, per_language: int = 2000, max_languages: int = 6
     least = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(scale, -(-scale * per_language // n)))))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < least[F.col("lang")]).select("text", "lang").repartition(8)
 
+    place = {lang: i for i, lang in enumerate(languages)}
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in common.chunks(batches):
             grams, starts, first = word_trigrams(batch.column("text"))
             edges = np.append(starts, len(grams))[first]
-            for lang, a, b in zip(batch.column("lang").to_pylist(), edges[:-1], edges[1:], strict=True):
-                found[languages.index(lang)] += np.bincount(grams[a:b], minlength=BUCKETS)
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found.ravel()[at])], names=["cell", "n"])
+            own = np.array([place[lang] for lang in batch.column("lang").to_pylist()], np.int64)
+            at, n = np.unique(np.repeat(own * BUCKETS, np.diff(edges)) + grams, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
 
     cells = sample.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most languages * BUCKETS rows
-    found = np.zeros(len(languages) * BUCKETS)
-    found[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    found = found.reshape(len(languages), BUCKETS) + smoothing
-    table[:, :-1] = np.log(found / found.sum(1, keepdims=True)).T
+    cell, n = cells.column("cell").to_numpy(), cells.column("n").to_numpy()
+    order = np.argsort(cell)
+    cell, n = cell[order], n[order]
+    edges = np.searchsorted(cell, np.arange(len(languages) + 1) * BUCKETS)
+    for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        found = np.zeros(BUCKETS)
+        found[cell[a:b] - i * BUCKETS] = n[a:b]
+        found += smoothing
+        table[:, i] = np.log(found / found.sum())
     return Model(languages, table)
 
 
@@ -170,7 +185,7 @@ def judged(texts: pa.Array, model: Model) -> Iterator[tuple[str, float, dict[str
 
 
 def _predict(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in common.chunks(batches):
+    for batch in common.chunks(batches, limit=model.chunk_bytes()):
         labels, scores, sets, other = zip(*judged(batch.column("text"), model), strict=True)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array([list(s.items()) for s in sets], pa.map_(pa.string(), pa.float64())), pa.array(other, pa.float64())], names=["doc_id", "lang_pred", "score", "languages", "other_share"])
 
@@ -191,7 +206,7 @@ def identified(docs: DataFrame, model: Model, *, other_limit: float = 0.5, text_
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.chunks(batches, text_col):
+        for batch in common.chunks(batches, text_col, held.value.chunk_bytes()):
             keep = [label != UNKNOWN and other <= other_limit for label, _, _, other in judged(batch.column(at), held.value)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

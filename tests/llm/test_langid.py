@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -105,3 +106,17 @@ def test_the_bound_loses_no_set():
             if fit > best + 1e-9:
                 best, chosen = fit, share
         assert np.allclose(got[text], chosen, atol=1e-9)
+
+
+def test_every_label_is_learned(spark):
+    draw = random.Random(3)
+    spell = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows = []
+    for lang in range(70):
+        words = [spell() for _ in range(12)]
+        rows += [(100 * lang + i, " ".join(draw.choices(words, k=25)), f"l{lang:02d}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 70
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert found == {i: lang for i, _, lang in rows}
