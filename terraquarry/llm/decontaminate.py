@@ -64,14 +64,24 @@ class MultiIndex:
 class Items:
     """A block of benchmark items, ready to be searched."""
 
-    def __init__(self, ids: list, texts: list[str], shingle: int, threshold: float):
+    def __init__(self, ids: list, texts: list[str], shingle: int, threshold: float, short_items: bool = False):
         self.ids, self.shingle, self.threshold = ids, shingle, threshold
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
         data, offsets = common.text_buffers(batch.column("text"))
         words, _, _, first = common.word_hashes(data, offsets, common.WORD_BYTES)
         hashes, good, counts = common.shingle_hashes(words, first, shingle)
-        own = hashes[good]
         self.words = np.diff(first)
+        #: By word count, the hashes of items of fewer words than a shingle, and these items.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        if short_items:
+            for size in range(1, shingle):
+                if len(members := np.flatnonzero(self.words == size)):
+                    whole = common.shingle_hashes(words, first, size)[0][first[members]]
+                    order = np.argsort(whole, kind="stable")
+                    self.short[size] = whole[order], members[order]
+            good &= np.repeat(self.words >= shingle, self.words)
+            counts = np.concatenate(([0], np.cumsum(good)))[first]
+        own = hashes[good]
         self.shingles = [own[a:b] for a, b in zip(counts[:-1], counts[1:], strict=True)]
         self.counted = [np.unique(s, return_counts=True) for s in self.shingles]
         self.sizes = np.diff(counts)
@@ -141,6 +151,19 @@ class Items:
                         best[item] = s, start
 
 
+def _short_rows(items: Items, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The short items that documents contain word for word: document, item, first word."""
+    for size, (known, members) in items.short.items():
+        hashes, good, _ = common.shingle_hashes(words, first, size)
+        at = np.flatnonzero(good & np.isin(hashes, known))
+        doc = np.searchsorted(first, at, "right") - 1
+        _, once = np.unique(np.stack([doc.astype(np.uint64), hashes[at]], 1), axis=0, return_index=True)
+        for i in once.tolist():
+            a, b = (np.searchsorted(known, hashes[at[i]], side) for side in ("left", "right"))
+            for item in members[a:b].tolist():
+                yield int(doc[i]), item, int(at[i] - first[doc[i]])
+
+
 def _stretches(places: np.ndarray, gap: int) -> list[tuple[int, int]]:
     """First and last of runs of sorted places that are at most ``gap`` apart."""
     cut = np.flatnonzero(np.diff(places) > gap)
@@ -161,14 +184,15 @@ def item_blocks(benchmark: DataFrame, items: int, block_bytes: int) -> Iterator[
         yield ids, texts
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, threshold: float = 0.8, block_items: int = 10_000, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, threshold: float = 0.8, short_items: bool = False, block_items: int = 10_000, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The benchmark items that documents contain, a row per document and item.
 
     doc_id, item_id, similarity (of the best window), first_word (of that window, from 0),
     n_words (of the item). Words are runs of ASCII letters, digits, "_" and characters
     beyond ASCII, A-Z lower-cased. An item or a document of fewer words than a shingle has
     its whole sequence as one shingle, and a document shorter than an item is its only
-    window. Null and wordless texts match nothing; null ids stay null; repeated documents
+    window. With ``short_items``, an item of fewer words than a shingle is found wherever
+    its words stand in a row, at similarity 1. Null and wordless texts match nothing; null ids stay null; repeated documents
     and repeated items each have their own rows; other columns are ignored; without
     documents or items there are no rows.
 
@@ -182,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, thr
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, similarity double, first_word long, n_words long"
     found = None
     for ids, texts in item_blocks(items, block_items, block_bytes):
-        block = spark.sparkContext.broadcast(Items(ids, texts, shingle, threshold))
+        block = spark.sparkContext.broadcast(Items(ids, texts, shingle, threshold, short_items))
         part = docs.mapInArrow(_pass(block), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)
@@ -202,6 +226,7 @@ def _pass(block):
             for at in np.flatnonzero(np.diff(before)).tolist():
                 for item, similarity, start in items.search(hashes[counts[at] : counts[at + 1]]):
                     rows.append((at, items.ids[item], similarity, start, int(items.words[item])))
+            rows += [(at, items.ids[item], 1.0, start, int(items.words[item])) for at, item, start in _short_rows(items, words, first)]
             if rows:
                 at, ids, *rest = zip(*rows, strict=True)
                 types = pa.float64(), pa.int64(), pa.int64()

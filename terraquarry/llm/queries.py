@@ -22,7 +22,7 @@ def tokenizer(name: str) -> str:
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that contain benchmark items; clean documents have no row."""
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+import corpus_pipeline
 from terraquarry.llm import decontaminate, queries
 
 
@@ -78,3 +79,15 @@ def test_multi_index_finds_all_within_the_radius():
         query[draw.choice(decontaminate.BITS, 40, replace=False)] ^= 1
         want = np.flatnonzero((prints != query).sum(1) <= 42)
         assert sorted(index.within(query).tolist()) == want.tolist() and at in want
+
+
+def test_short_items_are_found_in_longer_documents(spark, tmp_path):
+    items = [(0, "only four words here"), (1, "two words"), (2, "Only, four WORDS here"), (3, "one two three four five six"), (4, ""), (5, "lone")]
+    docs = [(0, "only four words here and more"), (1, "in between only four words here"), (2, "only four words"), (3, "two other words, two words two words"), (4, None), (5, "only four words here"), (6, "so one two three four five six it is"), (7, "only four"), (8, "words here lonely"), (9, "lone")]
+    spark.createDataFrame([(*d, "en") for d in docs], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in queries.op1_decontaminate(spark, str(tmp_path)).collect()}
+    four = {(d, i): (1.0, w, 4) for d, w in ((0, 0), (1, 2), (5, 0)) for i in (0, 2)}
+    assert got == four | {(3, 1): (1.0, 3, 2), (6, 3): (1.0, 1, 6), (9, 5): (1.0, 0, 1)}
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, frame, str(tmp_path)).collect()) == [2, 4, 7, 8]
