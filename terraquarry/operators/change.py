@@ -114,3 +114,9 @@ def summary(pixels: DataFrame, total: int, min_ratio: float = 0.10) -> DataFrame
         F.count_if(is_finite(x)).alias("n_valid"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.max(x).alias("max"), F.stddev_pop(x).alias("std")
     )
     return stats.withColumn("status", status)
+
+
+def percentiles(pixels: DataFrame) -> DataFrame:
+    """The 95th and 99th percentile of each raster's valid magnitudes, interpolated, exact."""
+    valid = pixels.where(is_finite(F.col("magnitude")))
+    return valid.groupBy("pair_id").agg(F.percentile("magnitude", 0.95).alias("p95"), F.percentile("magnitude", 0.99).alias("p99"))

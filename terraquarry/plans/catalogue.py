@@ -240,6 +240,11 @@ def change_summary(spark, sf_dir):
     return rounded(change.summary(_raster(spark, sf_dir), PIXELS), "mean", "median", "std")
 
 
+@query(f"""SELECT pair_id, {r6("quantile_cont(magnitude, 0.95)")} AS p95, {r6("quantile_cont(magnitude, 0.99)")} AS p99 FROM ({RASTER}) GROUP BY 1""")
+def change_percentiles(spark, sf_dir):
+    return rounded(change.percentiles(_raster(spark, sf_dir)), "p95", "p99")
+
+
 @query(
     f"""WITH p AS ({RASTER}) SELECT p.pair_id, p.r, p.c FROM p SEMI JOIN (SELECT * FROM p WHERE r < 50 AND c < 50 AND (r + c) % 12 NOT IN (0, 1, 3, 8, 9, 10, 11)) s
 ON p.pair_id = s.pair_id AND p.r // 2 = s.r AND p.c // 2 = s.c"""
