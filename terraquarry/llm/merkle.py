@@ -4,7 +4,8 @@ A paragraph ends with its line feeds, a section with its blank lines; the pieces
 level join up to the text again, so nothing is left out. A paragraph's hash is the SHA-256
 of its text, a section's that of its paragraphs' hashes, the root's that of its sections'.
 Under each paragraph stand short hashes of its phrases (up to eight words, none across a
-sentence's end) with their lengths, so that a change inside a paragraph can be graded.
+sentence's end) with their lengths (65,535 for longer ones), so that a change inside a
+paragraph can be graded.
 
 A fingerprint is written root:section=paragraph-phrase.phrase,paragraph-...;section=...
 Equal roots mean equal texts; sections and paragraphs that differ locate edits.
@@ -72,48 +73,79 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(graded)
 
 
-def _order(docs: DataFrame) -> DataFrame:
-    """For each doc_id: the next one by descending id (after the last: the first), and the one before.
+#: Ranges of ids for each shuffle partition.
+RANGES = 4
 
-    Ids are dealt to range partitions, ordered within each, and linked across their borders
-    by the partitions' largest ids. Rows: doc_id, prev_id, prev_need (how many characters
-    the document before takes), pick (which text stands for an id that repeats).
+
+def _ranges(ids: DataFrame) -> tuple[list, dict]:
+    """Ids that end the ranges, ascending, and for each range that has ids its largest one.
+
+    Ranges hold about as many rows each. The driver gets two ids a range, of which there are
+    ``RANGES`` for each shuffle partition.
+    """
+    count = RANGES * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.array(*(F.lit((i + 1) / count) for i in range(count - 1)))
+    found = ids.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 20 * count))).alias("ends")).first()
+    ends = sorted(set(found["ends"] or []))
+    return ends, {r["part"]: r["head"] for r in ids.groupBy(_range_of(ends).alias("part")).agg(F.max("doc_id").alias("head")).collect()}
+
+
+def _range_of(ends: list) -> Column:
+    """How many range ends lie below the id: a binary search in an array literal."""
+    if not ends:
+        return F.lit(0)
+    table = F.array(*(F.lit(e) for e in ends))
+    steps = F.array(*(F.lit(1 << k) for k in range(len(ends).bit_length() - 1, -1, -1)))
+    further = lambda at, step: (at + step <= len(ends)) & (F.try_element_at(table, at + step) < F.col("doc_id"))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at))
+
+
+def _with_next(docs: DataFrame) -> DataFrame:
+    """Each row with an id: doc_id, text, fingerprint and those of the next document by descending id, as ``next``.
+
+    Texts are dealt once, by range of id, and sorted there. A range's last row finds its next
+    document in the range below: a copy of each range's first document goes along to the range
+    above it (of the first range's, to the last). Fingerprints are made after the dealing.
     """
-    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr("length(text) div 2")).alias("need"), F.min(F.xxhash64("text")).alias("pick"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = common.materialize(ids.repartitionByRange(parts, F.desc("doc_id")).withColumn("part", F.spark_partition_id()), "ids")
-    heads = ids.groupBy("part").agg(F.max("doc_id").alias("head"), F.min("doc_id").alias("tail"))
-    # one row for each partition
-    around = Window.orderBy("part")
-    ends = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    borders = heads.select(F.col("tail").alias("doc_id"), F.coalesce(F.lead("head").over(around), F.max("head").over(ends)).alias("across"))
-    inside = Window.partitionBy("part").orderBy(F.desc("doc_id"))
-    after = ids.select("doc_id", "need", "pick", F.lead("doc_id").over(inside).alias("within")).join(borders, "doc_id", "left")
-    after = common.materialize(after.select("doc_id", "need", "pick", F.coalesce("within", "across").alias("next_id")), "order")
-    before = after.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.col("need").alias("prev_need"))
-    return common.materialize(after.select("doc_id", "pick").join(before, "doc_id"), "links")
+    ids = docs.where("doc_id IS NOT NULL")
+    ends, heads = _ranges(ids.select("doc_id"))
+    if not heads:
+        return docs.limit(0).select("doc_id", "text", F.lit("").alias("fingerprint"), F.struct(F.lit("").alias("text"), F.lit("").alias("fingerprint")).alias("next"))
+    present = sorted(heads)
+    above = dict(zip(present, [*present[1:], present[0]], strict=True))
+    part = lambda: F.col("part")
+    place = F.array(*(F.lit(heads.get(i)) for i in range(max(present) + 1)))
+    to = F.array(*(F.lit(above.get(i)) for i in range(max(present) + 1)))
+    own = F.struct(part().alias("part"), F.lit(False).alias("copy"))
+    lent = F.struct(F.element_at(to, part() + 1).alias("part"), F.lit(True).alias("copy"))
+    dealt = ids.withColumn("part", _range_of(ends))
+    dealt = dealt.select("doc_id", "text", F.explode(F.when(F.element_at(place, part() + 1) == F.col("doc_id"), F.array(own, lent)).otherwise(F.array(own))).alias("at"))
+    dealt = dealt.select("doc_id", "text", "at.part", "at.copy").repartition("part")
+    rows = dealt.select("*", fingerprint(F.col("text")).alias("fingerprint"), F.expr("~doc_id").alias("down"), F.xxhash64("text").alias("pick"))
+    order = Window.partitionBy("part").orderBy("copy", "down", "pick")
+    rows = rows.withColumn("ahead", F.lead(F.struct("text", "fingerprint")).over(order))
+    # of rows that share an id, the last one's next row has another id
+    repeats = Window.partitionBy("part", "copy", "down").orderBy("pick").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.withColumn("next", F.last("ahead").over(repeats)).where("NOT copy").select("doc_id", "text", "fingerprint", "next")
 
 
 def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     The edited text has the last floor(n_chars / 2) code points replaced by as many first
-    ones (or all) of the next document by descending doc_id; the first follows the last.
-    A row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. A null text counts as empty. Rows that repeat a doc_id share
-    their next document, that of the next smaller id; of an id's several texts the one of
-    least hash stands for it. A row without a doc_id is in no order: its next document is
-    empty. Other columns are ignored; an empty table gives no rows.
+    ones (or all) of the next document by descending doc_id (an integral column); the first
+    follows the last. A row per input row: doc_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint, near_edited, near_next. A null text counts as empty. Rows that repeat
+    a doc_id share their next document, that of the next smaller id; of an id's several texts
+    the one of least hash stands for it. A row without a doc_id is in no order: its next
+    document is empty. Other columns are ignored; an empty table gives no rows.
     """
     docs = common.documents(docs, id_col, text_col)
-    rows = docs.join(_order(docs), "doc_id", "left")
-    taken = rows.where(F.xxhash64("text") == F.col("pick")).select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, prev_need)").alias("start"), fingerprint(F.col("text")).alias("next_fingerprint"))
-    # an id's repeated rows are equal here: any one stands for them
-    taken = taken.groupBy("doc_id").agg(F.any_value(F.struct("start", "next_fingerprint")).alias("next"))
-    both = rows.select("doc_id", "text").join(taken, "doc_id", "left")
+    loose = docs.where("doc_id IS NULL").select("doc_id", "text", fingerprint(F.col("text")).alias("fingerprint"), F.struct(F.lit("").alias("text"), fingerprint(F.lit("")).alias("fingerprint")).alias("next"))
+    rows = _with_next(docs).unionByName(loose)
     n, half = F.length("text"), F.expr("length(text) div 2")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next.start", F.lit("")), F.lit(1), half))
-    made = both.select("doc_id", n.cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint"), edited.alias("edited"), F.coalesce("next.next_fingerprint", fingerprint(F.lit(""))).alias("next_fingerprint"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
+    made = rows.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", edited.alias("edited"), F.col("next.fingerprint").alias("next_fingerprint"))
     made = made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
     return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
