@@ -7,14 +7,18 @@ executor, retry and session gives equal hashes.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy pass covers; a longer document is a pass of its own.
@@ -33,18 +37,92 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
+    """The folder that all executors share: spark.checkpoint.dir, or the one given to setCheckpointDir.
 
-    Only a session that names none (a local one, as in tests) gets a folder of its own.
+    A session that names none gets a folder of its own on a local master (as in tests); on
+    any other master that is an error, since executors would not see each other's files.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_dir()}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    given = context._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if re.fullmatch(r"local(\[.*\])?", context.master):
+        return f"file://{_own_dir()}"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+_FOLDERS: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's own folder of intermediate tables; it goes when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/terraquarry/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # what can't be deleted, or no longer, stays
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back: lineage ends there, and no executor holds the only copy."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/terraquarry/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        if table is not None and hasattr(table, "_written_at"):
+            _delete(table.sparkSession, table._written_at)
+
+
+#: Bits of the largest filter that ``likely`` makes: 16 MB.
+FILTER_BITS = 1 << 27
+
+
+def likely(df: DataFrame, key: Column, keys: DataFrame, name: str = "likely") -> DataFrame:
+    """``df`` with a boolean column: False only where ``key`` (a 64-bit hash) is not among those of ``keys``.
+
+    ``keys`` has one long column. It becomes a bitmap of 16 bits a key and ``FILTER_BITS`` at
+    most, however many keys there are; with more keys, more rows are True by chance, and
+    none is False wrongly. What is broadcast is the bitmap's words, in one map-side join.
+    """
+    (column,) = keys.columns
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, (16 * keys.count()).bit_length()))
+    place = lambda c: F.pmod(c, F.lit(bits))
+    at = keys.select(place(F.col(column)).alias("p"))
+    one = F.lit(1).cast("long")
+    words = at.groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", one, F.pmod(F.col("p"), F.lit(64)).cast("int"))).alias("_bits"))
+    marked = df.withColumn("_place", place(key)).withColumn("_at", F.shiftright("_place", 6))
+    found = marked.join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    bit = F.call_function("shiftright", F.col("_bits"), F.pmod(F.col("_place"), F.lit(64)).cast("int")).bitwiseAND(one) == 1
+    return found.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_place", "_at", "_word", "_bits")
+
+
+def sampled_texts(docs: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` of the distinct texts, chosen by hash, in one partition: the same ones in any session.
+
+    ``docs`` is as ``documents`` returns it. Equal rows count once, so that copies cannot fill the sample.
+    """
+    scale = 1 << 30
+    total = docs.count()
+    least = scale if total <= rows else -(-scale * rows // total)
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.pmod("h", F.lit(scale)) < least)
+    return hashed.groupBy("h").agg(F.any_value("text").alias("text")).coalesce(1).sortWithinPartitions("h").select("text")
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,34 +213,6 @@ def runs(values: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- hashes of bytes
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-@functools.lru_cache(2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        step = np.full(size, _BASE)
-        step[0] = 1
-        back = np.full(size, _INVERSE)
-        back[0] = 1
-        return np.multiply.accumulate(step), np.multiply.accumulate(back)
-
-
-def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``length`` of each."""
-    size = 1 << max(21, int(length).bit_length())
-    return _powers(size)
-
-
-@functools.cache
-def byte_values(fold: bool) -> np.ndarray:
-    """A random 64-bit value per byte; with ``fold``, A-Z have those of a-z."""
-    values = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64)
-    if fold:
-        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return values
-
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
@@ -173,18 +223,65 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def prefix_hashes(data: np.ndarray, fold: bool = False) -> np.ndarray:
-    """Sums of byte value times base power before each place; see ``span_hashes``."""
-    power, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_values(fold)[data] * power[: len(data)], out=out[1:])
+#: The lowest k bytes of a 64-bit value.
+_LOW = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
+#: Longer spans are hashed by BLAKE2b, one at a time.
+LONG = 256
+#: Spans that one pass hashes.
+_PASS = 1 << 20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros after the end) as 64-bit values, of a copy of the data."""
+    wide = np.zeros(len(data) + 8, np.uint8)
+    wide[: len(data)] = data
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), wide, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, the same wherever they stand; with ``fold``, A-Z as a-z.
+
+    Bytes go in by eights, each through a bijection: spans of at most eight bytes and of one
+    length have different hashes if they differ, and longer ones by chance alone (no
+    structure of the text cancels out, as it does in polynomials modulo a power of two).
+    """
+    data = _LOWER[data] if fold else data
+    eights = windows(data)
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), _PASS):
+        _hash_pass(data, eights, starts[at : at + _PASS], ends[at : at + _PASS], out[at : at + _PASS])
     return out
 
 
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever they stand."""
-    _, back = powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * back[starts], 0x51ED270B)
+def _hash_pass(data: np.ndarray, eights: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
+    lengths = ends - starts
+    out[:] = mix(lengths.astype(np.uint64), 0x51ED270B)
+    rows, at, left = np.arange(len(starts)), starts, lengths
+    long = np.flatnonzero(lengths > LONG)
+    if len(long):
+        short = np.flatnonzero(lengths <= LONG)
+        rows, at, left = short, starts[short], lengths[short]
+        for i in long.tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    while len(rows):
+        out[rows] = mix(out[rows] ^ (eights[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+
+
+def equal_spans(one: np.ndarray, starts: np.ndarray, other: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether spans of two texts (as ``windows`` gives them) have the same bytes: starts, places and one length each."""
+    same = np.ones(len(starts), bool)
+    rows, a, b, left = np.arange(len(starts)), starts, places, lengths
+    while len(rows):
+        low = _LOW[np.minimum(left, 8)]
+        good = (one[a] & low) == (other[b] & low)
+        same[rows[~good]] = False
+        more = good & (left > 8)
+        rows, a, b, left = rows[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return same
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,10 +307,31 @@ WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
 
 
+#: Bytes in which words are looked for at once.
+PIECE = 1 << 24
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as runs of bytes of a kind: starts, ends, and the first word of each value; the bytes are taken piece by piece."""
+    size, first, last = len(data), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, size, PIECE):
+        end = min(size, at + PIECE)
+        inside = kind[data[at:end]]
+        before, after = np.empty_like(inside), np.empty_like(inside)
+        before[1:], before[0] = inside[:-1], at > 0 and kind[data[at - 1]]
+        after[:-1], after[-1] = inside[1:], end < size and kind[data[end]]
+        before[offsets[(offsets >= at) & (offsets < end)] - at] = False  # no word reaches into the next value
+        after[offsets[(offsets > at) & (offsets <= end)] - at - 1] = False
+        first.append(np.flatnonzero(inside & ~before) + at)
+        last.append(np.flatnonzero(inside & ~after) + at + 1)
+    starts = np.concatenate(first)
+    return starts, np.concatenate(last), np.searchsorted(starts, offsets)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words as runs of bytes of a kind, A-Z as a-z: hashes, starts, ends, and the first word of each value."""
-    starts, ends, first = spans(kind[data], offsets)
-    return span_hashes(prefix_hashes(data, True), starts, ends), starts, ends, first
+    """The hashes of words, A-Z as a-z, and what ``word_spans`` gives."""
+    starts, ends, first = word_spans(data, offsets, kind)
+    return span_hashes(data, starts, ends, True), starts, ends, first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

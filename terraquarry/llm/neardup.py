@@ -1,7 +1,7 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 1. One pass gives each text's shingle set a size, a 128-bit identity and a signature of
-   minwise values. Texts of one identity are one class from here on.
+   minwise values. Texts of one identity are one class from here on, with a number of its own.
 2. In each of several independent trees, a class goes to the node of one of its minwise
    values. Nodes of at most ``node_limit`` classes are compared exhaustively by 4-bit
    sketches; larger nodes branch again, each class by two further minwise values.
@@ -12,13 +12,16 @@
    most ``few_limit`` members are outside its largest component, that one meets just those,
    slice by slice. Only nodes with more members outside branch on.
 3. Each cluster is resolved on full shingle sets: pairs by falling estimate, those that
-   are already connected skipped. It gives at most one edge a member.
+   are already connected skipped. It gives at most one edge a member. The sets are made
+   again for the members alone: a bitmap of bounded size, joined map-side, holds back the
+   other texts, so that no text is shuffled.
 4. Components of the edges, and of equal sets, are the groups.
 
 A pair of similarity s shares a node in one tree with probability s (0.8 at the default
 threshold), or 0.75 where nodes branch on, and passes the sketch at its lower bound of
 five standard deviations: with 12 trees about one pair in 10**6 at the threshold itself
-is missed, fewer above it. Links are confirmed exactly, so that none is wrong.
+is missed, fewer above it. Links are confirmed on the full sets of 64-bit shingle hashes
+(two sets of a million shingles would share a hash by chance once in 10**7 pairs).
 """
 
 from __future__ import annotations
@@ -93,19 +96,24 @@ def clusters(sketch: np.ndarray, most: int) -> np.ndarray:
     return labels
 
 
+def _identity(values: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    return tuple(int(common.mix(values, salt).sum(dtype=np.uint64).astype(np.int64)) for salt in (1, 2))
+
+
 def _hash_rows(docs: DataFrame, size: int) -> DataFrame:
-    """Of each row: doc_id, the size of its set, its identity and its signature (null if empty)."""
+    """Of each row: doc_id, text_hash, the size of its set, its identity and its signature (null if empty)."""
+    names = ["n_shingles", "h1", "h2", "signature"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             rows = []
             for values in shingle_sets(batch, size):
-                identity = (common.mix(values, 1).sum(dtype=np.uint64), common.mix(values, 2).sum(dtype=np.uint64))
-                rows.append((len(values), *(int(x.astype(np.int64)) for x in identity), signature(values).tobytes() if len(values) else None))
+                rows.append((len(values), *_identity(values), signature(values).tobytes() if len(values) else None))
             columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "n_shingles", "h1", "h2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "text_hash", *names])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, signature binary")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -329,13 +337,15 @@ def resolve(reps: np.ndarray, sets: list[np.ndarray], percent: int, most: int) -
     return [(int(reps[labels == label].min()), int(r)) for label in np.flatnonzero(np.bincount(labels) > 1) for r in reps[labels == label]]
 
 
-def _edges(docs: DataFrame, members: DataFrame, size: int, percent: int, most: int) -> DataFrame:
-    """Resolve clusters on full sets, which are made again for their members alone."""
+def _edges(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int, percent: int, most: int) -> DataFrame:
+    """Resolve clusters (cluster, rep) on full sets, which are made again for their members alone."""
+    key = ["doc_id", "h1", "h2"]
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
-            values = [s.tobytes() for s in shingle_sets(batch, size)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.binary())], names=["rep", "shingles"])
+            values = list(shingle_sets(batch, size))
+            h1, h2 = zip(*map(_identity, values), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=[*key, "shingles"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in common.groups(batches, "cluster"):
@@ -347,51 +357,50 @@ def _edges(docs: DataFrame, members: DataFrame, size: int, percent: int, most: i
             ends = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    whole = docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "rep long, shingles binary")
-    return members.join(whole, "rep").repartition("cluster").sortWithinPartitions("cluster", "rep").mapInArrow(run, "a long, b long")
-
+    # merges throughout: a join that is broadcast while its table is small would only hide what a large one moves
+    wanted = common.materialize(members.hint("merge").join(classes.select("rep", *key), "rep"), "wanted")
+    near = common.likely(docs, F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id").alias("k")).distinct()).where("likely")
+    whole = near.select("doc_id", "text").mapInArrow(sets, "doc_id long, h1 long, h2 long, shingles binary")
+    whole = whole.groupBy(*key).agg(F.any_value("shingles").alias("shingles"))  # rows that repeat
+    dealt = wanted.hint("merge").join(whole, key).select("cluster", "rep", "shingles").repartition("cluster")
+    edges = common.materialize(dealt.sortWithinPartitions("cluster", "rep").mapInArrow(run, "a long, b long"), "links")
+    common.drop(wanted)
+    return edges
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 12, node_limit: int = 1024, few_limit: int | None = None, depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents linked by 100 * intersection >= percent * union of word shingles.
-
-    Words are runs of characters other than space and \\t to \\r, A-Z lower-cased. A text
-    of fewer words than a shingle has its whole sequence as one; a text without words has
-    none and is linked with nothing. A row per input row: doc_id (integral), n_shingles,
-    component_id (the smallest doc_id reachable by links, itself included), kept (whether
-    doc_id is component_id).
 
-    A null text counts as empty. A row without a doc_id takes part in no link: its
-    component_id is null and it is kept. Rows that repeat a doc_id with equal texts get
-    equal rows. Other columns are ignored; an empty table gives no rows.
+def _components(docs: DataFrame, shingle: int, percent: int, trees: int, node_limit: int, few_limit: int | None, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n_shingles, h1, h2), and the classes (h1, h2) of several rows or with links.
 
-    Nodes that are large after ``depth`` levels are compared in blocks, exactly. Without
-    ``few_limit``, it is four times ``node_limit``.
+    ``docs`` is doc_id (long), text, text_hash. Classes have component (a number) and
+    component_id (its smallest doc_id).
     """
     few_limit = 4 * node_limit if few_limit is None else few_limit
-    common.tune(docs.sparkSession)
-    docs = common.documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     most = most_mismatches(percent / 100)
     hashed = common.materialize(_hash_rows(docs, shingle), "sets")
     some = hashed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("signature").alias("signature"))
-    classes = common.materialize(classes, "classes")
+    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("signature").alias("signature"))
+    classes = common.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    rows = common.materialize(hashed.drop("signature"), "rows")
+    common.drop(hashed)
 
-    nodes, found, stars, labels = _roots(classes, trees), None, None, None
+    nodes, found, stars, labels, spent = _roots(classes, trees), None, None, None, []
     for level in range(depth + 2):
         compared = common.materialize(_compare(nodes, node_limit if level <= depth else None, most), "nodes")
+        spent.append(compared)
         small = compared.where("NOT large").select("cluster", "rep")
         found = small if found is None else found.unionByName(small)
         large = compared.where("large")
         if large.isEmpty():
             break
         star = common.materialize(_stars(large), "stars")
-        edges = common.materialize(_edges(docs, star, shingle, percent, most), "staredges")
+        edges = _edges(docs, star, classes, shingle, percent, most)
+        spent += [star, edges, labels]
         stars = edges if stars is None else stars.unionByName(edges)
-        labels = common.materialize(connected_components(stars), "starlabels")
+        labels = connected_components(stars)
         open_ = common.materialize(_open(large, labels, few_limit), "open")
-        slices = _compare(_slices(open_, classes, node_limit), None, most)
-        found = found.unionByName(common.materialize(slices.select("cluster", "rep"), "slices"))
+        slices = common.materialize(_compare(_slices(open_, classes, node_limit), None, most).select("cluster", "rep"), "slices")
+        spent += [open_, slices]
+        found = found.unionByName(slices)
         rest = open_.where("NOT sliced").select("node", "rep")
         if rest.isEmpty():
             break
@@ -402,18 +411,70 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
         mixed = known.groupBy("cluster").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("cluster")
         members = members.join(mixed, "cluster", "left_semi")
     members = common.materialize(members, "members")
-    edges = _edges(docs, members, shingle, percent, most)
-    labels = connected_components(edges if stars is None else edges.unionByName(stars))
+    edges = _edges(docs, members, classes, shingle, percent, most)
+    last = connected_components(edges if stars is None else edges.unionByName(stars))
+    common.drop(members, edges, labels, *spent)
+
+    linked = last.select(F.col("node").alias("rep"), F.col("component").alias("linked"))
+    groups = classes.drop("signature").join(linked, "rep", "left").where("n > 1 OR linked IS NOT NULL")
+    groups = common.materialize(groups.select("h1", "h2", "doc_id", F.coalesce("linked", "rep").alias("component")), "groups")
+    common.drop(classes, last)
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = common.materialize(groups.select("h1", "h2", "component").join(least, "component"), "named")
+    common.drop(groups)
+    return rows, named
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return common.documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+
 
-    groups = classes.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("linked")), "rep", "left")
-    groups = groups.where("n > 1 OR linked IS NOT NULL").select("h1", "h2", F.coalesce("linked", "rep").alias("component"))
-    joined = hashed.drop("signature").join(groups, ["h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 12, node_limit: int = 1024, few_limit: int | None = None, depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents linked by 100 * intersection >= percent * union of word shingles.
+
+    Words are runs of characters other than space and \\t to \\r, A-Z lower-cased. A text
+    of fewer words than a shingle has its whole sequence as one; a text without words has
+    none and is linked with nothing. A row per input row: doc_id (integral), n_shingles,
+    component_id (the smallest doc_id reachable by links, itself included), kept (whether
+    doc_id is component_id).
+
+    A null text counts as empty. A row without a doc_id takes part in no link: its
+    component_id is null and it is kept. Rows that share a doc_id are grouped each by its own
+    text: equal texts get equal rows, different texts may be in different components. Other
+    columns are ignored; an empty table gives no rows.
+
+    Nodes that are large after ``depth`` levels are compared in blocks, exactly. Without
+    ``few_limit``, it is four times ``node_limit``. A task holds the sets of one cluster:
+    at most ``node_limit + few_limit`` members.
+    """
+    common.tune(docs.sparkSession)
+    rows, named = _components(_keyed(docs, id_col, text_col), shingle, percent, trees, node_limit, few_limit, depth)
+    joined = rows.join(named, ["h1", "h2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns."""
-    found = near_duplicates(docs, **options)
-    dropped = common.materialize(found.where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return docs.join(dropped, docs[options.get("id_col", "doc_id")] == dropped["_dropped"], "left_anti")
+def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 12, node_limit: int = 1024, few_limit: int | None = None, depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of ``near_duplicates`` and all rows in none, with all their columns.
+
+    Rows are judged, not ids: of a group the row of least doc_id (and, among its texts, of
+    least hash) stays; of rows with that doc_id and text one stays, the one of least hash over
+    all columns. Rows without a doc_id, or without a word, all stay.
+    """
+    common.tune(docs.sparkSession)
+    rows, named = _components(_keyed(docs, id_col, text_col), shingle, percent, trees, node_limit, few_limit, depth)
+    key = ["doc_id", "text_hash"]
+    grouped = common.materialize(rows.where("doc_id IS NOT NULL").join(named, ["h1", "h2"]).select(*key, "component"), "grouped")
+    first = grouped.groupBy("component").agg(F.min(F.struct(*key)).alias("first")).select("first.*", F.lit(True).alias("first"))
+    judged = grouped.groupBy(*key).agg(F.count("*").alias("n")).join(first, key, "left")
+    judged = judged.select(*key, F.coalesce("first", F.lit(False)).alias("first"), "n").where("NOT first OR n > 1")
+    judged = common.materialize(judged.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("first").alias("_first")), "judged")
+    common.drop(rows, named, grouped)
+
+    own = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    own = common.likely(own, F.xxhash64("_own_id", "_own_hash"), judged.select(F.xxhash64("_id", "_hash").alias("k")), "_likely")
+    met = own.where("_likely").join(judged, (F.col("_own_id") == F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*names)
+    repeated = met.where("_first").groupBy("_id", "_hash").agg(F.min_by(whole, F.xxhash64(*names)).alias("_row")).select("_row.*")
+    return own.where("NOT _likely").select(*names).unionByName(met.where("_id IS NULL").select(*names)).unionByName(repeated)

@@ -153,7 +153,7 @@ def scan(docs: DataFrame, *, threshold: float = 0.35, sample_rows: int = 1000, s
     spans as written by ``written``), spans (all spans), n_markov. Offsets are code points,
     the end exclusive. A null text counts as empty; a text without secrets has "" as spans;
     repeated rows are scanned each; other columns are ignored; an empty table gives no rows.
-    The identifiers' model is fitted to words of at most ``sample_rows`` documents.
+    The identifiers' model is fitted to words of about ``sample_rows`` documents, chosen by hash.
     """
     spark = docs.sparkSession
     common.tune(spark)
@@ -169,7 +169,7 @@ def scan(docs: DataFrame, *, threshold: float = 0.35, sample_rows: int = 1000, s
         best = sorted(words, key=lambda w: (-words[w], w))[:samples]
         yield pa.RecordBatch.from_arrays([pa.array(best + found[:samples], pa.string())], names=["text"])
 
-    texts = [r.text for r in docs.limit(sample_rows).mapInArrow(sampled, "text string").collect()]  # at most 2 * samples
+    texts = [r.text for r in common.sampled_texts(docs, sample_rows).mapInArrow(sampled, "text string").collect()]  # at most 2 * samples
     model = spark.sparkContext.broadcast(RatioModel(*labelled_samples(texts, samples)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

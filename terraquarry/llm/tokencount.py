@@ -6,13 +6,15 @@ is the sum over its pre-tokens. Tier 1 is a compact open-addressing table of 64-
 pre-token hashes and lengths in tokens, broadcast once; its size is a parameter.
 Tier 2 is a cache in each Python worker, filled by the library itself.
 
-Tier 1 is filled from the first rows of the input, a documented bound. It never
-changes a count: what it lacks, tier 2 finds.
+Tier 1 is filled from a bounded sample of the input, chosen by hash. It never changes
+a count: what it lacks, tier 2 finds, and what it has is held against the pre-token's
+own bytes, as is every pre-token that shares a count within a batch. Hashes only guide.
 """
 
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -63,7 +65,7 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
-def pre_token_spans(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pre_token_spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pre-tokens of a batch: bytes with a space before each text, starts, ends, first of each text, line feeds of each text."""
     data, offsets = common.text_buffers(batch.column("text"))
     count = len(offsets) - 1
@@ -75,7 +77,7 @@ def pre_token_spans(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray, np.ndarra
     wide[np.arange(len(data)) + np.repeat(shift, lengths)] = data
     if not len(wide):
         none = np.empty(0, np.int64)
-        return b"", none, none, np.zeros(count + 1, np.int64), np.zeros(count, np.int64)
+        return wide, none, none, np.zeros(count + 1, np.int64), np.zeros(count, np.int64)
     space, line = wide == SPACE, wide == LINE
     head = np.zeros(len(wide), bool)
     head[at[:-1][some]] = True
@@ -90,75 +92,89 @@ def pre_token_spans(batch: pa.RecordBatch) -> tuple[bytes, np.ndarray, np.ndarra
     stops = np.append(stops, len(wide))
     ends = np.minimum(np.append(starts[1:], len(wide)), stops[np.searchsorted(stops, starts, "right")])
     lines = np.concatenate(([0], np.cumsum(line)))
-    return wide.tobytes(), starts, ends, np.searchsorted(starts, at), lines[at[1:]] - lines[at[:-1]]
-
-
-def hash_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    prefix = common.prefix_hashes(np.frombuffer(data, np.uint8))
-    return common.span_hashes(prefix, starts, ends) | np.uint64(1)  # 0: an empty place
-
-
-def build_table(hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An open-addressing table at most half full; what finds no place in PROBES steps stays out."""
-    size = 1 << max(10, (2 * len(hashes)).bit_length())
-    keys, values = np.zeros(size, np.uint64), np.zeros(size, np.uint16)
-    small = lengths < 1 << 16
-    left, counts = hashes[small], lengths[small]
-    for step in range(PROBES):
-        if not len(left):
-            break
-        slot = ((left >> np.uint64(32)).astype(np.int64) + step) & (size - 1)
-        free = keys[slot] == 0
-        _, first = np.unique(slot[free], return_index=True)
-        placed = np.flatnonzero(free)[first]
-        keys[slot[placed]], values[slot[placed]] = left[placed], counts[placed]
-        rest = np.ones(len(left), bool)
-        rest[placed] = False
-        left, counts = left[rest], counts[rest]
-    return keys, values
-
-
-def look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The length of each hash, and where it was found."""
-    keys, values = table
-    slot = (hashes >> np.uint64(32)).astype(np.int64) & (len(keys) - 1)
-    found = keys[slot] == hashes
-    out = np.where(found, values[slot], 0).astype(np.int64)
-    open_ = np.flatnonzero(~found & (keys[slot] != 0))
-    for _ in range(PROBES - 1):
-        if not len(open_):
-            break
-        slot[open_] = (slot[open_] + 1) & (len(keys) - 1)
-        key = keys[slot[open_]]
-        hit = key == hashes[open_]
-        out[open_[hit]], found[open_[hit]] = values[slot[open_[hit]]], True
-        open_ = open_[~hit & (key != 0)]
-    return out, found
+    return wide, starts, ends, np.searchsorted(starts, at), lines[at[1:]] - lines[at[:-1]]
+
+
+class Table:
+    """An open-addressing table of pre-tokens at most half full; what finds no place in PROBES steps stays out.
+
+    A place holds a 64-bit hash, the count of tokens, and where the pre-token's bytes stand.
+    """
+
+    def __init__(self, spans: list[bytes], lengths: list[int]):
+        sizes = np.array([len(s) for s in spans], np.int64)
+        counts = np.array(lengths, np.int64)
+        self.data = np.frombuffer(b"".join(spans), np.uint8)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        hashes = common.span_hashes(self.data, starts, ends) | np.uint64(1)  # 0: an empty place
+        size = 1 << max(10, (2 * len(spans)).bit_length())
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.uint16)
+        self.starts, self.sizes = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        left = np.flatnonzero((counts < 1 << 16) & (sizes <= common.LONG))
+        for step in range(PROBES):
+            if not len(left):
+                break
+            slot = ((hashes[left] >> np.uint64(32)).astype(np.int64) + step) & (size - 1)
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
+            at, own = slot[placed], left[placed]
+            self.keys[at], self.values[at], self.starts[at], self.sizes[at] = hashes[own], counts[own], starts[own], sizes[own]
+            left = np.delete(left, placed)
+
+    @functools.cached_property
+    def eights(self) -> np.ndarray:
+        return common.windows(self.data)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "eights"}
+
+    def look_up(self, hashes: np.ndarray, eights: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of each span, and where it was found: its hash, and then its bytes."""
+        slot = (hashes >> np.uint64(32)).astype(np.int64) & (len(self.keys) - 1)
+        found = self.keys[slot] == hashes
+        open_ = np.flatnonzero(~found & (self.keys[slot] != 0))
+        for _ in range(PROBES - 1):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) & (len(self.keys) - 1)
+            key = self.keys[slot[open_]]
+            hit = key == hashes[open_]
+            found[open_[hit]] = True
+            open_ = open_[~hit & (key != 0)]
+        at = np.flatnonzero(found)
+        place = slot[at]
+        good = self.sizes[place] == ends[at] - starts[at]
+        good[good] = common.equal_spans(eights, starts[at[good]], self.eights, self.starts[place[good]].astype(np.int64), (ends - starts)[at[good]])
+        found[at[~good]] = False
+        return np.where(found, self.values[slot], 0).astype(np.int64), found
 
 
 class _Cache:
-    """Lengths by hash in two generations: the older is dropped when the younger is full."""
+    """Tokens of pre-tokens by their bytes, in two generations: the older is dropped when the younger is full."""
 
-    def __init__(self, limit: int = 400_000):
-        self.young: dict[int, int] = {}
-        self.old: dict[int, int] = {}
+    def __init__(self, limit: int = 200_000):
+        self.young: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
         self.limit = limit
 
-    def lengths(self, model: PieceModel, hashes: np.ndarray, span) -> np.ndarray:
-        """The lengths of distinct hashes; ``span(i)`` gives the bytes of the i-th."""
-        keys = hashes.tolist()
+    def lengths(self, model: PieceModel, spans: list[bytes]) -> np.ndarray:
+        """The tokens of distinct pre-tokens. Those of over LONG bytes aren't kept."""
         young, old = self.young, self.old
-        found = [young.get(k) for k in keys]
+        found = [young.get(s) for s in spans]
         missing = []
-        for i, (k, n) in enumerate(zip(keys, found, strict=True)):
+        for i, (s, n) in enumerate(zip(spans, found, strict=True)):
             if n is None:
-                n = old.get(k)
+                n = old.get(s)
                 if n is None:
                     missing.append(i)
                 else:
-                    young[k] = found[i] = n
-        for i, n in zip(missing, model.pre_tokens([span(i) for i in missing]) if missing else [], strict=True):
-            young[keys[i]] = found[i] = n
+                    young[s] = found[i] = n
+        for i, n in zip(missing, model.pre_tokens([spans[i] for i in missing]) if missing else [], strict=True):
+            found[i] = n
+            if len(spans[i]) <= common.LONG:
+                young[spans[i]] = n
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return np.array(found, np.int64)
@@ -169,26 +185,20 @@ def _cache(path: str) -> _Cache:
     return _Cache()
 
 
-def frequent_lengths(docs: DataFrame, model: str, *, rows: int = 2000, entries: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
-    """Tier 1 from the first ``rows`` documents: at most ``entries`` of their most frequent pre-tokens."""
+def frequent_lengths(docs: DataFrame, model: str, *, rows: int = 2000, entries: int = 65_536) -> Table:
+    """Tier 1 from about ``rows`` documents chosen by hash: at most ``entries`` of their most frequent pre-tokens."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, seen = piece_model(model), {}
+        pieces, seen = piece_model(model), Counter()
         for batch in common.chunks(batches):
             data, starts, ends, _, _ = pre_token_spans(batch)
-            hashes = hash_spans(data, starts, ends)
-            keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-            for k, i, n in zip(keys.tolist(), first.tolist(), counts.tolist(), strict=True):
-                if k in seen:
-                    seen[k][1] += n
-                else:
-                    seen[k] = [data[starts[i] : ends[i]], n]
-        best = sorted(seen.items(), key=lambda x: (-x[1][1], x[0]))[:entries]
-        lengths = pieces.pre_tokens([x[1][0] for x in best]) if best else []
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([x[0] for x in best], np.uint64).view(np.int64)), pa.array(lengths, pa.int64())], names=["hash", "tokens"])
+            whole = data.tobytes()
+            seen.update(whole[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b - a <= common.LONG)
+        best = sorted(seen, key=lambda s: (-seen[s], s))[:entries]
+        yield pa.RecordBatch.from_arrays([pa.array(best, pa.binary()), pa.array(pieces.pre_tokens(best) if best else [], pa.int64())], names=["span", "tokens"])
 
-    rows_ = docs.limit(rows).mapInArrow(run, "hash long, tokens long").collect()  # at most entries rows
-    return build_table(np.array([r.hash for r in rows_], np.int64).view(np.uint64), np.array([r.tokens for r in rows_], np.int64))
+    found = common.sampled_texts(docs, rows).mapInArrow(run, "span binary, tokens long").collect()  # at most entries rows
+    return Table([bytes(r.span) for r in found], [r.tokens for r in found])
 
 
 def count_tokens(docs: DataFrame, model: str, *, limit: int = 4096, sample_rows: int = 2000, entries: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,8 +207,8 @@ def count_tokens(docs: DataFrame, model: str, *, limit: int = 4096, sample_rows:
     A row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each, other
     columns are ignored, an empty table gives no rows. A model whose pieces cross the
-    borders of pre-tokens is applied to whole texts instead. Two pre-tokens of one 64-bit
-    hash would share a count; among N distinct pre-tokens the odds are N * entries / 2**64.
+    borders of pre-tokens is applied to whole texts instead. Counts are exact: hashes find
+    candidates, bytes decide.
     """
     spark = docs.sparkSession
     common.tune(spark)
@@ -218,20 +228,27 @@ def count_tokens(docs: DataFrame, model: str, *, limit: int = 4096, sample_rows:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
-def _sum(batch: pa.RecordBatch, pieces: PieceModel, cache: _Cache, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _sum(batch: pa.RecordBatch, pieces: PieceModel, cache: _Cache, table: Table) -> np.ndarray:
     data, starts, ends, first, lines = pre_token_spans(batch)
     if not len(starts):
         return np.zeros(batch.num_rows, np.int64)
-    hashes = hash_spans(data, starts, ends)
-    lengths, found = look_up(table, hashes)
+    hashes, eights = common.span_hashes(data, starts, ends) | np.uint64(1), common.windows(data)
+    lengths, found = table.look_up(hashes, eights, starts, ends)
     missed = np.flatnonzero(~found)
+    odd: set[int] = set()
     if len(missed):
-        distinct, at, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
-        lengths[missed] = cache.lengths(pieces, distinct, lambda i: data[starts[missed[at[i]]] : ends[missed[at[i]]]])[back]
+        _, at, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+        one = missed[at]  # stands for the others of its hash, if they have its bytes
+        sizes = ends - starts
+        same = sizes[missed] == sizes[one[back]]
+        same[same] = common.equal_spans(eights, starts[missed[same]], eights, starts[one[back[same]]], sizes[missed[same]])
+        whole = data.tobytes()
+        lengths[missed] = cache.lengths(pieces, [whole[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])[back]
+        odd.update((np.searchsorted(first, missed[~same], "right") - 1).tolist())
     total = np.concatenate(([0], np.cumsum(lengths)))
     counts = total[first[1:]] - total[first[:-1]] + lines * pieces.line
     # the library reads the mark for a space as a space, and a text may hold it, or a NUL
-    odd = [i for i, t in enumerate(batch.column("text").to_pylist()) if "▁" in t or "\0" in t]
+    odd.update(i for i, t in enumerate(batch.column("text").to_pylist()) if "▁" in t or "\0" in t)
     for i in odd:
         counts[i] = pieces.whole(batch.column("text")[i].as_py())
     return counts

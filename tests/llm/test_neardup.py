@@ -70,6 +70,23 @@ def test_edge_cases(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(0, text, 1), (2, text, 2), (2, "only here u v w x y z", 3), (1, "a b c d e f", 4), (1, "a b c d e f", 4), (1, "a b c d e f", 5), (None, text, 6), (None, text, 6), (7, None, 7), (7, "", 7)], "doc_id long, text string, _id int")
+    kept = [(r.doc_id, r.text, r._id) for r in neardup.deduplicate(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(0, text, 1), (2, "only here u v w x y z", 3), (1, "a b c d e f", next(r[2] for r in kept if r[0] == 1)), (None, text, 6), (None, text, 6), (7, None, 7), (7, "", 7)], key=str)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs.where("doc_id IS NOT NULL")).collect())
+    assert got == [(0, 0, True), *[(1, 1, True)] * 3, (2, 0, False), (2, 2, True), (7, 7, True), (7, 7, True)]
+
+
+def test_words_that_a_polynomial_hash_confuses_are_not_linked(spark):
+    word = "a"
+    for _ in range(10):  # the Thue-Morse string and its complement
+        word += word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(0, word), (1, word.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert [r.component_id for r in neardup.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 1]
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(i, 7) for i in range(200, 260)] + [(5, 5), (259, 258), (300, 299), (299, 300)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

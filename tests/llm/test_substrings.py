@@ -39,12 +39,12 @@ def planted(seed):
     return texts
 
 
-@pytest.mark.parametrize("limit", [2000, 2])
-def test_planted_repeats_against_brute_force(spark, limit):
+@pytest.mark.parametrize("block", [2000, 2, 1])
+def test_planted_repeats_against_brute_force(spark, block):
     texts = planted(3)
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, own int")
     want = sorted((i, *r) for i, r in enumerate(brute([(t or "").encode() for t in texts], 400)))
-    assert rows(substrings.remove_repeats(docs, group_limit=limit)) == want
+    assert rows(substrings.remove_repeats(docs, block=block)) == want
 
 
 def test_documents_against_brute_force(spark, sf):
@@ -82,6 +82,33 @@ def test_long_texts_are_searched_in_pieces(spark, monkeypatch):
     assert total == 5000 - 399
 
 
+@pytest.mark.parametrize("block", [2000, 7])
+def test_a_passage_that_many_documents_share(spark, block):
+    draw = random.Random(11)
+    prose = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    passage = prose(415)
+    texts = [prose(draw.randint(0, 500)) + passage[draw.randint(0, 9) : 415 - draw.randint(0, 9)] + prose(draw.randint(0, 500)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((i, *r) for i, r in enumerate(brute([t.encode() for t in texts], 400)))
+    assert rows(substrings.remove_repeats(docs, block=block)) == want
+
+
+def test_groups_have_all_occurrences(spark):
+    draw = random.Random(12)
+    prose = lambda n: "".join(draw.choices("abcdefgh ", k=n))
+    passage, whole = prose(450), prose(420)
+    texts = [prose(50) + passage + prose(70), passage + prose(10), prose(33) + passage, prose(21) + passage[10:] + prose(9), whole, whole, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = defaultdict(set)
+    for r in substrings.repeat_groups(docs).collect():
+        text = (texts[r.doc_id] or "").encode()[r.start : r.start + r.n_bytes]
+        groups[text].add((r.doc_id, r.start))
+    assert groups and all(len(t) >= 400 for t in groups)
+    for text, places in groups.items():
+        assert places == {(i, k) for i, t in enumerate(texts) for k in range(len(t or "")) if (t or "").encode()[k:].startswith(text)}
+    assert {i for places in groups.values() for i, _ in places} == {0, 1, 2, 3, 4, 5}
+
+
 def test_intervals_of_an_lcp_array():
     assert sorted(substrings.intervals(np.array([0, 3, 5, 3, 0]))) == sorted([(5, 1, 2), (3, 0, 3), (0, 0, 4)])
 

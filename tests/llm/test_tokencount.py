@@ -33,3 +33,25 @@ def test_random_texts(spark):
     draw = random.Random(8)
     texts = ["".join(draw.choices(" \n\tab1.é😀▁<s>", k=draw.randint(0, 60))) for _ in range(400)]
     held(tokencount.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH), texts)
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    word = "a"
+    for _ in range(10):  # the Thue-Morse string and its complement
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba"))]
+    held(tokencount.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH), texts)
+
+
+def test_a_hash_that_is_always_equal_changes_no_count(spark, monkeypatch):
+    """Bytes decide: with one hash for all spans, counts stay right."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokencount.common, "span_hashes", lambda data, starts, ends, fold=False: np.full(len(starts), 5, np.uint64))
+    texts = ["aa bb aa cc", "bb", "", "dddd eeee dddd"]
+    pieces = tokencount.piece_model(PATH)
+    table = tokencount.Table([b" aa", b" bb"], pieces.pre_tokens([b" aa", b" bb"]))
+    got = tokencount._sum(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), pieces, tokencount._Cache(), table)
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert got.tolist() == [len(model.encode(t)) for t in texts]
