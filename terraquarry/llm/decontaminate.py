@@ -2,12 +2,12 @@
 
 The benchmark is the stated query set: it is read in blocks of bounded size, and each
 block is broadcast to one map pass over the documents. For each item the windows of a
-document that have as many words as the item are candidates. A window that shares too few
-shingles with every item cannot reach the threshold, so fingerprints are made only where
-an item's shingles gather (which loses nothing). A multi-index of Hamming blocks gives all
-items within the radius of a window's fingerprint: with radius + 1 blocks, one of them at
-least is equal. Each such item is verified by the weighted Jaccard similarity of shingle
-counts, exactly.
+document that have as many shingles as the item are searched, wherever a window holds at
+least one shingle of an item (no other can be similar). A multi-index of Hamming blocks
+gives all items within the radius of a window's fingerprint: each block has a radius of its
+own, and the block radii are such that one block at least is within its own whenever the
+whole is. Each such item is verified by the weighted Jaccard similarity of shingle counts,
+exactly.
 """
 
 from __future__ import annotations
@@ -18,13 +18,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from terraquarry.llm import common
 
-#: Bits of a fingerprint, and the radius of the search. At a similarity of 0.8, windows of
-#: equal size share 8 of 9 shingles, and fingerprints differ in 19 bits on average with a
-#: deviation of 4: five deviations and more are within the radius.
-BITS, RADIUS = 128, 42
+#: Bits of a fingerprint, and of a block of it. Windows of equal size that share 8 of 9
+#: shingles (a similarity of 0.8) differ in 39 of 256 bits on average, with a deviation of 6.
+BITS, BLOCK_BITS = 256, 32
+#: Five deviations more: of pairs at the threshold itself some three in 10**7 are missed.
+#: Unrelated windows differ in 128 bits, with a deviation of 8.
+RADIUS = 67
+#: Windows that are searched at once.
+QUERIES = 512
 
 
 def shingle_bits(hashes: np.ndarray) -> np.ndarray:
@@ -34,31 +39,39 @@ def shingle_bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(sums: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-    """SimHash: the majority of the bits of each window's shingles, as 0 or 1."""
-    return (2 * sums > np.reshape(size, (-1, 1))).astype(np.uint8)
+    """SimHash: the majority of the bits of each window's shingles, as BITS // BLOCK_BITS blocks."""
+    return np.packbits(2 * sums > np.reshape(size, (-1, 1)), axis=1).view(np.uint32)
 
 
 class MultiIndex:
-    """All stored fingerprints within a Hamming radius of a query."""
+    """All stored fingerprints within a Hamming radius of a query.
+
+    Block radii sum to radius - blocks + 1: if every block were beyond its own, the whole
+    would be beyond ``radius``. Each block has its stored values in buckets, and a query
+    opens those within the block's radius, about 1 in 1,000 of unrelated ones.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
         self.prints, self.radius = prints, radius
-        self.blocks = np.array_split(np.arange(BITS), radius + 1)
-        self.weights = [1 << np.arange(len(b)) for b in self.blocks]
-        self.tables: list[dict[int, list[int]]] = []
-        for block, weight in zip(self.blocks, self.weights, strict=True):
-            table: dict[int, list[int]] = {}
-            for at, value in enumerate((prints[:, block] @ weight).tolist()):
-                table.setdefault(value, []).append(at)
-            self.tables.append(table)
-
-    def within(self, query: np.ndarray) -> np.ndarray:
-        """Indices of the fingerprints at most ``radius`` bits away."""
-        found: set[int] = set()
-        for block, weight, table in zip(self.blocks, self.weights, self.tables, strict=True):
-            found.update(table.get(int(query[block] @ weight), ()))
-        near = np.fromiter(found, np.int64, len(found))
-        return near[(self.prints[near] != query).sum(1) <= self.radius]
+        blocks = prints.shape[1]
+        least, more = divmod(radius - blocks + 1, blocks)
+        self.radii = [least + (b < more) for b in range(blocks)]
+        self.buckets = [np.unique(prints[:, b], return_inverse=True) for b in range(blocks)]
+
+    def candidates(self, queries: np.ndarray) -> np.ndarray:
+        """A matrix of queries by fingerprints: whether a block opens the fingerprint's bucket."""
+        out = np.zeros((len(queries), len(self.prints)), bool)
+        for b, (radius, (values, bucket)) in enumerate(zip(self.radii, self.buckets, strict=True)):
+            near = np.bitwise_count(queries[:, b, None] ^ values) <= radius
+            open_ = np.flatnonzero(near.any(1))
+            out[open_] |= near[open_][:, bucket]
+        return out
+
+    def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a fingerprint that are at most ``radius`` bits apart."""
+        query, at = np.nonzero(self.candidates(queries))
+        near = np.bitwise_count(queries[query] ^ self.prints[at]).sum(1, dtype=np.int64) <= self.radius
+        return query[near], at[near]
 
 
 class Items:
@@ -95,13 +108,9 @@ class Items:
         self.by_size: dict[int, tuple[np.ndarray, MultiIndex]] = {}
         for size in np.unique(self.sizes[self.sizes > 0]).tolist():
             members = np.flatnonzero(self.sizes == size)
-            prints = np.concatenate([fingerprint(shingle_bits(self.shingles[m]).sum(0, dtype=np.int64)[None], size) for m in members])
+            prints = fingerprint(np.stack([shingle_bits(self.shingles[m]).sum(0, dtype=np.int64) for m in members]), size)
             self.by_size[size] = members, MultiIndex(prints)
 
-    def needed(self, size: int, window: int) -> float:
-        """The least shared count of an item and a window of these sizes at the threshold."""
-        return self.threshold * (size + window) / (1 + self.threshold)
-
     def similarity(self, item: int, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of shingle counts."""
         values, counts = self.counted[item]
@@ -134,18 +143,13 @@ class Items:
 
     def _windows(self, hashes: np.ndarray, hits: np.ndarray, size: int, best: dict[int, tuple[float, int]]) -> None:
         window = min(size, len(hashes))
-        starts = np.unique(np.concatenate([np.arange(max(0, a - window + 1), min(b, len(hashes) - window) + 1) for a, b in _stretches(hits, window)]))
-        shared = np.searchsorted(hits, starts + window) - np.searchsorted(hits, starts)
-        starts = starts[shared >= self.needed(size, window) - 1e-9]
-        if not len(starts):
-            return
         members, index = self.by_size[size]
-        for a, b in _stretches(starts, window):
-            own = starts[(starts >= a) & (starts <= b)]
-            sums = np.concatenate((np.zeros((1, BITS), np.int64), np.cumsum(shingle_bits(hashes[a : b + window]), axis=0, dtype=np.int64)))
-            prints = fingerprint(sums[own - a + window] - sums[own - a], window)
-            for start, query in zip(own.tolist(), prints, strict=True):
-                for item in members[index.within(query)].tolist():
+        for a, b in _stretches(hits, window):
+            for first in range(max(0, a - window + 1), min(b, len(hashes) - window) + 1, QUERIES):
+                starts = np.arange(first, min(first + QUERIES, min(b, len(hashes) - window) + 1))
+                sums = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(shingle_bits(hashes[first : starts[-1] + window]), axis=0, dtype=np.int32)))
+                query, near = index.within(fingerprint(sums[starts - first + window] - sums[starts - first], window))
+                for start, item in zip(starts[query].tolist(), members[near].tolist(), strict=True):
                     s = self.similarity(item, hashes[start : start + window])
                     if s >= self.threshold - 1e-12 and s > best.get(item, (0.0, 0))[0]:
                         best[item] = s, start
@@ -192,50 +196,98 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, thr
     beyond ASCII, A-Z lower-cased. An item or a document of fewer words than a shingle has
     its whole sequence as one shingle, and a document shorter than an item is its only
     window. With ``short_items``, an item of fewer words than a shingle is found wherever
-    its words stand in a row, at similarity 1. Null and wordless texts match nothing; null ids stay null; repeated documents
-    and repeated items each have their own rows; other columns are ignored; without
-    documents or items there are no rows.
+    its words stand in a row, at similarity 1. Null and wordless texts match nothing; null
+    ids stay null, and ids may have any type; repeated documents and repeated items each
+    have their own rows; other columns are ignored; without documents or items there are
+    no rows.
 
     The benchmark goes to the executors in blocks of at most ``block_items`` items and
-    ``block_bytes`` characters, each with a pass over the documents: any size works.
+    ``block_bytes`` characters, each with a pass over the documents: any size works. Of
+    several blocks, one is held at a time: its rows are written before the next is read.
     """
     spark = docs.sparkSession
     common.tune(spark)
     docs = common.documents(docs, id_col, text_col)
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, similarity double, first_word long, n_words long"
+    items = _items(benchmark, item_col, item_text_col)
+    kind = items.schema["item_id"].dataType
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}, similarity double, first_word long, n_words long"
     found = None
-    for ids, texts in item_blocks(items, block_items, block_bytes):
-        block = spark.sparkContext.broadcast(Items(ids, texts, shingle, threshold, short_items))
-        part = docs.mapInArrow(_pass(block), schema)
+    for block, more in _blocks(spark, items, shingle, threshold, short_items, block_items, block_bytes):
+        part = docs.mapInArrow(_pass(block, to_arrow_type(kind)), schema)
+        if more:
+            part = common.materialize(part, "leaks")
+            block.destroy()
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
 
-def _pass(block):
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+
+
+def _blocks(spark, items: DataFrame, shingle: int, threshold: float, short_items: bool, block_items: int, block_bytes: int):
+    """Broadcast blocks of items one after another, and whether there is more than one block."""
+    blocks = item_blocks(items, block_items, block_bytes)
+    ahead, several = next(blocks, None), False
+    while ahead is not None:
+        now, ahead = ahead, next(blocks, None)
+        several |= ahead is not None
+        yield spark.sparkContext.broadcast(Items(*now, shingle, threshold, short_items)), several
+
+
+def _found(batches: Iterable[pa.RecordBatch], items: Items, column: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, float, int]]]]:
+    """Batches, and what stands in each: row, item, similarity, first word."""
+    for batch in common.chunks(batches, column):
+        data, offsets = common.text_buffers(batch.column(batch.schema.names.index(column)))
+        words, _, _, first = common.word_hashes(data, offsets, common.WORD_BYTES)
+        hashes, good, counts = common.shingle_hashes(words, first, items.shingle)
+        hashes = hashes[good]
+        known = items.filter[(hashes >> np.uint64(42)).astype(np.int64)]
+        before = np.concatenate(([0], np.cumsum(known)))[counts]
+        rows = []
+        for at in np.flatnonzero(np.diff(before)).tolist():
+            rows += [(at, *f) for f in items.search(hashes[counts[at] : counts[at + 1]])]
+        rows += [(at, item, 1.0, start) for at, item, start in _short_rows(items, words, first)]
+        yield batch, rows
+
+
+def _pass(block, kind: pa.DataType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = block.value
-        for batch in common.chunks(batches):
-            data, offsets = common.text_buffers(batch.column("text"))
-            words, _, _, first = common.word_hashes(data, offsets, common.WORD_BYTES)
-            hashes, good, counts = common.shingle_hashes(words, first, items.shingle)
-            hashes = hashes[good]
-            likely = items.filter[(hashes >> np.uint64(42)).astype(np.int64)]
-            before = np.concatenate(([0], np.cumsum(likely)))[counts]
-            rows = []
-            for at in np.flatnonzero(np.diff(before)).tolist():
-                for item, similarity, start in items.search(hashes[counts[at] : counts[at + 1]]):
-                    rows.append((at, items.ids[item], similarity, start, int(items.words[item])))
-            rows += [(at, items.ids[item], 1.0, start, int(items.words[item])) for at, item, start in _short_rows(items, words, first)]
+        for batch, rows in _found(batches, items, "text"):
             if rows:
-                at, ids, *rest = zip(*rows, strict=True)
-                types = pa.float64(), pa.int64(), pa.int64()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(ids), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
+                at, which, similarity, start = zip(*rows, strict=True)
+                ids = pa.array([items.ids[i] for i in which], kind)
+                sizes = pa.array(items.words[list(which)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), ids, pa.array(similarity, pa.float64()), pa.array(start, pa.int64()), sizes], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that contain no benchmark item, with all their columns (rows without an id stay)."""
-    found = common.materialize(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(found, docs[options.get("id_col", "doc_id")] == found["_leak"], "left_anti")
+def _without(block, column: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in _found(batches, block.value, column):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r[0] for r in rows]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, threshold: float = 0.8, short_items: bool = False, block_items: int = 10_000, block_bytes: int = 8 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows whose text contains no benchmark item, with all their columns.
+
+    Each row is judged by its own text, in the same pass that drops it: rows that share an
+    id, or have none, need not share their fate. For the rest, see ``contaminated``.
+    """
+    spark = docs.sparkSession
+    common.tune(spark)
+    before = None
+    for block, several in _blocks(spark, _items(benchmark, item_col, item_text_col), shingle, threshold, short_items, block_items, block_bytes):
+        docs = docs.mapInArrow(_without(block, text_col), docs.schema)
+        if several:
+            docs = common.materialize(docs, "clean")
+            block.destroy()
+            common.drop(before)
+            before = docs
+    return docs

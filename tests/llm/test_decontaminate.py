@@ -70,15 +70,44 @@ def test_edited_items_and_edge_cases(spark):
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0
 
 
-def test_multi_index_finds_all_within_the_radius():
+def test_multi_index_finds_all_within_the_radius_and_little_else():
     draw = np.random.default_rng(1)
-    prints = draw.integers(0, 2, (300, decontaminate.BITS)).astype(np.uint8)
-    index = decontaminate.MultiIndex(prints, 42)
-    for at in range(0, 300, 10):
-        query = prints[at].copy()
-        query[draw.choice(decontaminate.BITS, 40, replace=False)] ^= 1
-        want = np.flatnonzero((prints != query).sum(1) <= 42)
-        assert sorted(index.within(query).tolist()) == want.tolist() and at in want
+    bits = draw.integers(0, 2, (300, decontaminate.BITS)).astype(np.uint8)
+    pack = lambda x: np.packbits(x, axis=1).view(np.uint32)
+    index = decontaminate.MultiIndex(pack(bits))
+    assert sum(index.radii) == decontaminate.RADIUS - len(index.radii) + 1
+    queries = bits[::10].copy()
+    for q in queries:
+        q[draw.choice(decontaminate.BITS, draw.integers(0, decontaminate.RADIUS + 1), replace=False)] ^= 1
+    query, at = index.within(pack(queries))
+    differ = (queries[:, None] != bits).sum(2)
+    assert sorted(zip(query.tolist(), at.tolist(), strict=True)) == sorted(map(tuple, np.argwhere(differ <= decontaminate.RADIUS).tolist()))
+    assert (query * 10 == at).sum() == len(queries)
+    assert index.candidates(pack(draw.integers(0, 2, (200, decontaminate.BITS)).astype(np.uint8))).mean() < 0.03  # of unrelated ones
+
+
+def test_windows_at_the_threshold_are_within_the_radius():
+    draw = np.random.default_rng(2)
+    for size in (9, 18, 45, 90):
+        shared = -(-size * 8 // 9)  # the least at a similarity of 0.8
+        differ = []
+        for _ in range(400):
+            own = draw.integers(0, 1 << 63, 2 * size).astype(np.uint64)
+            a, b = own[:size], np.concatenate((own[:shared], own[size : 2 * size - shared]))
+            x, y = (decontaminate.fingerprint(decontaminate.shingle_bits(s).sum(0, dtype=np.int64)[None], size) for s in (a, b))
+            differ.append(int(np.bitwise_count(x ^ y).sum()))
+        assert max(differ) <= decontaminate.RADIUS
+
+
+def test_rows_that_share_an_id_and_ids_of_any_type(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    for kind, ids in (("int", [1, 1, None]), ("string", ["a", "a", None]), ("long", [1, 1, None])):
+        docs = spark.createDataFrame(list(zip(ids, ["see " + item, "clean text here", "null " + item], strict=True)), f"doc_id {kind}, text string")
+        bench = spark.createDataFrame([(ids[0], item), (ids[0], item), (None, item)], f"item_id {kind}, text string")
+        got = decontaminate.contaminated(docs, bench).collect()
+        assert sorted([(r.doc_id, r.item_id) for r in got], key=str) == sorted([(d, i) for d in (ids[0], None) for i in (ids[0], ids[0], None)], key=str)
+        assert [r.text for r in decontaminate.decontaminate(docs, bench).collect()] == ["clean text here"]
+        assert [r.text for r in decontaminate.decontaminate(docs, bench, block_items=1).collect()] == ["clean text here"]
 
 
 def test_short_items_are_found_in_longer_documents(spark, tmp_path):
