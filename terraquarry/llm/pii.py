@@ -14,11 +14,12 @@ import functools
 import hashlib
 import math
 import re
+import secrets
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquarry.llm import common
@@ -35,7 +36,7 @@ def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False) -
     width = max(8, (max(left_size, right_size).bit_length() + 7) // 8 + 8)
 
     def f(step: int, half: int) -> int:
-        text = f"{tweak}|{size}|{step}|{half}".encode()
+        text = f"{tweak}|{size:x}|{step}|{half:x}".encode()  # hex: decimal digits of long values have a limit
         return int.from_bytes(hashlib.blake2b(text, key=key, digest_size=min(64, width)).digest(), "big")
 
     while True:
@@ -110,6 +111,10 @@ class Iban:
         return "".join(c if c == " " else next(new) for c in text)
 
 
+#: Country calling codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 class Phone:
     """North American numbers, and others with a country code."""
 
@@ -123,8 +128,7 @@ class Phone:
     def permute(text: str, p: Callable[[int, int, str], int]) -> str:
         d = digits_of(text)
         if text.startswith("+") and d[0] != "1":
-            code = len(digits_of(re.split(r"[ .(-]", text, maxsplit=1)[0]))
-            code = code if code <= 3 else 2
+            code = 1 if d[0] == "7" else 2 if d[:2] in TWO_DIGIT_CODES else 3
             return laid_out(text, d[:code] + permuted_string(d[code:], "phone" + d[:code], p))
         code, own = d[:-10], d[-10:]
         if own[0] >= "2" and own[3] >= "2":  # area and exchange codes begin with 2 to 9
@@ -205,7 +209,8 @@ class Email:
 
     @staticmethod
     def valid(text: str) -> bool:
-        return True
+        local, _, host = text.partition("@")
+        return len(local) <= 64 and len(host) <= 255  # the longest that mail has
 
     @staticmethod
     def permute(text: str, p: Callable[[int, int, str], int]) -> str:
@@ -271,14 +276,28 @@ class Pseudonyms:
         return "".join([*parts, text[at:]]) if found else text, found
 
 
-def pseudonymise(docs: DataFrame, *, key: bytes = b"terraquarry", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: The setting that names the key, as text.
+KEY_SETTING = "spark.terraquarry.pii.key"
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting names; without one, a new random key.
+
+    Values are linked within what one key has made: set one to link results of different runs.
+    """
+    named = spark.conf.get(KEY_SETTING, None)
+    return hashlib.blake2b(named.encode()).digest() if named else secrets.token_bytes(32)
+
+
+def pseudonymise(docs: DataFrame, *, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with its personal data replaced: doc_id, text, n_found, n_<kind>, spans.
 
     spans lists kind:start:end of the input text, in order, joined by commas; ends are
     exclusive, in code points. A null text stays null with nothing found; a text without
     personal data is unchanged; repeated rows are treated alike; other columns are ignored;
-    an empty table gives no rows. Values that no rule validates stay as they are. The
-    default key is for tests: whoever has the key can undo the pseudonyms.
+    an empty table gives no rows. Values that no rule validates stay as they are, such as
+    mail addresses of more than 64 characters before the sign or 255 after it. Whoever has
+    the key (64 bytes at most) can undo the pseudonyms.
     """
     common.tune(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -300,7 +319,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes = b"terraquarry", id_col: str =
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {counts}, spans string")
 
 
-def pseudonymised_text(docs: DataFrame, *, key: bytes = b"terraquarry", text_col: str = "text") -> DataFrame:
+def pseudonymised_text(docs: DataFrame, *, key: bytes, text_col: str = "text") -> DataFrame:
     """The same for a table with any columns: the text column alone is changed, in place."""
     common.tune(docs.sparkSession)
     at = docs.columns.index(text_col)

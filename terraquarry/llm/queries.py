@@ -50,7 +50,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key=pii.session_key(spark))
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,27 @@ def test_what_no_rule_validates_stays(text):
     assert pii.Pseudonyms(b"key").replace(text) == (text, [])
 
 
+def test_long_addresses_are_no_addresses_and_long_values_are_permuted():
+    names = pii.Pseudonyms(b"key")
+    for text in ("x" * 5000 + "@b.co", "a@" + "b" * 300 + ".co", "x" * 65 + "@b.co"):
+        assert names.replace(text) == (text, [])
+    assert names.replace("x" * 64 + "@b.co")[1] == [(0, 69, "email")]
+    assert pii.feistel(pii.feistel(26**5000 - 1, 26**5000, b"k", "t"), 26**5000, b"k", "t", back=True) == 26**5000 - 1
+
+
+def test_a_number_is_linked_however_its_country_code_is_set_off():
+    names = pii.Pseudonyms(b"key")
+    for a, b in (("+353 12345678", "+35312345678"), ("+49 30 1234567", "+49301234567"), ("+7 495 1234567", "+74951234567")):
+        assert pii.digits_of(names.of("phone", a)) == pii.digits_of(names.of("phone", b))
+
+
+def test_a_session_without_a_key_gets_a_new_one(spark):
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.session_key(spark) != pii.session_key(spark)
+    spark.conf.set(pii.KEY_SETTING, "x")
+    assert pii.session_key(spark) == pii.session_key(spark)
+
+
 def test_values_of_one_kind_stay_different():
     names, draw = pii.Pseudonyms(b"key"), random.Random(1)
     values = {".".join(str(draw.randrange(256)) for _ in range(4)) for _ in range(2000)}
@@ -61,9 +82,10 @@ def test_values_of_one_kind_stay_different():
 def test_queries_and_edge_cases(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
+    spark.conf.set(pii.KEY_SETTING, "a key for tests")
     found = queries.op6_pii(spark, sf).collect()
     assert len(found) == len(texts)
-    names = pii.Pseudonyms(b"terraquarry")
+    names = pii.Pseudonyms(pii.session_key(spark))
     assert sum(r.n_found for r in found) > 0
     for r in found:
         spans = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
@@ -74,9 +96,9 @@ def test_queries_and_edge_cases(spark, sf):
         assert r.text == (None if texts[r.doc_id] is None else "".join(parts) + texts[r.doc_id][at:])
     rows = [(1, None), (2, ""), (3, "mail a@b.co"), (3, "mail a@b.co"), (None, "8.8.8.8"), (4, "x" * 400_000 + " 8.8.8.8")]
     odd = spark.createDataFrame([(*r, 7, "c") for r in rows], "doc_id long, text string, n_found int, spans string")
-    got = [(r.doc_id, r.n_found, r.text is None) for r in pii.pseudonymise(odd).collect()]
+    got = [(r.doc_id, r.n_found, r.text is None) for r in pii.pseudonymise(odd, key=b"k").collect()]
     assert sorted(got, key=str) == sorted([(1, 0, True), (2, 0, False), (3, 1, False), (3, 1, False), (None, 1, False), (4, 1, False)], key=str)
-    changed = pii.pseudonymised_text(odd)
+    changed = pii.pseudonymised_text(odd, key=b"k")
     assert changed.schema == odd.schema
     assert {(r.n_found, r.spans) for r in changed.collect()} == {(7, "c")}
-    assert pii.pseudonymise(odd.limit(0)).count() == 0
+    assert pii.pseudonymise(odd.limit(0), key=b"k").count() == 0

@@ -12,6 +12,7 @@ from terraquarry.llm import common, pii
 @pytest.fixture(scope="module")
 def steps(spark, sf):
     """The input and each stage's result, all but the last collected."""
+    spark.conf.set(pii.KEY_SETTING, "a key for tests")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = [docs.collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -43,9 +44,9 @@ def test_contaminated_documents_go(spark, sf, steps):
     assert bad and {r.doc_id for r in after} == {r.doc_id for r in before} - bad
 
 
-def test_personal_data_is_replaced(steps):
+def test_personal_data_is_replaced(spark, steps):
     (*_, before, after), _ = steps
-    names = pii.Pseudonyms(b"terraquarry")
+    names = pii.Pseudonyms(pii.session_key(spark))
     texts = {r.doc_id: r for r in after}
     assert len(texts) == len(before)
     for r in before:
@@ -56,3 +57,22 @@ def test_personal_data_is_replaced(steps):
 def test_all_that_is_kept_is_packed(steps):
     (*_, before), last = steps
     packed(last, {r.doc_id: r.text for r in before})
+
+
+def test_edge_cases(spark, tmp_path):
+    """Repeated ids and rows, null ids and texts, empty texts and tables, further columns."""
+    prose = " ".join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'").orderBy("doc_id").first().text.split()[:80])
+    rows = [(0, prose, "en", "s", 1), (0, prose, "en", "s", 1), (0, prose[::-1], "en", "s", 1), (None, prose, "en", "s", 1), (None, None, None, None, None), (5, None, "en", "s", 0), (6, "", "en", "s", 0), (7, "42", "en", "s", 2)]
+    frame = spark.createDataFrame([(*r, "more") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "no such passage in any of these documents")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    counts = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.columns == frame.columns
+        counts.append(docs.count())
+    assert counts[0] - counts[1] == 1  # of the equal rows one goes; the row without an id is in no group
+    assert corpus_pipeline.run(spark, str(tmp_path)).where("doc_id = 0").count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0
