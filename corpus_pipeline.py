@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by pseudonyms; n_chars follows the text."""
-    return pii.pseudonymised_text(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return pii.pseudonymised_text(docs, key=pii.session_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
