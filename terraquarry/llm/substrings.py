@@ -15,10 +15,11 @@ the suffix array that all start alike.
    members of each interval are sorted by what precedes the anchor, and the same scan gives
    the sets that differ to the left: each set that also differs to the right is a maximal
    repeat, with all its occurrences.
-4. The array is dealt by range and scanned in blocks, so that an anchor string of any number
-   of contexts spreads over tasks. A window can repeat beyond its block only as far as it
-   agrees with the block's first or last row; the windows that do are matched between blocks
-   by digests, one of each that the block's own tree has settled already.
+4. The array is scanned in blocks of bounded size. Most hold whole anchor strings; one of
+   more contexts than a block is dealt by range, over as many tasks as it fills. A window can
+   repeat beyond its block only as far as it agrees with the block's first or last row; the
+   windows that do are matched between blocks by digests, one of each that the block's own
+   tree has settled already.
 
 Anchors are chosen and grouped by a rolling hash, which need not be free of collisions:
 within a group, bytes are compared. Whole contexts are compared by 64-bit and windows at
@@ -41,7 +42,7 @@ from terraquarry.llm import common
 #: Bytes of an anchor string.
 GRAM = 128
 #: Rows of the suffix array that are scanned together.
-BLOCK = 2000
+BLOCK = 4000
 _PLACE = 24
 _PLACES = np.uint64((1 << _PLACE) - 1)
 #: A longer text is searched in pieces of so many windows.
@@ -211,11 +212,12 @@ def _digests(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 FOUND = "first long, last long, w1 long, w2 long"
 
 
-def _repeats(batches: Iterable[pa.RecordBatch], length: int, block: int) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterable[pa.RecordBatch], length: int, block: int, dealt: bool) -> Iterator[pa.RecordBatch]:
     """From rows sorted by anchor string and what follows it: repeated windows of contexts that occur once.
 
     Rows with a digest (w1, w2) are windows that may repeat in another block; those without a
-    place (first is null) stand for windows that are settled in their own block.
+    place (first is null) stand for windows that are settled in their own block. Such rows are
+    given where anchor strings are ``dealt`` over blocks.
     """
     names = [*KEY, "first", "last", "w1", "w2"]
     for table, before, after in _blocks(batches, block):
@@ -249,7 +251,7 @@ def _repeats(batches: Iterable[pa.RecordBatch], length: int, block: int) -> Iter
         own = times[rows] == 1
         yield _runs_of(table, names, rows[own], least[own], most[own], lead)
         open_ = [(0, int(edges[1]))] * before + [(int(edges[-2]), len(lead))] * after
-        if open_:
+        if dealt and open_:
             settled = rows, least, most
             yield from _border(table, names, length, sorted(set(open_)), before, after, (left, right, right_lengths, lead, windows, times), settled)
 
@@ -327,15 +329,15 @@ def _contexts(wanted: DataFrame, docs: DataFrame, length: int, reach: int | None
             left = [data[a:b][::-1].tobytes() for a, b in zip(at, place, strict=True)]
             right = [data[a:b].tobytes() for a, b in zip(place, end, strict=True)]
             keys = batch.select(KEY).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*keys.columns, *(entries.field(c) for c in ("gram", "context", "start", "lead", "windows", "times")), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=[*KEY, "gram", "context", "start", "lead", "windows", "times", "left", "right"])
+            yield pa.RecordBatch.from_arrays([*keys.columns, *(entries.field(c) for c in ("gram", "context", "members", "start", "lead", "windows", "times")), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=[*KEY, "gram", "context", "members", "start", "lead", "windows", "times", "left", "right"])
 
-    return _with_text(wanted, docs).mapInArrow(run, f"{_key_schema(docs)}, gram long, context long, start long, lead int, windows int, times long, left binary, right binary")
+    return _with_text(wanted, docs).mapInArrow(run, f"{_key_schema(docs)}, gram long, context long, members long, start long, lead int, windows int, times long, left binary, right binary")
 
 
 def _with_text(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents with the wanted anchors of each, as one list; other texts are held back map-side."""
     near = common.likely(docs, F.xxhash64(*KEY), wanted.select(F.xxhash64(*KEY).alias("k")).distinct()).where("likely")
-    own = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "context", "start", "lead", "windows", "times")).alias("own")).hint("merge")
+    own = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "context", "members", "start", "lead", "windows", "times")).alias("own")).hint("merge")
     return near.join(own, _same(near, own)).select(near["doc_id"], near["text_hash"], "text", "own")
 
 
@@ -353,7 +355,7 @@ def _leaves(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
 def _array(docs: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
     """The suffix array: differing contexts of anchor strings of which one occurs once, by anchor string and what follows."""
-    some = contexts.where("mixed").groupBy("gram").agg(F.min("times").alias("least")).where("least = 1").select("gram")
+    some = contexts.where("mixed").groupBy("gram").agg(F.min("times").alias("least"), F.count("*").alias("members")).where("least = 1").select("gram", "members")
     some = common.materialize(some, "open")
     wanted = common.materialize(contexts.where("mixed").hint("merge").join(some, "gram"), "wanted")
     texts = common.materialize(_contexts(wanted, docs, length), "texts")
@@ -369,9 +371,14 @@ def repeated_windows(docs: DataFrame, length: int, block: int) -> DataFrame:
     several = again.where("mixed").hint("merge").join(leaves, ["gram", "context"]).select(*run)
 
     texts = _array(docs, contexts, length)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = texts.repartitionByRange(parts, "gram", "right").sortWithinPartitions("gram", "right")
-    scanned = common.materialize(sorted_.mapInArrow(lambda b: _repeats(b, length, block), f"{_key_schema(docs)}, {FOUND}"), "scanned")
+    schema = f"{_key_schema(docs)}, {FOUND}"
+    whole = texts.where(F.col("members") <= block).repartition("gram").sortWithinPartitions("gram", "right")
+    scanned = whole.mapInArrow(lambda b: _repeats(b, length, block, False), schema)
+    large = texts.where(F.col("members") > block)
+    if count := large.count():
+        dealt = large.repartitionByRange(-(-count // block), "gram", "right").sortWithinPartitions("gram", "right")
+        scanned = scanned.unionByName(dealt.mapInArrow(lambda b: _repeats(b, length, block, True), schema))
+    scanned = common.materialize(scanned, "scanned")
     border = scanned.where("w1 IS NOT NULL")
     across = border.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     across = border.where("first IS NOT NULL").join(across, ["w1", "w2"]).select(*KEY, "first", "last")
@@ -393,7 +400,7 @@ def repeat_groups(docs: DataFrame, *, length: int = 400, reach: int = 2000, bloc
     docs = _keyed(docs, length, id_col, text_col)
     again, contexts = _leaves(docs, length)
     common.drop(contexts)
-    texts = common.materialize(_contexts(again.withColumn("times", F.lit(1).cast("long")), docs, length, reach), "texts")
+    texts = common.materialize(_contexts(again.withColumns({"times": F.lit(1).cast("long"), "members": F.lit(0).cast("long")}), docs, length, reach), "texts")
     sorted_ = texts.repartition("gram").sortWithinPartitions("gram", "right")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
