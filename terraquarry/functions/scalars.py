@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +59,44 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
+
+
+def unit(a: Column) -> Column:
+    """The array scaled to length 1; null for a zero vector."""
+    return F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: (x / n).cast("float"))))[0]
+
+
+def strict_iso_datetime(text: Column) -> Column:
+    """As ``parse_iso_datetime``, but text that is missing, empty or malformed is an error."""
+    found = parse_iso_datetime(text)
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("Invalid ISO datetime: "), F.coalesce(text, F.lit("null")))).cast("timestamp"))
+
+
+def filter_datetime(value, end_of_day: bool = False) -> datetime.datetime | None:
+    """A filter's bound in UTC: None, a date (its first or last microsecond), a datetime, or ISO text of either."""
+    if value is None:
+        return None
+    if isinstance(value, str):
+        text = value.strip()
+        if not text:
+            raise ValueError("a date filter can't be empty")
+        try:
+            value = datetime.date.fromisoformat(text)
+        except ValueError:
+            try:
+                value = datetime.datetime.fromisoformat(re.sub("[zZ]$", "+00:00", text))
+            except ValueError as error:
+                raise ValueError(f"invalid date or datetime {text!r}") from error
+    if isinstance(value, bool) or not isinstance(value, datetime.date):
+        raise TypeError(f"a date filter is a str, date or datetime, not {type(value).__name__}")
+    if not isinstance(value, datetime.datetime):
+        return datetime.datetime.combine(value, datetime.time.max if end_of_day else datetime.time.min, datetime.UTC)
+    return value.replace(tzinfo=datetime.UTC) if value.utcoffset() is None else value.astimezone(datetime.UTC)
+
+
+def file_size_text(size: Column) -> Column:
+    """Bytes as text such as 598.2 MB: whole bytes, one place from KB to TB."""
+    out = F.format_string("%d B", size.cast("long"))
+    for power, name in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = F.when(size >= 1024.0**power, F.format_string(f"%.1f {name}", size / 1024.0**power)).otherwise(out)
+    return out

@@ -47,9 +47,9 @@ def thresholds(pixels: DataFrame, k: float = 3.0, offset: float = 0.0, by: str =
     return spread.withColumn("threshold", F.col("median") + F.greatest(k * MAD_SCALE * F.col("mad"), F.lit(offset)))
 
 
-def candidates(pixels: DataFrame, k: float = 3.0, offset: float = 0.0) -> DataFrame:
-    """Pixels over their raster's threshold."""
-    limits = thresholds(pixels, k, offset).select("pair_id", "threshold")
+def candidates(pixels: DataFrame, k: float = 3.0, offset: float = 0.0, limits: DataFrame | None = None) -> DataFrame:
+    """Pixels over their raster's threshold (of ``limits``, if given), strictly."""
+    limits = (thresholds(pixels, k, offset) if limits is None else limits).select("pair_id", "threshold")
     return pixels.join(limits, "pair_id").where(is_finite(F.col("magnitude")) & (F.col("magnitude") > F.col("threshold")))
 
 
@@ -65,12 +65,13 @@ def components8(mask: DataFrame, width: int) -> DataFrame:
     """(pair_id, r, c, component, area): 8-connected components, named by their least r * width + c.
 
     A raster is one tile of bounded size (width times its rows), so a group is one; its labels
-    spread by pointer jumping in NumPy.
+    spread by pointer jumping in NumPy. A pixel that is given twice counts once.
     """
+    kind = mask.schema["pair_id"].dataType.simpleString()
 
     def label(frame: pd.DataFrame) -> pd.DataFrame:
         r, c = frame["r"].to_numpy(np.int64), frame["c"].to_numpy(np.int64)
-        place = np.sort(r * width + c)
+        place = np.unique(r * width + c)
         r, c = np.divmod(place, width)
         ends = []
         for i, j in ((0, 1), (1, -1), (1, 0), (1, 1)):
@@ -92,28 +93,50 @@ def components8(mask: DataFrame, width: int) -> DataFrame:
         area = np.bincount(root, minlength=len(root))[root]
         return pd.DataFrame({"pair_id": frame["pair_id"].iloc[0], "r": r, "c": c, "component": place[root], "area": area})
 
-    return mask.select(*PIXEL).groupBy("pair_id").applyInPandas(label, "pair_id long, r long, c long, component long, area long")
+    return mask.select(*PIXEL).groupBy("pair_id").applyInPandas(label, f"pair_id {kind}, r long, c long, component long, area long")
 
 
-def suppress(pixels: DataFrame, width: int, k: float = 3.0, offset: float = 0.0, min_neighbors: int = 2, min_area: int = 4) -> DataFrame:
-    """Confirmed pixels with a confidence of 0.05 to 1: half spectral margin, half density of candidates around."""
-    near = neighbors8(candidates(pixels, k, offset))
-    kept = components8(near.where(F.col("neighbors") >= min_neighbors), width).where(F.col("area") >= min_area)
+#: The weights of spectral margin and of eight neighbours, and the least confidence.
+MARGIN_WEIGHT, NEIGHBOR_WEIGHT, LEAST_CONFIDENCE = 0.5, 0.5 / 8, 0.05
+
+
+def confidence() -> Column:
+    """0.05 to 1 from magnitude, threshold and neighbors: half spectral margin, half density of candidates around."""
     total = F.col("magnitude") + F.col("threshold")
     margin = F.when(total > 0, (F.col("magnitude") - F.col("threshold")) / total).otherwise(0.0)
-    confidence = F.least(F.greatest(0.5 * margin + F.col("neighbors") / 16.0, F.lit(0.05)), F.lit(1.0))
-    return near.join(kept, PIXEL).select(*PIXEL, "neighbors", "component", "area", confidence.alias("confidence"))
+    return F.least(F.greatest(MARGIN_WEIGHT * margin + NEIGHBOR_WEIGHT * F.col("neighbors"), F.lit(LEAST_CONFIDENCE)), F.lit(1.0))
+
+
+def supported(pixels: DataFrame, width: int, min_neighbors: int = 2, min_area: int = 4) -> DataFrame:
+    """Candidates (pair_id, r, c, magnitude, threshold) with neighbors, component, area and confidence; the last three null where not confirmed.
+
+    Confirmed are candidates of ``min_neighbors`` and more, in a component of them of ``min_area`` and more.
+    """
+    near = neighbors8(pixels)
+    kept = components8(near.where(F.col("neighbors") >= min_neighbors), width).where(F.col("area") >= min_area)
+    return near.join(kept, PIXEL, "left").withColumn("confidence", F.when(F.col("area").isNotNull(), confidence()))
+
+
+def suppress(pixels: DataFrame, width: int, k: float = 3.0, offset: float = 0.0, min_neighbors: int = 2, min_area: int = 4) -> DataFrame:
+    """Confirmed pixels with their neighbours, component, area and confidence."""
+    found = supported(candidates(pixels, k, offset), width, min_neighbors, min_area)
+    return found.where("area IS NOT NULL").select(*PIXEL, "neighbors", "component", "area", "confidence")
 
 
 def summary(pixels: DataFrame, total: int, min_ratio: float = 0.10) -> DataFrame:
-    """Statistics of the valid pixels of each raster and whether they suffice."""
+    """Statistics of the finite magnitudes of each raster, their share of ``total`` pixels, and whether they suffice.
+
+    n_valid, mean, median, p95, p99, max, std (of the population), valid_pixel_ratio, status. The
+    statistics are null without a valid pixel. A group is one raster of bounded size: exact
+    percentiles keep its distinct values.
+    """
+    x = F.when(is_finite(F.col("magnitude")), F.col("magnitude"))
     ratio = F.col("n_valid") / float(total)
     status = F.when(F.col("n_valid") == 0, "no_valid_pixels").when(ratio < min_ratio, "insufficient_valid_pixels").otherwise("success")
-    x = F.col("magnitude")
     stats = pixels.groupBy("pair_id").agg(
-        F.count_if(is_finite(x)).alias("n_valid"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.max(x).alias("max"), F.stddev_pop(x).alias("std")
+        F.count(x).alias("n_valid"), F.avg(x).alias("mean"), F.percentile(x, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.max(x).alias("max"), F.stddev_pop(x).alias("std")
     )
-    return stats.withColumn("status", status)
+    return stats.select("pair_id", "n_valid", "mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max", "std", ratio.alias("valid_pixel_ratio"), status.alias("status"))
 
 
 def percentiles(pixels: DataFrame) -> DataFrame:

@@ -2,98 +2,197 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import TimestampNTZType
 
-from terraquarry.functions.scalars import boxes_touch, dot, end_of_day, rounded
+from terraquarry.functions.scalars import boxes_touch, dot, filter_datetime, rounded
 
-#: Rows a side in one block of an all-query search: two blocks of 512 floats and their scores stay under 70 MB.
+#: Queries that are searched in one pass: their vectors and a batch's scores stay under 70 MB.
 BLOCK = 2048
+#: Fixed value: how far a vector's length may be from 1.
+UNIT_TOLERANCE = 2e-3
 
 
 def metadata_filter(
     tiles: DataFrame,
     modality: str | None = None,
-    date_from: str | None = None,
-    date_to: str | None = None,
+    date_from=None,
+    date_to=None,
     scene_id: str | None = None,
-    bbox: tuple[float, float, float, float] | None = None,
+    bbox: Sequence[float] | None = None,
 ) -> DataFrame:
     """Tiles that meet all given conditions; a null field meets none. Catalyst pushes them to the scan.
 
     Columns: modality, acquired (timestamp), scene_id and west, south, east, north.
-    Dates are inclusive; a date alone as ``date_to`` means the end of that day.
+    Dates (text, date or datetime; UTC) are inclusive; a date alone as ``date_to`` means the end
+    of that day. Wrong types are TypeErrors, wrong values ValueErrors.
     """
     if modality is not None:
-        tiles = tiles.where(F.lower(F.trim("modality")) == modality.strip().lower())
-    if date_from is not None:
-        tiles = tiles.where(F.col("acquired") >= F.lit(date_from).cast("timestamp_ntz"))
-    if date_to is not None:
-        last = end_of_day(F.to_date(F.lit(date_to))) if len(date_to) == 10 else F.lit(date_to).cast("timestamp_ntz")
-        tiles = tiles.where(F.col("acquired") <= last)
+        tiles = tiles.where(F.lower(F.trim("modality")) == checked_modality(modality))
+    first, last = filter_datetime(date_from), filter_datetime(date_to, end_of_day=True)
+    if first is not None and last is not None and first > last:
+        raise ValueError("date_from is after date_to")
+    kind = tiles.schema["acquired"].dataType if (first or last) else None
+    at = lambda t: F.lit(t.replace(tzinfo=None) if isinstance(kind, TimestampNTZType) else t).cast(kind)
+    if first is not None:
+        tiles = tiles.where(F.col("acquired") >= at(first))
+    if last is not None:
+        tiles = tiles.where(F.col("acquired") <= at(last))
     if scene_id is not None:
-        tiles = tiles.where(F.col("scene_id") == scene_id)
+        if not isinstance(scene_id, str):
+            raise TypeError("scene_id must be a string")
+        if not scene_id.strip():
+            raise ValueError("scene_id can't be empty")
+        tiles = tiles.where(F.col("scene_id") == scene_id.strip())
     if bbox is not None:
-        if bbox[0] > bbox[2] or bbox[1] > bbox[3]:
-            raise ValueError("a box is west, south, east, north")
-        tiles = tiles.where(boxes_touch([F.col(c) for c in ("west", "south", "east", "north")], [F.lit(float(x)) for x in bbox]))
+        box = checked_box(bbox)
+        tiles = tiles.where(boxes_touch([F.col(c) for c in ("west", "south", "east", "north")], [F.lit(x) for x in box]))
     return tiles
 
 
+def checked_modality(modality: str) -> str:
+    if not isinstance(modality, str):
+        raise TypeError(f"modality must be a string, not {type(modality).__name__}")
+    if modality.strip().lower() not in ("optical", "sar"):
+        raise ValueError(f"unsupported modality {modality!r}: optical or sar")
+    return modality.strip().lower()
+
+
+def checked_box(bbox: Sequence[float]) -> list[float]:
+    """west, south, east, north as floats."""
+    if isinstance(bbox, str | bytes | dict) or not isinstance(bbox, Sequence | np.ndarray):
+        raise TypeError("a box is a sequence of four numbers")
+    if len(bbox) != 4:
+        raise ValueError(f"a box has four numbers, not {len(bbox)}")
+    if any(isinstance(x, bool) or not isinstance(x, int | float | np.integer | np.floating) for x in bbox):
+        raise TypeError("a box's coordinates are numbers")
+    box = [float(x) for x in bbox]
+    if box[0] > box[2] or box[1] > box[3]:
+        raise ValueError("a box is west, south, east, north")
+    return box
+
+
+def checked_k(k: int) -> int:
+    if isinstance(k, bool) or not isinstance(k, int):
+        raise TypeError("k must be an integer")
+    if k < 1:
+        raise ValueError("k must be positive")
+    return k
+
+
+def checked_vector(vector: Sequence[float], dimension: int | None = None) -> list[float]:
+    """A query vector of length 1: one that is off by more than the tolerance is scaled, a zero one an error."""
+    array = np.asarray(vector, np.float32)
+    array = array[0] if array.ndim == 2 and len(array) == 1 else array
+    if array.ndim != 1 or (dimension is not None and len(array) != dimension):
+        raise ValueError(f"a query vector has the shape ({dimension},), not {array.shape}")
+    length = float(np.linalg.norm(array))
+    if not length > 0:
+        raise ValueError("a query vector can't be all zeros")
+    return (array if abs(length - 1) <= UNIT_TOLERANCE else array / length).astype(float).tolist()
+
+
 def top_k(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id") -> DataFrame:
     """The k best rows by score, ties by id: partial top-k per task, then one merge of k rows each.
 
-    ``query`` is an array column, in general a literal. k must be positive.
+    ``query`` is an array column, in general a literal. Scores have 6 places, and rows are
+    ranked by what is shown: scores that agree in them are ties.
     """
-    if k <= 0:
-        raise ValueError("k must be positive")
-    return vectors.withColumn("score", rounded(dot(F.col("embedding"), query))).orderBy(F.desc("score"), id_col).limit(k)
+    return vectors.withColumn("score", rounded(dot(F.col("embedding"), query))).orderBy(F.desc("score"), id_col).limit(checked_k(k))
+
+
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of queries, ``block`` at a time, streamed through the driver."""
+    ids, rows = [], []
+    for row in queries.select("id", "embedding").toLocalIterator(prefetchPartitions=True):
+        ids.append(row["id"])
+        rows.append(row["embedding"])
+        if len(ids) == block:
+            yield np.array(ids), np.array(rows, float)
+            ids, rows = [], []
+    if ids:
+        yield np.array(ids), np.array(rows, float)
 
 
 def search_all(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """The k best of all rows for each query row, itself excluded: (query_id, id, score, rank).
 
-    Both sides are (id, embedding). Rows are dealt into blocks by hash; each pair of blocks is one
-    matrix product that keeps k rows a query, and a window merges those partial lists.
+    Both sides are (id, embedding), with ids of one type. The queries are a stated set: they go to
+    the tasks in blocks of ``block`` rows, each with one map pass over the vectors that multiplies
+    matrices and keeps k rows a query, and one window merges those partial lists. No vector is shuffled.
     """
-    nq, nv = (max(1, -(-side.count() // block)) for side in (queries, vectors))
-    deal = lambda side, n, name: side.select(F.col("id"), F.col("embedding"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(name))
-    q = deal(queries, nq, "q").withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))))
-    v = deal(vectors, nv, "v").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.array([], np.int64), "id": np.array([], np.int64), "score": np.array([], float)})
-        if not len(left) or not len(right):
-            return empty
-        ids = right["id"].to_numpy(np.int64)
-        order = np.argsort(ids)
-        ids = ids[order]
-        data = np.stack(right["embedding"].to_numpy())[order].astype(float)
-        out = []
-        for query_id, vector in zip(left["id"].to_numpy(np.int64), left["embedding"], strict=True):
-            score = np.floor((data @ np.asarray(vector, float)) * 1e6 + 0.5) / 1e6
-            score[ids == query_id] = -np.inf
-            at = np.argsort(-score, kind="stable")[: k + 1]
-            at = at[np.isfinite(score[at])][:k]
-            out.append(pd.DataFrame({"query_id": np.full(len(at), query_id), "id": ids[at], "score": score[at]}))
-        return pd.concat(out) if out else empty
-
-    partial = q.groupBy("q", "v").cogroup(v.groupBy("q", "v")).applyInPandas(best, "query_id long, id long, score double")
+    checked_k(k)
+    spark, kind = vectors.sparkSession, vectors.schema["id"].dataType
+    schema, arrow = f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double", to_arrow_type(kind)
+    partial = None
+    for own, matrix in _blocks(queries, block):
+        held = spark.sparkContext.broadcast((own, matrix))
+        part = vectors.select("id", "embedding").mapInArrow(lambda batches, held=held: _best(batches, *held.value, k, arrow), schema)
+        partial = part if partial is None else partial.unionByName(part)
+    if partial is None:
+        partial = spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def add_vectors(index: DataFrame, more: DataFrame) -> DataFrame:
-    """Both sets; ids are to be unique, which ``quality.duplicates`` checks."""
-    return index.unionByName(more)
-
-
-def batches(rows: Iterator[pd.DataFrame], encode) -> Iterator[pd.DataFrame]:
-    """For ``mapInPandas``: adds unit-length embeddings that ``encode(frame)`` gives, one row each."""
-    for frame in rows:
-        found = np.asarray(encode(frame), float)
-        yield frame.assign(embedding=list((found / np.linalg.norm(found, axis=1, keepdims=True)).astype(np.float32)))
+def _best(batches: Iterator[pa.RecordBatch], own: np.ndarray, matrix: np.ndarray, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The k best rows of a task for each query: a running list that each batch is merged into."""
+    held: list[tuple[np.ndarray, np.ndarray]] = [(own[:0], np.empty(0))] * len(own)
+    for batch in batches:
+        ids = np.array(batch.column("id").to_pylist())
+        if not len(ids):
+            continue
+        data = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+        scores = np.floor(matrix @ data.T * 1e6 + 0.5) / 1e6
+        scores[own[:, None] == ids] = -np.inf
+        least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own), -np.inf)
+        for q in range(len(own)):
+            near = np.flatnonzero((scores[q] >= least[q]) & (scores[q] > -np.inf))
+            some, found = np.concatenate((held[q][0], ids[near])), np.concatenate((held[q][1], scores[q, near]))
+            order = np.lexsort((some, -found))[:k]
+            held[q] = some[order], found[order]
+    sizes = [len(s) for _, s in held]
+    if sum(sizes):
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes).tolist(), kind), pa.array(np.concatenate([i for i, _ in held if len(i)]).tolist(), kind), pa.array(np.concatenate([s for _, s in held]))], names=["query_id", "id", "score"])
+
+
+def target_ranks(targets: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rank of one stated row among all for each query: (query_id, rank), without ranking the others.
+
+    ``targets`` is (id, embedding, target_id, target_embedding); its ids are the queries'. The
+    rank is one more than the rows of a higher score, or of the same and a smaller id.
+    """
+    spark, kind = vectors.sparkSession, targets.schema["id"].dataType
+    schema, arrow = f"query_id {kind.simpleString()}, n long", to_arrow_type(kind)
+    counts, rows = None, []
+
+    def run(batches: Iterator[pa.RecordBatch], own, matrix, ids, scores) -> Iterator[pa.RecordBatch]:
+        better = np.zeros(len(own), np.int64)
+        for batch in batches:
+            names = np.array(batch.column("id").to_pylist())
+            if len(names):
+                data = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(names), -1)
+                found = np.floor(matrix @ data.T * 1e6 + 0.5) / 1e6
+                better += ((found > scores[:, None]) | ((found == scores[:, None]) & (names[None] < ids[:, None]))).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(own, arrow), pa.array(better)], names=["query_id", "n"])
+
+    def passed(rows: list) -> DataFrame:
+        matrix = np.array([r["embedding"] for r in rows], float)
+        scores = np.floor((matrix * np.array([r["target_embedding"] for r in rows], float)).sum(1) * 1e6 + 0.5) / 1e6
+        held = spark.sparkContext.broadcast(([r["id"] for r in rows], matrix, np.array([r["target_id"] for r in rows]), scores))
+        return vectors.select("id", "embedding").mapInArrow(lambda b: run(b, *held.value), schema)
+
+    for row in targets.toLocalIterator(prefetchPartitions=True):
+        rows.append(row)
+        if len(rows) == block:
+            counts, rows = passed(rows) if counts is None else counts.unionByName(passed(rows)), []
+    if rows or counts is None:
+        part = passed(rows) if rows else spark.createDataFrame([], schema)
+        counts = part if counts is None else counts.unionByName(part)
+    return counts.groupBy("query_id").agg((F.sum("n") + 1).alias("rank"))

@@ -23,6 +23,50 @@ def band_statistics(pixels: DataFrame, by: str, value: str, nodata: float | None
     )
 
 
+#: The classes of the scene classification layer, by code.
+CLASSES = ("NO_DATA", "SATURATED_OR_DEFECTIVE", "DARK_AREA_PIXELS", "CLOUD_SHADOWS", "VEGETATION", "NOT_VEGETATED", "WATER", "UNCLASSIFIED", "CLOUD_MEDIUM_PROBABILITY", "CLOUD_HIGH_PROBABILITY", "THIN_CIRRUS", "SNOW")
+#: Codes of clouds.
+CLOUDS = (8, 9, 10)
+
+
+def array_statistics(data: Column, nodata: Column, saturated: float = 10000.0) -> Column:
+    """min, max, mean, p1, p50, p99, n_above, pct_above, n_valid, n_total of a raster held as an array; without valid pixels, zeros.
+
+    Percentiles are interpolated. The array of one raster is sorted; nothing is shuffled.
+    """
+    valid = F.array_sort(F.filter(data, lambda x: x.isNotNull() & ~F.coalesce(x == nodata, F.lit(False))))
+
+    def measured(v: Column) -> Column:
+        n = F.size(v)
+        value = lambda i: F.get(v, i.cast("int")).cast("double")
+
+        def at(share: float) -> Column:
+            place = (n - 1) * F.lit(share)
+            low, high = F.floor(place), F.ceil(place)
+            return value(low) + (value(high) - value(low)) * (place - low)
+
+        above = F.size(F.filter(v, lambda x: x > saturated)).cast("long")
+        total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        return F.struct(
+            zero(value(F.lit(0))).alias("min"), zero(value(n - 1)).alias("max"), zero(F.try_divide(total, n)).alias("mean"), zero(at(0.01)).alias("p1"), zero(at(0.5)).alias("p50"), zero(at(0.99)).alias("p99"),
+            above.alias("n_above"), F.round(zero(F.try_divide(100.0 * above, n)), 4).alias("pct_above"), n.cast("long").alias("n_valid"), F.size(data).cast("long").alias("n_total"),
+        )
+
+    return F.transform(F.array(valid), measured)[0]
+
+
+def class_report(data: Column) -> Column:
+    """Counts by class code of a class layer held as an array, and the shares of clouds, shadow, vegetation, water and bare soil."""
+    counts = F.transform(F.sequence(F.lit(0), F.lit(len(CLASSES) - 1)), lambda k: F.size(F.filter(data, lambda x: x == k)).cast("long"))
+
+    def described(c: Column) -> Column:
+        share = lambda *codes: F.round(F.coalesce(F.try_divide(100.0 * sum((c[k] for k in codes[1:]), c[codes[0]]), F.size(data)), F.lit(0.0)), 4)
+        return F.struct(c.alias("counts"), share(*CLOUDS).alias("cloud_pct"), share(3).alias("shadow_pct"), share(4).alias("vegetation_pct"), share(6).alias("water_pct"), share(5).alias("bare_soil_pct"))
+
+    return F.transform(F.array(counts), described)[0]
+
+
 def class_distribution(pixels: DataFrame, column: str, domain: list[str]) -> DataFrame:
     """Counts over a fixed domain, absent classes included, with their share of all pixels in it."""
     counts = pixels.groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n"))
