@@ -50,34 +50,55 @@ def _bounds(affine: Column, shape: Column) -> Column:
     return F.array(affine[2], affine[5] + shape[0] * affine[4], affine[2] + shape[1] * affine[0], affine[5])
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _header(head: Column) -> Column:
+    """A header (shape, crs, affine) with what follows from it."""
+    affine = head["affine"]
+    return F.struct(head["shape"].alias("shape"), head["crs"].alias("crs"), affine.alias("affine"), _resolution(affine).alias("resolution"), _bounds(affine, head["shape"]).alias("bounds"), head.isNotNull().alias("there"))
+
+
 def header_fault(ref: Column, comp: Column) -> Column:
     """The first way in which two bands' headers (structs) differ, or null."""
-    same = lambda x, y: x.eqNullSafe(y)
-    return (
-        F.when(~same(ref["shape"], comp["shape"]) | ~same(ref["shape"], F.array(F.lit(SIDE), F.lit(SIDE))), "dimension_mismatch")
-        .when(~same(ref["crs"], comp["crs"]), "crs_mismatch")
-        .when(~same(ref["affine"], comp["affine"]), "transform_mismatch")
-        .when(~same(_resolution(ref["affine"]), _resolution(comp["affine"])), "resolution_mismatch")
-        .when(~same(_bounds(ref["affine"], ref["shape"]), _bounds(comp["affine"], comp["shape"])), "bounds_mismatch")
-    )
+
+    def first(p: Column) -> Column:
+        differ = lambda c: ~p["r"][c].eqNullSafe(p["c"][c])
+        found = F.when(differ("shape") | ~p["r"]["shape"].eqNullSafe(F.array(F.lit(SIDE), F.lit(SIDE))), "dimension_mismatch")
+        for c, name in (("crs", "crs_mismatch"), ("affine", "transform_mismatch"), ("resolution", "resolution_mismatch"), ("bounds", "bounds_mismatch")):
+            found = found.when(differ(c), name)
+        return found
+
+    return _let(F.struct(_header(ref).alias("r"), _header(comp).alias("c")), first)
 
 
 def class_layer_fault(layer: Column, band: Column) -> Column:
     """Why a class layer's header (a struct) does not lie on half the grid of a band's, or null; a missing one is no fault."""
-    la, ba, near = layer["affine"], band["affine"], lambda x, y, d: F.abs(x - y) <= d + 1e-5 * F.abs(y)
-    a, b = _bounds(la, layer["shape"]), _bounds(ba, band["shape"])
-    wide, high = F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.least(a[3], b[3]) - F.greatest(a[1], b[1])
-    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
-    overlap = wide * high / (area(a) + area(b) - wide * high)
-    half = F.array(F.expr("1"), F.expr("1"))
-    shape = (layer["shape"] == F.array(F.lit(CLASS_SIDE), F.lit(CLASS_SIDE))) & (F.transform(F.arrays_zip(band["shape"].alias("s"), half.alias("h")), lambda x: F.floor(x["s"] / 2).cast("int")) == layer["shape"])
-    sized = near(F.abs(la[0]), F.abs(ba[0]) * 2, 1e-3) & near(F.abs(la[4]), F.abs(ba[4]) * 2, 1e-3)
-    scaled = near(la[0], ba[0] * 2, 1e-3) & near(la[4], ba[4] * 2, 1e-3) & near(la[1], F.lit(0.0), 1e-5) & near(la[3], F.lit(0.0), 1e-5)
-    placed = (F.abs(la[2] - ba[2]) <= F.abs(la[0]) * CLASS_OFFSET) & (F.abs(la[5] - ba[5]) <= F.abs(la[4]) * CLASS_OFFSET)
-    covered = (wide > 0) & (high > 0) & (overlap >= CLASS_OVERLAP)
-    rules = {"dimensions": shape, "crs": layer["crs"] == band["crs"], "resolution": sized, "pixel scale or rotation": scaled, "origin": placed, "overlap": covered}
-    found = F.coalesce(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()))
-    return F.when(layer.isNotNull() & band.isNotNull(), found)
+
+    def overlap(p: Column) -> Column:
+        a, b = p["l"]["bounds"], p["b"]["bounds"]
+        sides = F.struct((F.least(a[2], b[2]) - F.greatest(a[0], b[0])).alias("w"), (F.least(a[3], b[3]) - F.greatest(a[1], b[1])).alias("h"))
+        area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+        shared = _let(sides, lambda s: F.when((s["w"] > 0) & (s["h"] > 0), s["w"] * s["h"]).otherwise(0.0))
+        return _let(shared, lambda s: F.try_divide(s, area(a) + area(b) - s))
+
+    def first(p: Column) -> Column:
+        (la, lr, ls), (ba, br, bs) = ((p[k]["affine"], p[k]["resolution"], p[k]["shape"]) for k in "lb")
+        near = lambda x, y, d: F.abs(x - y) <= d + 1e-5 * F.abs(y)
+        rules = {
+            "dimensions": (ls == F.array(F.lit(CLASS_SIDE), F.lit(CLASS_SIDE))) & (ls == F.transform(bs, lambda n: F.floor(n / 2).cast("int"))),
+            "crs": p["l"]["crs"] == p["b"]["crs"],
+            "resolution": near(lr[0], br[0] * 2, 1e-3) & near(lr[1], br[1] * 2, 1e-3),
+            "pixel scale or rotation": near(la[0], ba[0] * 2, 1e-3) & near(la[4], ba[4] * 2, 1e-3) & near(la[1], F.lit(0.0), 1e-5) & near(la[3], F.lit(0.0), 1e-5),
+            "origin": (F.abs(la[2] - ba[2]) <= lr[0] * CLASS_OFFSET) & (F.abs(la[5] - ba[5]) <= lr[1] * CLASS_OFFSET),
+            "overlap": overlap(p) >= CLASS_OVERLAP,
+        }
+        found = F.coalesce(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()))
+        return F.when(p["l"]["there"] & p["b"]["there"], found)
+
+    return _let(F.struct(_header(layer).alias("l"), _header(band).alias("b")), first)
 
 
 def checked_pairs(pairs: DataFrame, headers: DataFrame, config: ChangeConfig = ChangeConfig()) -> DataFrame:
@@ -98,18 +119,22 @@ def checked_pairs(pairs: DataFrame, headers: DataFrame, config: ChangeConfig = C
         .when(F.size(missing) > 0, "missing_raster_file")
         .otherwise(by_header)
     )
+    staged = joined.withColumn("_fault", fault).withColumn("_missing", F.get(missing, F.lit(0)))
+    fault = F.col("_fault")
     layers = at("reference", CLASS_BAND).isNotNull() & at("comparison", CLASS_BAND).isNotNull()
     off = F.coalesce(class_layer_fault(at("reference", CLASS_BAND), at("reference", config.bands[0])), class_layer_fault(at("comparison", CLASS_BAND), at("comparison", config.bands[0])))
+    staged = staged.withColumns({"_off": off, "_layers": layers & F.lit(config.mask_clouds)})
+    layers, off = F.col("_layers"), F.col("_off")
     reason = (
         F.when(fault == "unsupported_sar_unaligned", "SAR rasters are not aligned: differencing needs terrain correction")
         .when(fault == "unsupported_modality", F.concat(F.lit("unsupported modality "), F.col("modality")))
         .when(fault == "unaligned_optical_grid", F.concat(F.lit("not pixel aligned: "), F.col("alignment.alignment_type")))
-        .when(fault == "missing_raster_file", F.concat(F.lit("missing: "), F.get(missing, F.lit(0))))
+        .when(fault == "missing_raster_file", F.concat(F.lit("missing: "), F.col("_missing")))
         .when(fault.isNotNull(), fault)
-        .when(F.lit(config.mask_clouds) & layers & off.isNotNull(), F.concat(F.lit("class layer not applied: "), off))
+        .when(layers & off.isNotNull(), F.concat(F.lit("class layer not applied: "), off))
     )
-    masked = fault.isNull() & F.lit(config.mask_clouds) & layers & off.isNull()
-    return joined.select(*pairs.columns, fault.alias("fault"), F.array_compact(F.array(reason)).alias("warnings"), masked.alias("masked"))
+    masked = fault.isNull() & layers & off.isNull()
+    return staged.select(*pairs.columns, fault.alias("fault"), F.array_compact(F.array(reason)).alias("warnings"), masked.alias("masked"))
 
 
 def magnitudes(checked: DataFrame, headers: DataFrame, pixels: DataFrame, config: ChangeConfig = ChangeConfig()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquarry.functions import scalars as S
-from terraquarry.operators import change, metrics, pairing, search, stats, tiling
+from terraquarry.operators import change, index, metrics, pairing, search, stats, tiling
 from terraquarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,11 +233,12 @@ def change_magnitude(spark, sf_dir):
 
 
 @query(
-    f"""SELECT pair_id, count(*) AS n_valid, {r6("avg(magnitude)")} AS mean, {r6("median(magnitude)")} AS median, max(magnitude) AS max, {r6("stddev_pop(magnitude)")} AS std,
+    f"""SELECT pair_id, count(*) AS n_valid, {r6("avg(magnitude)")} AS mean, {r6("median(magnitude)")} AS median, {r6("quantile_cont(magnitude, 0.95)")} AS p95,
+{r6("quantile_cont(magnitude, 0.99)")} AS p99, max(magnitude) AS max, {r6("stddev_pop(magnitude)")} AS std, {r6(f"count(*) / {PIXELS}.0::DOUBLE")} AS valid_pixel_ratio,
 CASE WHEN count(*) / {PIXELS} < 0.1 THEN 'insufficient_valid_pixels' ELSE 'success' END AS status FROM ({RASTER}) GROUP BY 1"""
 )
 def change_summary(spark, sf_dir):
-    return rounded(change.summary(_raster(spark, sf_dir), PIXELS), "mean", "median", "std")
+    return rounded(change.summary(_raster(spark, sf_dir), PIXELS), "mean", "median", "p95", "p99", "std", "valid_pixel_ratio")
 
 
 @query(f"""SELECT pair_id, {r6("quantile_cont(magnitude, 0.95)")} AS p95, {r6("quantile_cont(magnitude, 0.99)")} AS p99 FROM ({RASTER}) GROUP BY 1""")
@@ -304,6 +305,29 @@ def tile_windows(spark, sf_dir):
     return tiling.tile_windows(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scene_id"), side.alias("width"), side.alias("height")))
 
 
+def _rest(rest: str, length: str) -> str:
+    """Windows whose last one on each axis starts and ends by a rule."""
+    return f"""WITH d AS (SELECT p_partkey AS scene_id, (p_size * 40 + 100)::BIGINT AS w FROM part),
+o AS (SELECT scene_id, w, CASE WHEN w <= 256 THEN [0::BIGINT] ELSE range(0, {rest}, 256) END AS offs FROM d)
+SELECT a.scene_id, (i - 1)::INT AS row_idx, (j - 1)::INT AS col_idx, a.offs[i] AS row_off, a.offs[j] AS col_off, {length.format('a.offs[j]')} AS width, {length.format('a.offs[i]')} AS height
+FROM o a, unnest(range(1, len(offs) + 1)) AS x(i), unnest(range(1, len(offs) + 1)) AS y(j)"""
+
+
+def _sides(spark, sf_dir):
+    side = (F.col("p_size") * 40 + 100).cast("long")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("scene_id"), side.alias("width"), side.alias("height"))
+
+
+@query(_rest("w", "least(256, w - {})"))
+def tile_windows_truncate(spark, sf_dir):
+    return tiling.tile_windows(_sides(spark, sf_dir), strategy="truncate")
+
+
+@query(_rest("w", "256::BIGINT"))
+def tile_windows_pad(spark, sf_dir):
+    return tiling.tile_windows(_sides(spark, sf_dir), strategy="pad")
+
+
 @query(r"SELECT n_nationkey, replace(lower(n_name), '_', ' ') AS category FROM nation WHERE regexp_full_match(n_name, '[a-zA-Z_]+') UNION ALL SELECT n_nationkey, 'unknown' FROM nation WHERE NOT regexp_full_match(n_name, '[a-zA-Z_]+')")
 def category_extract(spark, sf_dir):
     name = F.concat("n_name", F.lit("_"), F.col("n_nationkey").cast("string"), F.lit(".jpg"))
@@ -376,3 +400,73 @@ def rgb_scale(spark, sf_dir):
 @query(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {r6('log10(1 + l_extendedprice)')} AS level FROM lineitem")
 def sar_scale(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", S.rounded(F.log10(1 + F.col("l_extendedprice"))).alias("level"))
+
+
+def _tile_index(spark, sf_dir):
+    """Events as tiles of two modalities: a scene each, a place for each user and kind."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "concat('t', event_id) AS tile_id", "concat('s', event_id) AS scene_id", "IF(event_type = 'view', 'sar', 'optical') AS modality", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") AS acquisition_datetime_utc",
+        "CAST(user_id AS INT) AS row_idx", "ascii(event_type) AS col_idx", "array(0D, 0D, 1D + user_id % 3, 1D) AS bounds_wgs84", "array(0D, 0D, 1D, 1D) AS bounds_projected", "'EPSG:32643' AS crs", "'d' AS tile_directory",
+    )
+
+
+MET = """t AS (SELECT *, CASE WHEN event_type = 'view' THEN 'sar' ELSE 'optical' END AS modality, ascii(event_type) AS kind, 1.0::DOUBLE + user_id % 3 AS east FROM events),
+met AS (SELECT a.event_id AS q, b.event_id AS o, a.ts AS t0, b.ts AS t1, a.modality, a.user_id, a.kind, a.east AS e0, b.east AS e1, epoch_us(b.ts) - epoch_us(a.ts) AS d
+  FROM t a JOIN t b ON a.modality = b.modality AND a.user_id = b.user_id AND a.kind = b.kind AND a.event_id <> b.event_id AND a.ts <> b.ts)"""
+
+
+@query(
+    f"""WITH {MET} SELECT 't' || q AS query_tile_id, row_number() OVER (PARTITION BY q ORDER BY abs(d), d < 0, 's' || o)::INT AS choice,
+CASE WHEN d > 0 THEN 'pair__t' || q || '__t' || o ELSE 'pair__t' || o || '__t' || q END AS pair_id, abs(d) / 1000000.0::DOUBLE / 86400 AS temporal_delta_days FROM met"""
+)
+def counterparts_all(spark, sf_dir):
+    return pairing.counterparts(_tile_index(spark, sf_dir)).select("query_tile_id", "choice", "pair_id", "temporal_delta_days")
+
+
+@query(
+    f"""WITH {MET} SELECT 'pair__t' || q || '__t' || o AS pair_id, modality, user_id::INT AS row_idx, kind::INT AS col_idx, 's' || q AS reference_scene_id, 's' || o AS comparison_scene_id,
+CASE WHEN modality = 'sar' THEN 'unaligned_radar_grid' ELSE 'native_pixel_aligned' END AS alignment_type, CASE WHEN modality = 'sar' THEN 'grid_index_topological' ELSE 'grid_index_exact' END AS method, 1.0::DOUBLE AS iou FROM met WHERE d > 0"""
+)
+def pair_details(spark, sf_dir):
+    pairs = pairing.all_tile_pairs(_tile_index(spark, sf_dir))
+    return pairs.select("pair_id", "modality", "spatial.row_idx", "spatial.col_idx", "reference_scene_id", "comparison_scene_id", "alignment.alignment_type", "spatial.method", F.col("spatial.spatial_iou_wgs84").alias("iou"))
+
+
+@query(
+    f"""WITH d AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'optical' ELSE 'sar' END AS modality, TIMESTAMP '2024-01-01 12:00:00' + to_days(p_size) AS acquired FROM part JOIN ({BOXES}) USING (p_partkey))
+SELECT p_partkey FROM d WHERE modality = 'optical' AND acquired >= TIMESTAMP '2024-01-05' AND acquired <= TIMESTAMP '2024-02-10 23:59:59.999999' AND west <= 45 AND east >= 10 AND south <= 14 AND north >= 11"""
+)
+def combined_filters(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "IF(p_partkey % 2 = 0, 'optical', 'sar') AS modality", "TIMESTAMP_NTZ '2024-01-01 12:00:00' + make_dt_interval(p_size) AS acquired")
+    tiles = rows.join(_boxes(spark, sf_dir), "p_partkey")
+    return search.metadata_filter(tiles, "optical", "2024-01-05", "2024-02-10", None, (10, 11, 45, 14)).select("p_partkey")
+
+
+@query(
+    COMPONENTS.replace("SELECT n.pair_id, n.r, n.c", ", found AS (SELECT n.pair_id, n.r, n.c") + f""")
+SELECT pair_id, count(*) AS candidate_pixels, count(confidence) AS confirmed_pixels, {r6("avg(confidence)")} AS mean_confidence, max(confidence) AS max_confidence
+FROM near LEFT JOIN found USING (pair_id, r, c) GROUP BY 1"""
+)
+def suppression_counts(spark, sf_dir):
+    found = rounded(change.supported(change.candidates(_raster(spark, sf_dir), k=1.0), WIDTH), "confidence")
+    out = found.groupBy("pair_id").agg(F.count("*").alias("candidate_pixels"), F.count("confidence").alias("confirmed_pixels"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("max_confidence"))
+    return rounded(out, "mean_confidence")
+
+
+LEVEL = "least(greatest(log10(1 + greatest({}, 0)) / {}, 0), 1)"
+
+
+@query(
+    f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round_even({LEVEL.format('l_extendedprice', 3.6)} * 255.0::DOUBLE, 0)::INT AS red, round_even({LEVEL.format('l_quantity', 3.2)} * 255.0::DOUBLE, 0)::INT AS green,
+round_even(0.5::DOUBLE * ({LEVEL.format('l_extendedprice', 3.6)} + {LEVEL.format('l_quantity', 3.2)}) * 255.0::DOUBLE, 0)::INT AS blue FROM lineitem"""
+)
+def radar_image(spark, sf_dir):
+    return tiling.radar_rgb(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "red", "green", "blue")
+
+
+@query(
+    """SELECT CASE WHEN lang = 'en' THEN 'optical' ELSE 'sar' END AS modality, NULL AS scene_id, count(*) AS n FROM documents GROUP BY 1
+UNION ALL SELECT NULL, source, count(*) FROM documents GROUP BY source"""
+)
+def index_counts(spark, sf_dir):
+    return index.group_counts(table(spark, sf_dir, "documents").select(F.when(F.col("lang") == "en", "optical").otherwise("sar").alias("modality"), F.col("source").alias("scene_id")))

@@ -5,6 +5,7 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -216,9 +217,9 @@ def rasters(spark, tiles):
             scale = 20.0 if band == "SCL" else 10.0
             head = {"shape": list(matrix.shape), "crs": UTM, "affine": [scale, 0.0, 0.0, 0.0, -scale, 0.0], "nodata": 0.0 if band != "SCL" else None} | more
             heads.append((name, band, *head.values()))
-            arrays.append((name, band, list(matrix.shape), matrix.ravel().tolist()))
+            arrays.append({"tile_id": name, "band": band, "shape": np.array(matrix.shape, np.int32), "data": matrix.ravel().astype(np.int32)})
     headers = spark.createDataFrame(heads, "tile_id string, band string, shape array<int>, crs string, affine array<double>, nodata double")
-    return headers, detection.from_arrays(spark.createDataFrame(arrays, "tile_id string, band string, shape array<int>, data array<int>"))
+    return headers, detection.from_arrays(spark.createDataFrame(pa.Table.from_pylist(arrays)).repartition(4))
 
 
 def flat(value, side=256):
@@ -229,65 +230,57 @@ def optical(value=1000, **bands):
     return {b: (flat(value), {}) for b in ("B02", "B03", "B04", "B08")} | bands
 
 
-def detected(spark, reference, comparison, config=detection.ChangeConfig(), modality="optical", projected=(0.0, 0.0, 1.0, 1.0)):
-    tiles = spark.createDataFrame([tile("a", "s1", "2023-01-01", modality), tile("b", "s2", "2023-02-01", modality, projected=projected)], TILE)
-    results, values = detection.detect_changes(pairing.all_tile_pairs(tiles), *rasters(spark, {"a": reference, "b": comparison}), config)
-    return results.first(), values
-
-
-def test_magnitudes_of_constant_tiles(spark):
-    r, _ = detected(spark, optical(1500), optical(1500))
-    assert (r.status, r.summary.mean, r.summary.max, r.summary.std, r.summary.valid_pixels) == ("success", 0.0, 0.0, 0.0, 65536)
-    r, _ = detected(spark, optical(1000), optical(2000))
-    assert abs(r.summary.mean - 0.2) < 1e-5 and abs(r.summary.p99 - 0.2) < 1e-5
-    r, _ = detected(spark, optical(1000), optical(1000, B04=(flat(2000), {})))
-    assert abs(r.summary.mean - 0.1) < 1e-5
-
-
-def test_masks(spark):
-    half = flat(1000)
-    half[:128] = 0
-    r, _ = detected(spark, optical(), optical(B04=(half, {})))
-    assert (r.summary.valid_pixels, r.summary.valid_pixel_ratio) == (32768, 0.5)
-    clouds, one_pixel = flat(4, 128), flat(4, 128)
-    clouds[:64, :64] = 8
-    one_pixel[0, 0] = 8
-    clear = (flat(4, 128), {})
-    r, _ = detected(spark, optical(SCL=clear), optical(SCL=(clouds, {})))
-    assert r.masked and r.summary.valid_pixels == 49152
-    r, _ = detected(spark, optical(SCL=clear), optical(SCL=(clouds, {})), detection.ChangeConfig(mask_clouds=False))
-    assert not r.masked and r.summary.valid_pixels == 65536
-    _, values = detected(spark, optical(SCL=clear), optical(SCL=(one_pixel, {})))
-    kept = {(x.r, x.c) for x in values.collect()}
+def detected(spark, cases, config=detection.ChangeConfig()):
+    """Results by case, and magnitudes, of {name: (reference bands, comparison bands, modality, projected bounds of the comparison)}."""
+    rows, bands = [], {}
+    for at, (name, (reference, comparison, modality, projected)) in enumerate(cases.items()):
+        rows += [tile(f"{name}_a", f"{name}_1", "2023-01-01", modality, (at, 0)), tile(f"{name}_b", f"{name}_2", "2023-02-01", modality, (at, 0), projected=projected)]
+        bands |= {f"{name}_a": reference, f"{name}_b": comparison}
+    pairs = pairing.all_tile_pairs(spark.createDataFrame(rows, TILE))
+    pairs = spark.createDataFrame(pairs.collect(), pairs.schema)
+    results, values = detection.detect_changes(pairs, *rasters(spark, bands), config)
+    return {r.reference_tile_id[:-2]: r for r in results.collect()}, values
+
+
+HERE, CLEAR = (0.0, 0.0, 1.0, 1.0), (np.full((128, 128), 4), {})
+
+
+def test_magnitudes_and_masks(spark):
+    half, clouds, one_pixel = flat(1000), flat(4, 128), flat(4, 128)
+    half[:128], clouds[:64, :64], one_pixel[0, 0] = 0, 8, 8
+    off = {"crs": {"crs": "EPSG:1"}, "resolution": {"affine": [10.0, 0.0, 0.0, 0.0, -10.0, 0.0]}, "origin": {"affine": [20.0, 0.0, 25.0, 0.0, -20.0, 0.0]}, "rotation": {"affine": [20.0, 1.0, 0.0, 0.0, -20.0, 0.0]}}
+    cases = {
+        "same": (optical(1500), optical(1500)), "all": (optical(1000), optical(2000)), "one": (optical(), optical(B04=(flat(2000), {}))), "half": (optical(), optical(B04=(half, {}))),
+        "clouds": (optical(SCL=CLEAR), optical(SCL=(clouds, {}))), "pixel": (optical(SCL=CLEAR), optical(SCL=(one_pixel, {}))),
+        "near": (optical(SCL=(flat(4, 128), {"affine": [20.0, 0.0, 10.0, 0.0, -20.0, 0.0]})), optical(SCL=CLEAR)),
+    } | {k: (optical(SCL=(flat(8, 128), more)), optical(SCL=(flat(8, 128), {}))) for k, more in off.items()}
+    found, values = detected(spark, {k: (*v, "optical", HERE) for k, v in cases.items()})
+    assert {r.status for r in found.values()} == {"success"}
+    r = found["same"].summary
+    assert (r.mean, r.max, r.std, r.valid_pixels) == (0.0, 0.0, 0.0, 65536)
+    assert abs(found["all"].summary.mean - 0.2) < 1e-5 and abs(found["all"].summary.p99 - 0.2) < 1e-5 and abs(found["one"].summary.mean - 0.1) < 1e-5
+    assert (found["half"].summary.valid_pixels, found["half"].summary.valid_pixel_ratio) == (32768, 0.5)
+    assert found["clouds"].masked and found["clouds"].summary.valid_pixels == 49152 and found["near"].masked
+    kept = {(x.r, x.c) for x in values.where("pair_id LIKE 'pair__pixel%'").collect()}
     assert {(i, j) for i in range(256) for j in range(256)} - kept == {(0, 0), (0, 1), (1, 0), (1, 1)}
-
-
-@pytest.mark.parametrize(("more", "fault"), [({"crs": "EPSG:1"}, "crs"), ({"affine": [10.0, 0.0, 0.0, 0.0, -10.0, 0.0]}, "resolution"), ({"affine": [20.0, 0.0, 25.0, 0.0, -20.0, 0.0]}, "origin"), ({"affine": [20.0, 1.0, 0.0, 0.0, -20.0, 0.0]}, "rotation")])
-def test_a_class_layer_that_is_off_is_not_applied(spark, more, fault):
-    r, _ = detected(spark, optical(SCL=(flat(8, 128), more)), optical(SCL=(flat(8, 128), {})))
-    assert not r.masked and r.status == "success" and fault in r.warnings[0]
-
-
-def test_a_class_layer_half_a_pixel_off_is_applied(spark):
-    near = {"affine": [20.0, 0.0, 10.0, 0.0, -20.0, 0.0]}
-    assert detected(spark, optical(SCL=(flat(4, 128), near)), optical(SCL=(flat(4, 128), {})))[0].masked
+    for fault in off:
+        assert not found[fault].masked and fault in found[fault].warnings[0] and found[fault].summary.valid_pixels == 65536
 
 
 def test_statuses(spark):
     few = flat(0)
     few[:12] = 1000
-    cases = [
-        ("no_valid_pixels", optical(0), optical(), {}), ("insufficient_valid_pixels", optical(), optical(B02=(few, {})), {}), ("unsupported_sar_unaligned", optical(), optical(), {"modality": "sar"}),
-        ("unaligned_optical_grid", optical(), optical(), {"projected": (9.0, 0.0, 1.0, 1.0)}), ("dimension_mismatch", optical(B08=(flat(1, 128), {})), optical(B08=(flat(1, 128), {})), {}),
-        ("crs_mismatch", optical(), optical(B03=(flat(1000), {"crs": "EPSG:1"})), {}), ("transform_mismatch", optical(), optical(B03=(flat(1000), {"affine": [10.0, 0.0, 5.0, 0.0, -10.0, 0.0]})), {}),
-    ]
-    for status, a, b, more in cases:
-        r, _ = detected(spark, a, b, **more)
-        assert (r.status, r.summary) == (status, None) and r.warnings
     gone = optical()
     del gone["B04"]
-    r, _ = detected(spark, gone, optical())
-    assert r.status == "missing_raster_file" and r.warnings == ["missing: a/B04"]
+    cases = {
+        "no_valid_pixels": (optical(0), optical(), "optical", HERE), "insufficient_valid_pixels": (optical(), optical(B02=(few, {})), "optical", HERE),
+        "unsupported_sar_unaligned": (optical(), optical(), "sar", HERE), "unaligned_optical_grid": (optical(), optical(), "optical", (9.0, 0.0, 1.0, 1.0)),
+        "dimension_mismatch": (optical(B08=(flat(1, 128), {})), optical(B08=(flat(1, 128), {})), "optical", HERE), "crs_mismatch": (optical(), optical(B03=(flat(1000), {"crs": "EPSG:1"})), "optical", HERE),
+        "transform_mismatch": (optical(), optical(B03=(flat(1000), {"affine": [10.0, 0.0, 5.0, 0.0, -10.0, 0.0]})), "optical", HERE), "missing_raster_file": (gone, optical(), "optical", HERE),
+    }
+    found, _ = detected(spark, cases, detection.ChangeConfig(mask_clouds=False))
+    assert {k: (r.status, r.summary) for k, r in found.items()} == {k: (k, None) for k in cases}
+    assert all(r.warnings for r in found.values()) and found["missing_raster_file"].warnings == ["missing: missing_raster_file_a/B04"]
     with pytest.raises(ValueError):
         detection.ChangeConfig(min_valid_ratio=2)
 
