@@ -471,10 +471,9 @@ def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees:
     judged = common.materialize(judged.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("first").alias("_first")), "judged")
     common.drop(rows, named, grouped)
 
-    own = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    own = common.likely(own, F.xxhash64("_own_id", "_own_hash"), judged.select(F.xxhash64("_id", "_hash").alias("k")), "_likely")
-    met = own.where("_likely").join(judged, (F.col("_own_id") == F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    whole = F.struct(*names)
-    repeated = met.where("_first").groupBy("_id", "_hash").agg(F.min_by(whole, F.xxhash64(*names)).alias("_row")).select("_row.*")
-    return own.where("NOT _likely").select(*names).unionByName(met.where("_id IS NULL").select(*names)).unionByName(repeated)
+    # the row as one struct, so that no column's name can clash
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("own_hash"))
+    own = common.likely(own, F.xxhash64("own_id", "own_hash"), judged.select(F.xxhash64("_id", "_hash").alias("k")))
+    met = own.where("likely").join(judged, (F.col("own_id") == F.col("_id")) & (F.col("own_hash") == F.col("_hash")), "left")
+    repeated = met.where("_first").groupBy("_id", "_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return own.where("NOT likely").select("row.*").unionByName(met.where("_id IS NULL").select("row.*")).unionByName(repeated.select("row.*"))
