@@ -573,24 +573,6 @@ def test_radar_scenes_are_validated_and_tiled(spark, tmp_path):
     assert set(row.errors) == {"control points misplaced", f"provenance lacks {scenes.PROVENANCE[0]}"}
 
 
-def test_from_scenes_to_confirmed_change(spark, tmp_path):
-    for name, when in (("s1", "2023-01-01T10:00:00Z"), ("s2", "2023-03-01T10:00:00Z")):
-        optical_folder(tmp_path / "in" / name, size=256, when=when)
-    tiles, made = workflows.tile_optical(spark, f"{tmp_path}/in")
-    embedder = embedding.HashEmbedder(16)
-    whole = workflows.build_index(workflows.embed_tiles(tiles, made, embedder), workflows.index_tiles(tiles, "tiles"), 16)
-    assert whole.count() == 2 and index.TextSearch(whole, embedder, 16).search("water").count() == 2
-    block = F.when((F.col("tile_id").contains("s2_s2")) & (F.col("band") != "SCL"), F.transform("data", lambda x, i: F.when((i < 4 * 256) & (i % 256 < 4), x + 3000).otherwise(x)).cast("array<float>")).otherwise(F.col("data"))
-    found = workflows.compare(whole, made.withColumn("data", block))
-    r = found["suppressed"].first()
-    assert (r.status, r.confirmed_pixels, r.candidate_pixels) == ("success", 16, 16)
-    headers, _ = workflows.headers_and_pixels(made)
-    written = geotiff.export(workflows.confirmed_maps(found["changes"], found["candidates"], headers), f"file://{tmp_path}/out")
-    assert len(written) == 2
-    masks = {r.filename.split("__")[0]: r for r in geotiff.rasters(spark, f"{tmp_path}/out").collect()}
-    assert sum(masks["mask"].data) == 16 and masks["mask"].dtype == "uint8" and masks["mask"].crs == UTM
-
-
 def test_staged_embeddings(spark, tmp_path):
     folder = tmp_path / "sentinel2" / "s1"
     folder.mkdir(parents=True)
