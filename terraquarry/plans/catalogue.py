@@ -129,7 +129,8 @@ def nearest_in_time(spark, sf_dir):
     """SELECT a.o_custkey, a.o_orderkey AS reference_id, b.o_orderkey AS comparison_id, date_diff('second', a.o_orderdate, b.o_orderdate) / 86400.0::DOUBLE AS delta_days
 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate < b.o_orderdate WHERE date_diff('second', a.o_orderdate, b.o_orderdate) / 86400.0::DOUBLE <= 90"""
 )
-def all_pairs(spark, sf_dir):
+def all_pairs_90_days(spark, sf_dir):
+    """The pairs of ``all_pairs`` that are at most 90 days apart."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("scene_id"), F.col("o_orderdate").alias("acquired"))
     return pairing.all_pairs(orders, ["o_custkey"], max_days=90)
 
@@ -138,8 +139,8 @@ def all_pairs(spark, sf_dir):
     """SELECT a.o_custkey, a.o_orderkey AS reference_id, b.o_orderkey AS comparison_id, date_diff('second', a.o_orderdate, b.o_orderdate) / 86400.0::DOUBLE AS delta_days
 FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate < b.o_orderdate"""
 )
-def all_pairs_unlimited(spark, sf_dir):
-    """Every pair, however far apart; ``all_pairs`` keeps those within 90 days."""
+def all_pairs(spark, sf_dir):
+    """Every pair, however far apart."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("scene_id"), F.col("o_orderdate").alias("acquired"))
     return pairing.all_pairs(orders, ["o_custkey"])
 
