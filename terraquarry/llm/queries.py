@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraquarry.llm import chat, decontaminate, langid, merkle, neardup, packing, pii, secrets, substrings, tokencount
+from terraquarry.llm import chat, decontaminate, langid, merkle, neardup, oracle, packing, pii, secrets, substrings, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_chat, op4_tokens, op5_substrings, op6_pii, op7_neardup, op8_langid, op9_merkle, op10_packing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
