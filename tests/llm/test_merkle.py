@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +32,53 @@ def test_documents_against_the_definition(spark, sf):
     assert sum(r.near_edited > r.near_next for r in got.values()) > 0.9 * len(got)
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def in_phrases(paragraph):
+    """Eight words at most, the last of a sentence its phrase's last; white space goes with the word before, or the first one after."""
+    words, out, own = re.findall(r"^\s*\S+\s*|\S+\s*", paragraph, re.ASCII), [], []
+    for w in words:
+        own.append(w)
+        if len(own) == 8 or w.strip(" \t\n\r\f\v")[-1] in ".!?":
+            out.append("".join(own))
+            own = []
+    return out + ["".join(own)] * bool(own)
+
+
+def tree(text):
+    """The written tree, and its phrases' hashes with their lengths."""
+    sections, leaves = [], set()
+    for section in re.findall(r"(?:[^\n]|\n(?!\n))*(?:\n{2,}|\Z)", text):
+        paragraphs = []
+        for p in re.findall(r"[^\n]*\n+|[^\n]+\Z", section):
+            own = [(sha(x)[:12], min(len(x), 65535)) for x in in_phrases(p)]
+            leaves.update(own)
+            paragraphs.append((sha(p), ".".join(f"{h}{n:04x}" for h, n in own)))
+        if section:
+            sections.append((sha("".join(h for h, _ in paragraphs)), ",".join(f"{h[:16]}-{x}" for h, x in paragraphs)))
+    root = sha("".join(h for h, _ in sections))
+    return root, root + ":" + ";".join(f"{h[:16]}={x}" for h, x in sections), leaves
+
+
+def alike(a, b):
+    (root, _, x), (other, _, y) = tree(a), tree(b)
+    total = sum(n for _, n in x) + sum(n for _, n in y)
+    return 1.0 if root == other else 2 * sum(n for _, n in x & y) / total if total else 0.0
+
+
+def test_fingerprints_and_likeness_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    more = ["", "a", "a\n\n\n b. c d\n", "\n\n", "  x  ", "x\n \ny", "one two three four five six seven eight nine ten! é😀 x", "x" * 70_000 + " y"]
+    docs = docs.unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    want = edited([(r.doc_id, r.text) for r in docs.collect()])
+    for r in merkle.compare_edited(docs).collect():
+        text, new, after = want[r.doc_id]
+        assert (r.fingerprint, r.edited_fingerprint) == (tree(text)[1], tree(new)[1])
+        assert abs(r.near_edited - alike(text, new)) < 1e-12 and abs(r.near_next - alike(text, after)) < 1e-12
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, "one"), (2, "one"), (3, "a\n\nb\r\n é"), (4, ""), (7, "x" * 70_000 + " y")]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, part int")
