@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraquarry.llm import chat, decontaminate, langid, merkle, neardup, oracle, packing, periodic, pii, repair, secrets, substrings, tokencount
+from terraquarry.llm import chat, decontaminate, langid, merkle, neardup, oracle, packing, pagetext, periodic, pii, repair, secrets, substrings, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pagetext.extract(pages, pagetext.fit(pages))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.collapse(periodic.with_planted_runs(table(spark, sf_dir, "documents"))))
 
@@ -81,7 +86,7 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_chat, op4_tokens, op5_substrings, op6_pii, op7_neardup, op8_langid, op9_merkle, op10_packing, op12_periodic, op13_repair)
+    f.__name__: f for f in (op1_decontaminate, op2_secrets, op3_chat, op4_tokens, op5_substrings, op6_pii, op7_neardup, op8_langid, op9_merkle, op10_packing, op11_pagetext, op12_periodic, op13_repair)
 }
 
 ORACLE_SQL: dict[str, str] = oracle.SQL
