@@ -8,13 +8,15 @@ executor, retry and session gives equal hashes.
 from __future__ import annotations
 
 import atexit
+import bisect
 import contextlib
 import functools
 import hashlib
+import itertools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -284,6 +286,18 @@ def equal_spans(one: np.ndarray, starts: np.ndarray, other: np.ndarray, places:
     return same
 
 
+def overlap_test(intervals: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether a span shares a place with any of the intervals (start, end), by one search: the furthest end of all that start before its end decides."""
+    ordered = sorted(intervals)
+    starts, furthest = [a for a, _ in ordered], list(itertools.accumulate((b for _, b in ordered), max))
+
+    def touches(start: int, end: int) -> bool:
+        before = bisect.bisect_left(starts, end)
+        return before > 0 and furthest[before - 1] > start
+
+    return touches
+
+
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of True that don't cross values: starts, ends, and the first run of each value (one more at the end)."""
     size = len(inside)

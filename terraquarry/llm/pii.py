@@ -244,16 +244,15 @@ _SOME = re.compile(r"[0-9][^\n]{4}|@")
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """Valid values by place: start, end, kind; they don't overlap."""
-    out: list[tuple[int, int, str]] = []
+    out: list[tuple[int, int, str]] = []  # sorted
     if not _SOME.search(text):
         return out
     for kind, rule in KINDS.items():
         if kind == "email" and "@" not in text:
             continue
-        for m in rule.pattern.finditer(text):
-            if rule.valid(m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in out):
-                out.append((*m.span(), kind))
-    return sorted(out)
+        taken = common.overlap_test((a, b) for a, b, _ in out)
+        out = sorted(out + [(*m.span(), kind) for m in rule.pattern.finditer(text) if rule.valid(m[0]) and not taken(*m.span())])
+    return out
 
 
 class Pseudonyms:

@@ -134,11 +134,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def markov_spans(text: str, model: RatioModel, threshold: float, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidates over the threshold that no pattern has touched."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for _, a, b in taken) and model.score(m[0]) > threshold:
-            out.append(("markov", *m.span()))
-    return out
+    touched = common.overlap_test((a, b) for _, a, b in taken)
+    return [("markov", *m.span()) for m in _CANDIDATE.finditer(text) if not touched(*m.span()) and model.score(m[0]) > threshold]
 
 
 def written(found: list[tuple[str, int, int]]) -> str:
@@ -154,6 +151,11 @@ def scan(docs: DataFrame, *, threshold: float = 0.35, sample_rows: int = 1000, s
     the end exclusive. A null text counts as empty; a text without secrets has "" as spans;
     repeated rows are scanned each; other columns are ignored; an empty table gives no rows.
     The identifiers' model is fitted to words of about ``sample_rows`` documents, chosen by hash.
+
+    Bounds of the method: the models judge strings of 16 and more identifier characters
+    (``_CANDIDATE``); a shorter random string is found by a pattern or not at all, since too
+    few characters tell the two models apart. Digits alone count as an ordinary number, of
+    whatever length.
     """
     spark = docs.sparkSession
     common.tune(spark)

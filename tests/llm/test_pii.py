@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -102,3 +103,29 @@ def test_queries_and_edge_cases(spark, sf):
     assert changed.schema == odd.schema
     assert {(r.n_found, r.spans) for r in changed.collect()} == {(7, "c")}
     assert pii.pseudonymise(odd.limit(0), key=b"k").count() == 0
+
+
+def test_long_texts_take_linear_time():
+    """1, 2 and 4 MB full of values: no value is compared with all the others."""
+    line = "on 2021-03-04 from 10.1.2.3 to ann.lee@example.org, card 4111 1111 1111 1111, 05.06.1999 by +49 30 1234567;\n"
+    seconds, counts = [], []
+    for size in (1, 2, 4):
+        start = time.process_time()
+        counts.append(len(pii.find(line * (size * 1_000_000 // len(line)))))
+        seconds.append(time.process_time() - start)
+    assert counts[0] > 40_000 and abs(counts[2] - 4 * counts[0]) < 20
+    assert seconds[2] < 8 * seconds[0] + 0.5
+
+
+def test_found_values_against_every_pair():
+    """The same spans as by the definition: kinds in order, and what touches a value found before is left."""
+    draw = random.Random(8)
+    parts = ["2021-03-04", "10.1.2.3", "ann@ex.org", "4111 1111 1111 1111", "05.06.1999", "+49 30 1234567", "DE89370400440532013000", "078-05-1120", " ", ".", "-", "@", "x", "7"]
+    for _ in range(400):
+        text = "".join(draw.choices(parts, k=draw.randint(1, 14)))
+        want = []
+        for kind, rule in pii.KINDS.items():
+            for m in rule.pattern.finditer(text):
+                if rule.valid(m[0]) and not any(a < m.end() and m.start() < b for a, b, _ in want):
+                    want.append((*m.span(), kind))
+        assert pii.find(text) == sorted(want), text
