@@ -20,7 +20,8 @@ from terraquarry.llm import common
 
 _SECTION = r"(?<=\n\n)(?!\n)"
 _PARAGRAPH = r"(?<=\n)(?!\n)"
-_PHRASE = r"\s*(?:\S*[^\s.!?]\s+){0,7}\S+\s*"
+#: Each match starts where the last one ended, and blanks are not given back: no place is tried twice.
+_PHRASE = r"\G\s*+(?:\S*[^\s.!?]\s++){0,7}\S+\s*+"
 
 
 def _sha(x: Column) -> Column:
@@ -156,4 +157,7 @@ def changed_branches(a: Column, b: Column) -> Column:
     def own(print_: Column) -> Column:
         return F.regexp_extract_all(print_, F.lit("[=,]([0-9a-f]{16})-"), F.lit(1))
 
-    return F.filter(F.transform(own(b), lambda p, i: F.when(F.array_contains(own(a), p), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+    # computed once, as a lambda's variable: b's paragraphs, and those of them that a lacks
+    both = F.array(F.struct(own(b).alias("all"), F.array_except(own(b), own(a)).alias("new")))
+    found = lambda x: F.transform(x["all"], lambda p, i: F.when(F.array_contains(x["new"], p), i).otherwise(F.lit(-1)))
+    return F.filter(F.transform(both, found)[0], lambda i: i >= 0)

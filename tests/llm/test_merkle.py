@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +110,22 @@ def test_differing_branches_locate_edits(spark):
     df = spark.createDataFrame([("a b\nc d\n\ne f\ng h", "a b\nc d\n\ne X\ng h")], "x string, y string")
     r = df.select(merkle.changed_branches(merkle.fingerprint(F.col("x")), merkle.fingerprint(F.col("y"))).alias("c")).collect()[0]
     assert r.c == [2]
+
+
+def test_blanks_take_linear_time(spark):
+    """A paragraph of a million blanks has no phrase, and is not searched anew from each of them."""
+    texts = [" " * 1_000_000, "a" + " " * 500_000 + "b" + "\t" * 300_000, "." * 300_000, "x. " * 100_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    start = time.monotonic()
+    found = {r.doc_id: r.f for r in docs.select("doc_id", merkle.fingerprint(F.col("text")).alias("f")).collect()}
+    assert time.monotonic() - start < 30
+    assert found[0].endswith("-") and found[1].count(".") == 0 and found[3].count(".") == 99_999
+
+
+def test_phrases_are_those_of_the_pattern_with_retries(spark):
+    draw = random.Random(9)
+    plain = re.compile(r"\s*(?:\S*[^\s.!?]\s+){0,7}\S+\s*", re.ASCII)
+    texts = ["".join(draw.choices("ab.!? \t", (4, 4, 2, 1, 1, 6, 1), k=draw.randint(0, 120))) for _ in range(300)] + ["   ", " a", "a ", ". .. ..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.p for r in docs.select("doc_id", F.regexp_extract_all("text", F.lit(merkle._PHRASE), F.lit(0)).alias("p")).collect()}
+    assert all(found[i] == plain.findall(t) for i, t in enumerate(texts))
