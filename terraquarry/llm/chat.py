@@ -82,7 +82,8 @@ def format_segments(conversations: DataFrame, template: Template = Template(), *
     A row per segment: conv_id, turn_no (from 0, by turn, then role, then text: a defined
     order where turns tie or rows repeat), part (0 header, 1 text, 2 end), text, loss,
     fault (in the first segment of the first turn that the machine rejects: what it met).
-    Null roles and texts count as empty; null turns come first; an unknown or empty role is
+    Rows with a null id are one conversation of that id, as GROUP BY has it: whoever wants
+    them apart gives them ids. Null roles and texts count as empty; null turns come first; an unknown or empty role is
     written under the template's general header. Other columns are ignored. Conversations
     with a fault are formatted too. An empty table gives no rows.
     """

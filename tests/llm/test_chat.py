@@ -59,3 +59,10 @@ def test_escapes_are_undone_and_hide_control_strings():
             coded = template.encode(text, name)
             assert template.decode(coded) == text
             assert "###" not in coded and "</turn>" not in coded
+
+
+def test_rows_without_an_id_are_one_conversation(spark):
+    rows = spark.createDataFrame([(None, 2, "user", "c"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.digests(chat.format_segments(rows)).collect()}
+    assert found.keys() == {None, 1} and found[None].n_turns == 3
+    assert found[None].turns_sha256 == digest("user\na\nassistant\nb\nuser\nc\n")
