@@ -128,3 +128,16 @@ def test_maximal_repeats_give_all_occurrences():
                 if i < j:
                     best[i, j] = max(best[i, j], after + before)
     assert dict(best) == {(0, 1): 5, (0, 2): 4, (1, 2): 4, (0, 3): 3, (1, 3): 3, (2, 3): 4}
+
+
+def test_repeats_of_399_400_and_401_bytes(spark):
+    """A passage of under 400 bytes stays, however many words it has; of 400 or 401, every copy goes."""
+    draw = random.Random(21)
+    fill = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=500))
+    for size in (399, 400, 401):
+        passage = "".join(draw.choices("abcd ", k=size))
+        texts = [fill() + "<" + passage + ">" + fill(), fill() + "{" + passage + "}" + fill(), fill()]
+        got = rows(substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+        assert [r[2] for r in got] == ([0, 0, 0] if size < 400 else [size, size, 0])
+        assert [r[3] for r in got] == [int(bool(r[2])) for r in got]
+        assert [r[4] for r in got] == [hashlib.sha256((t if size < 400 else t.replace(passage, "")).encode()).hexdigest() for t in texts]
