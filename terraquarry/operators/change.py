@@ -5,16 +5,16 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from terraquarry.functions.scalars import is_finite
+from terraquarry.operators import graph, kernels
+from terraquarry.operators.kernels import LEAST_CONFIDENCE, MAD_SCALE, MARGIN_WEIGHT, NEIGHBOR_WEIGHT, UNUSABLE_CLASSES
+from terraquarry.storage import release, stored
 
-#: Scene classes that hide the ground (none, saturated, shadow, clouds, cirrus, snow).
-UNUSABLE_CLASSES = (0, 1, 3, 8, 9, 10, 11)
-#: Fixed value: median absolute deviations to standard deviations of a normal distribution.
-MAD_SCALE = 1.4826
 PIXEL = ["pair_id", "r", "c"]
 
 
@@ -53,51 +53,91 @@ def candidates(pixels: DataFrame, k: float = 3.0, offset: float = 0.0, limits: D
     return pixels.join(limits, "pair_id").where(is_finite(F.col("magnitude")) & (F.col("magnitude") > F.col("threshold")))
 
 
-def neighbors8(mask: DataFrame) -> DataFrame:
-    """Each masked pixel with the number of the eight around it that are masked as well."""
-    steps = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)))
-    lent = mask.select("pair_id", "r", "c", F.explode(steps).alias("s")).select("pair_id", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"))
-    counts = lent.groupBy(*PIXEL).agg(F.count("*").alias("neighbors"))
-    return mask.join(counts, PIXEL, "left").withColumn("neighbors", F.coalesce("neighbors", F.lit(0).cast("long")))
+#: Side of the blocks that a raster of any size is dealt into.
+BLOCK = 512
 
 
-def components8(mask: DataFrame, width: int) -> DataFrame:
+def _in_blocks(pixels: DataFrame, block: int, min_neighbors: int | None) -> DataFrame:
+    """``pixels`` with neighbors, and with ``min_neighbors`` also label and n: one group a block, in one shuffle.
+
+    A pixel at a block's border is lent to the blocks beside it, so that each block has a halo of
+    one pixel. ``label`` names the component within the block, of pixels with so many neighbours
+    (null for others), by its least row, then column, as a struct; n is its size there.
+    """
+    at = lambda c, d: F.floor((F.col(c) + d) / block).cast("long")
+    border = F.lit(False)
+    for c in ("r", "c"):
+        border = border | F.pmod(F.col(c), F.lit(block)).isin(0, block - 1)
+    around = F.array_distinct(F.array(*(F.struct(at("r", i).alias("br"), at("c", j).alias("bc")) for i in (0, -1, 1) for j in (0, -1, 1))))
+    own = F.struct(at("r", 0).alias("br"), at("c", 0).alias("bc"))
+    dealt = pixels.withColumn("_at", F.explode(F.when(border, around).otherwise(F.array(own))))
+    dealt = dealt.withColumns({"_br": F.col("_at.br"), "_bc": F.col("_at.bc")}).drop("_at")
+
+    def run(table: pa.Table) -> pa.Table:
+        r, c = (table.column(x).to_numpy().astype(np.int64) for x in "rc")
+        top, left = table.column("_br")[0].as_py() * block, table.column("_bc")[0].as_py() * block
+        wide = block + 2
+        place = (r - top + 1) * wide + (c - left + 1)
+        all_, first = np.unique(place, return_index=True)
+        near = kernels.neighbor_counts(all_, wide)
+        inside = (r[first] >= top) & (r[first] < top + block) & (c[first] >= left) & (c[first] < left + block)
+        keep = first[inside]
+        out = table.take(pa.array(keep)).drop_columns(["_br", "_bc"]).append_column("neighbors", pa.array(near[inside]))
+        if min_neighbors is not None:
+            good = near[inside] >= min_neighbors
+            own = all_[inside]
+            root = kernels.labels(own[good], wide)
+            size = np.bincount(root, minlength=len(root))[root] if len(root) else root
+            label, n = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            label[good], n[good] = own[good][root], size
+            rows, columns = label // wide - 1 + top, label % wide - 1 + left
+            named = pa.StructArray.from_arrays([pa.array(rows), pa.array(columns)], names=["r", "c"], mask=pa.array(~good))
+            out = out.append_column("label", named).append_column("n", pa.array(n, mask=~good))
+        return out
+
+    fields = [StructField(f.name, f.dataType) for f in pixels.schema.fields] + StructType.fromDDL("neighbors long" + ", label struct<r: bigint, c: bigint>, n long" * (min_neighbors is not None)).fields
+    return dealt.groupBy("pair_id", "_br", "_bc").applyInArrow(run, StructType(fields))
+
+
+def neighbors8(mask: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each masked pixel with the number of the eight around it that are masked as well; one that is given twice counts once."""
+    return _in_blocks(mask, block, None)
+
+
+def _components(local: DataFrame, block: int) -> DataFrame:
+    """(pair_id, label, component, area) of the block components of ``_in_blocks``, joined up over the blocks' borders.
+
+    Only pixels at borders meet their neighbours; what touches makes edges between block
+    components, whose components name the whole. Areas are sums over block components, so no
+    step has a component's pixels together.
+    """
+    at = {c: F.pmod(F.col(c), F.lit(block)) for c in ("r", "c")}
+    edge = local.where("label IS NOT NULL").where(at["r"].isin(0, block - 1) | at["c"].isin(0, block - 1)).select(*PIXEL, F.struct("pair_id", "label").alias("node"))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    lent = edge.select("*", F.explode(steps).alias("s")).select("pair_id", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"), F.col("node").alias("a"))
+    crossing = lent.join(edge.withColumnRenamed("node", "b"), PIXEL).where("a <> b").select("a", "b").distinct()
+    parts = local.where("label IS NOT NULL").groupBy("pair_id", "label").agg(F.first("n").alias("n"))
+    links = stored(crossing, "block-links")
+    if links.isEmpty():
+        release(links)
+        return parts.select("pair_id", "label", F.col("label").alias("component"), F.col("n").alias("area"))
+    whole = graph.connected_components(links)
+    named = parts.withColumn("node", F.struct("pair_id", "label")).join(whole, "node", "left").select("pair_id", "label", F.coalesce("component.label", "label").alias("component"), "n")
+    areas = named.groupBy("pair_id", "component").agg(F.sum("n").alias("area"))
+    return named.join(areas, ["pair_id", "component"]).select("pair_id", "label", "component", "area")
+
+
+def components8(mask: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
     """(pair_id, r, c, component, area): 8-connected components, named by their least r * width + c.
 
-    A raster is one tile of bounded size (width times its rows), so a group is one; its labels
-    spread by pointer jumping in NumPy. A pixel that is given twice counts once.
+    A raster of any size is dealt into blocks, which are labelled by themselves; block
+    components that touch across borders are joined up, and pixels take the joint name and
+    area. No task has a raster, nor a component, together. A pixel that is given twice counts
+    once; a null pair_id is no raster. Jobs run here, for the joining up.
     """
-    kind = mask.schema["pair_id"].dataType.simpleString()
-
-    def label(frame: pd.DataFrame) -> pd.DataFrame:
-        r, c = frame["r"].to_numpy(np.int64), frame["c"].to_numpy(np.int64)
-        place = np.unique(r * width + c)
-        r, c = np.divmod(place, width)
-        ends = []
-        for i, j in ((0, 1), (1, -1), (1, 0), (1, 1)):
-            at = np.searchsorted(place, (r + i) * width + c + j)
-            hit = (at < len(place)) & (c + j >= 0) & (c + j < width)
-            hit[hit] &= place[at[hit]] == ((r + i) * width + c + j)[hit]
-            ends.append((np.flatnonzero(hit), at[hit]))
-        a, b = np.concatenate([x for x, _ in ends]), np.concatenate([x for _, x in ends])
-        root = np.arange(len(place))
-        while True:
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, root[a], low)
-            np.minimum.at(new, root[b], low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        area = np.bincount(root, minlength=len(root))[root]
-        return pd.DataFrame({"pair_id": frame["pair_id"].iloc[0], "r": r, "c": c, "component": place[root], "area": area})
-
-    return mask.select(*PIXEL).groupBy("pair_id").applyInPandas(label, f"pair_id {kind}, r long, c long, component long, area long")
-
-
-#: The weights of spectral margin and of eight neighbours, and the least confidence.
-MARGIN_WEIGHT, NEIGHBOR_WEIGHT, LEAST_CONFIDENCE = 0.5, 0.5 / 8, 0.05
+    local = stored(_in_blocks(mask.where("pair_id IS NOT NULL").select(*PIXEL), block, 0), "block-labels")
+    found = local.join(_components(local, block), ["pair_id", "label"])
+    return found.select(*PIXEL, (F.col("component.r") * width + F.col("component.c")).alias("component"), "area")
 
 
 def confidence() -> Column:
@@ -107,14 +147,16 @@ def confidence() -> Column:
     return F.least(F.greatest(MARGIN_WEIGHT * margin + NEIGHBOR_WEIGHT * F.col("neighbors"), F.lit(LEAST_CONFIDENCE)), F.lit(1.0))
 
 
-def supported(pixels: DataFrame, width: int, min_neighbors: int = 2, min_area: int = 4) -> DataFrame:
+def supported(pixels: DataFrame, width: int, min_neighbors: int = 2, min_area: int = 4, block: int = BLOCK) -> DataFrame:
     """Candidates (pair_id, r, c, magnitude, threshold) with neighbors, component, area and confidence; the last three null where not confirmed.
 
-    Confirmed are candidates of ``min_neighbors`` and more, in a component of them of ``min_area`` and more.
+    Confirmed are candidates of ``min_neighbors`` and more, in a component of them of ``min_area`` and
+    more. For rasters of any size, as ``components8``; tiles go through ``detection.compare_rasters``.
     """
-    near = neighbors8(pixels)
-    kept = components8(near.where(F.col("neighbors") >= min_neighbors), width).where(F.col("area") >= min_area)
-    return near.join(kept, PIXEL, "left").withColumn("confidence", F.when(F.col("area").isNotNull(), confidence()))
+    local = stored(_in_blocks(pixels.where("pair_id IS NOT NULL"), block, min_neighbors), "block-labels")
+    whole = _components(local, block).where(F.col("area") >= min_area)
+    joined = local.join(whole, ["pair_id", "label"], "left").withColumn("confidence", F.when(F.col("area").isNotNull(), confidence()))
+    return joined.withColumn("component", F.col("component.r") * width + F.col("component.c")).select(*pixels.columns, "neighbors", "component", "area", "confidence")
 
 
 def suppress(pixels: DataFrame, width: int, k: float = 3.0, offset: float = 0.0, min_neighbors: int = 2, min_area: int = 4) -> DataFrame:

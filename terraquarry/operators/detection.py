@@ -1,8 +1,9 @@
 """Change detection from pairs to statuses: checks in a fixed order, magnitudes, masks, statistics.
 
-Rasters are two tables. ``headers`` has a row per tile and band: tile_id, band, shape (rows,
-columns), crs, affine (a, b, c, d, e, f), nodata. ``pixels`` has tile_id, band, r, c, dn. A pair's
-pixels meet on pair_id throughout, which is the one shuffle key after the tiles are joined.
+Tiles stay rasters: a pair and the arrays of its two tiles meet in one group, where one kernel makes
+magnitudes, statistics, thresholds and confirmed pixels (``compare_rasters``). Headers (tile_id, band,
+shape, crs, affine (a, b, c, d, e, f), nodata) decide before that which pairs are compared at all, so that
+no pixel of the others is moved. Pixel tables (tile_id, band, r, c, dn) are taken too: ``detect_changes``.
 """
 
 from __future__ import annotations
@@ -10,19 +11,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from terraquarry.functions.scalars import is_finite
-from terraquarry.operators import change
+from terraquarry.operators import kernels, suppression
 
 #: What a pair's result can be, in the order in which it is decided.
 STATUSES = (
     "unsupported_sar_unaligned", "unsupported_modality", "unaligned_optical_grid", "missing_raster_file", "dimension_mismatch", "crs_mismatch",
     "transform_mismatch", "resolution_mismatch", "bounds_mismatch", "no_valid_pixels", "insufficient_valid_pixels", "success",
 )
-#: The class layer's band and side, and how far it may be off.
-CLASS_BAND, CLASS_SIDE, CLASS_OFFSET, CLASS_OVERLAP = "SCL", 128, 1.05, 0.90
+#: The class layer's band, and how far it may be off.
+CLASS_BAND, CLASS_OFFSET, CLASS_OVERLAP = "SCL", 1.05, 0.90
 SIDE = 256
 METHOD = "spectral_euclidean"
 
@@ -36,10 +39,12 @@ class ChangeConfig:
     mask_nodata: bool = True
     mask_clouds: bool = True
     min_valid_ratio: float = 0.10
+    #: Rows and columns of a tile; its class layer has half of them.
+    side: int = SIDE
 
     def __post_init__(self) -> None:
-        if not self.bands or not self.scale > 0 or not 0 <= self.min_valid_ratio <= 1:
-            raise ValueError("bands must be given, scale be positive, and min_valid_ratio be 0 to 1")
+        if not self.bands or not self.scale > 0 or not 0 <= self.min_valid_ratio <= 1 or self.side < 2 or self.side % 2:
+            raise ValueError("bands must be given, scale be positive, min_valid_ratio be 0 to 1, and side be even")
 
 
 def _resolution(affine: Column) -> Column:
@@ -61,12 +66,12 @@ def _header(head: Column) -> Column:
     return F.struct(head["shape"].alias("shape"), head["crs"].alias("crs"), affine.alias("affine"), _resolution(affine).alias("resolution"), _bounds(affine, head["shape"]).alias("bounds"), head.isNotNull().alias("there"))
 
 
-def header_fault(ref: Column, comp: Column) -> Column:
+def header_fault(ref: Column, comp: Column, side: int = SIDE) -> Column:
     """The first way in which two bands' headers (structs) differ, or null."""
 
     def first(p: Column) -> Column:
         differ = lambda c: ~p["r"][c].eqNullSafe(p["c"][c])
-        found = F.when(differ("shape") | ~p["r"]["shape"].eqNullSafe(F.array(F.lit(SIDE), F.lit(SIDE))), "dimension_mismatch")
+        found = F.when(differ("shape") | ~p["r"]["shape"].eqNullSafe(F.array(F.lit(side), F.lit(side))), "dimension_mismatch")
         for c, name in (("crs", "crs_mismatch"), ("affine", "transform_mismatch"), ("resolution", "resolution_mismatch"), ("bounds", "bounds_mismatch")):
             found = found.when(differ(c), name)
         return found
@@ -74,7 +79,7 @@ def header_fault(ref: Column, comp: Column) -> Column:
     return _let(F.struct(_header(ref).alias("r"), _header(comp).alias("c")), first)
 
 
-def class_layer_fault(layer: Column, band: Column) -> Column:
+def class_layer_fault(layer: Column, band: Column, side: int = SIDE) -> Column:
     """Why a class layer's header (a struct) does not lie on half the grid of a band's, or null; a missing one is no fault."""
 
     def overlap(p: Column) -> Column:
@@ -88,7 +93,7 @@ def class_layer_fault(layer: Column, band: Column) -> Column:
         (la, lr, ls), (ba, br, bs) = ((p[k]["affine"], p[k]["resolution"], p[k]["shape"]) for k in "lb")
         near = lambda x, y, d: F.abs(x - y) <= d + 1e-5 * F.abs(y)
         rules = {
-            "dimensions": (ls == F.array(F.lit(CLASS_SIDE), F.lit(CLASS_SIDE))) & (ls == F.transform(bs, lambda n: F.floor(n / 2).cast("int"))),
+            "dimensions": (ls == F.array(F.lit(side // 2), F.lit(side // 2))) & (ls == F.transform(bs, lambda n: F.floor(n / 2).cast("int"))),
             "crs": p["l"]["crs"] == p["b"]["crs"],
             "resolution": near(lr[0], br[0] * 2, 1e-3) & near(lr[1], br[1] * 2, 1e-3),
             "pixel scale or rotation": near(la[0], ba[0] * 2, 1e-3) & near(la[4], ba[4] * 2, 1e-3) & near(la[1], F.lit(0.0), 1e-5) & near(la[3], F.lit(0.0), 1e-5),
@@ -111,7 +116,7 @@ def checked_pairs(pairs: DataFrame, headers: DataFrame, config: ChangeConfig = C
         joined = joined.join(tiles.select(F.col("tile_id").alias(f"{side}_tile_id"), F.col("heads").alias(f"{side}_heads")), f"{side}_tile_id", "left")
     at = lambda side, band: F.try_element_at(F.col(f"{side}_heads"), F.lit(band))
     missing = F.array_compact(F.array(*(F.when(at(s, b).isNull(), F.concat(F.col(f"{s}_tile_id"), F.lit(f"/{b}"))) for b in config.bands for s in ("reference", "comparison"))))
-    by_header = F.coalesce(*(header_fault(at("reference", b), at("comparison", b)) for b in config.bands))
+    by_header = F.coalesce(*(header_fault(at("reference", b), at("comparison", b), config.side) for b in config.bands))
     fault = (
         F.when(F.col("modality") == "sar", "unsupported_sar_unaligned")
         .when(F.col("modality") != "optical", "unsupported_modality")
@@ -122,7 +127,7 @@ def checked_pairs(pairs: DataFrame, headers: DataFrame, config: ChangeConfig = C
     staged = joined.withColumn("_fault", fault).withColumn("_missing", F.get(missing, F.lit(0)))
     fault = F.col("_fault")
     layers = at("reference", CLASS_BAND).isNotNull() & at("comparison", CLASS_BAND).isNotNull()
-    off = F.coalesce(class_layer_fault(at("reference", CLASS_BAND), at("reference", config.bands[0])), class_layer_fault(at("comparison", CLASS_BAND), at("comparison", config.bands[0])))
+    off = F.coalesce(*(class_layer_fault(at(s, CLASS_BAND), at(s, config.bands[0]), config.side) for s in ("reference", "comparison")))
     staged = staged.withColumns({"_off": off, "_layers": layers & F.lit(config.mask_clouds)})
     layers, off = F.col("_layers"), F.col("_off")
     reason = (
@@ -137,44 +142,131 @@ def checked_pairs(pairs: DataFrame, headers: DataFrame, config: ChangeConfig = C
     return staged.select(*pairs.columns, fault.alias("fault"), F.array_compact(F.array(reason)).alias("warnings"), masked.alias("masked"))
 
 
-def magnitudes(checked: DataFrame, headers: DataFrame, pixels: DataFrame, config: ChangeConfig = ChangeConfig()) -> DataFrame:
-    """(pair_id, r, c, magnitude) of the valid pixels of pairs without a fault."""
-    good = checked.where("fault IS NULL").select("pair_id", "reference_tile_id", "comparison_tile_id", "masked")
-    nodata = headers.select("tile_id", "band", "nodata")
-    bands = pixels.where(F.col("band").isin(*config.bands)).join(nodata, ["tile_id", "band"])
-    finite = is_finite(F.col("dn").cast("double"))
-    valid = finite & F.coalesce(F.col("dn") != F.col("nodata"), F.lit(True)) & (F.col("dn") > 0) if config.mask_nodata else finite
-    usable = bands.where(valid).select("tile_id", "band", "r", "c", (F.col("dn").cast("float") / F.lit(config.scale).cast("float")).alias("x"))
-    side = lambda name: good.join(usable, good[f"{name}_tile_id"] == usable["tile_id"]).select("pair_id", "band", "r", "c", F.col("x").alias(name))
-    both = side("reference").join(side("comparison"), ["pair_id", "band", "r", "c"])
-    square = F.pow((F.col("comparison") - F.col("reference")).cast("double"), F.lit(2))
-    found = both.groupBy("pair_id", "r", "c").agg(F.sum(square).alias("s"), F.count("*").alias("n")).where(F.col("n") == len(config.bands))
-    found = found.select("pair_id", "r", "c", F.sqrt("s").alias("magnitude"))
-    layer = pixels.where((F.col("band") == CLASS_BAND) & F.col("dn").isin(*change.UNUSABLE_CLASSES)).select("tile_id", F.col("r").alias("r2"), F.col("c").alias("c2"))
-    hides = lambda name: good.where("masked").join(layer, good[f"{name}_tile_id"] == layer["tile_id"]).select("pair_id", "r2", "c2")
-    hidden = hides("reference").unionByName(hides("comparison"))
-    keyed = found.withColumns({"r2": F.expr("r div 2"), "c2": F.expr("c div 2")})
-    return keyed.join(hidden, ["pair_id", "r2", "c2"], "left_anti").select("pair_id", "r", "c", "magnitude")
+#: What the kernel adds to a checked pair: the count and statistics of its magnitudes.
+SEEN = "n_valid long, mean double, median double, p95 double, p99 double, max double, std double"
+_SEEN = [f.split()[0] for f in SEEN.split(", ")]
 
 
-def detect_changes(pairs: DataFrame, headers: DataFrame, pixels: DataFrame, config: ChangeConfig = ChangeConfig()) -> tuple[DataFrame, DataFrame]:
-    """Results and magnitudes. Results: the pairs' columns, status, method, summary, warnings, masked.
+def _bundles(checked: DataFrame, rasters: DataFrame, config: ChangeConfig) -> DataFrame:
+    """The rasters that each pair without a fault needs: pair_id, side, band, nodata, shape, and ``data`` or ``cells``."""
+    tiles = F.inline(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"{s}_tile_id").alias("tile_id")) for i, s in enumerate(("reference", "comparison")))))
+    needed = checked.where("fault IS NULL").select("pair_id", "masked", tiles).distinct()
+    bands = rasters.where(F.col("band").isin(*config.bands, CLASS_BAND))
+    return needed.join(bands, "tile_id").where(F.col("masked") | (F.col("band") != CLASS_BAND)).drop("masked", "tile_id")
+
+
+def _matrix(row: dict[str, pa.Scalar], config: ChangeConfig) -> np.ndarray:
+    """A raster of a bundle's row, NaN where it has no pixel."""
+    side = config.side // 2 if row["band"].as_py() == CLASS_BAND else config.side
+    if "data" in row:
+        return row["data"].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(side, side)
+    out, cells = np.full(side * side, np.nan), row["cells"].values
+    place = cells.field("place").to_numpy(zero_copy_only=False)
+    inside = (place >= 0) & (place < side * side)
+    out[place[inside]] = cells.field("dn").to_numpy(zero_copy_only=False)[inside]
+    return out.reshape(side, side)
+
+
+def _seen(tiles: pa.Table, masked: bool, config: ChangeConfig) -> np.ndarray:
+    """A pair's magnitudes."""
+    rows = {(t["side"].as_py(), t["band"].as_py()): t for t in ({n: tiles.column(n)[i] for n in tiles.column_names} for i in range(tiles.num_rows))}
+    sides = [[_matrix(rows[s, b], config) for b in config.bands] if all((s, b) in rows for b in config.bands) else [np.full((config.side, config.side), np.nan)] * len(config.bands) for s in (0, 1)]
+    nodata = [tuple(rows[s, b]["nodata"].as_py() if (s, b) in rows else None for s in (0, 1)) for b in config.bands]
+    hidden = None
+    if masked:
+        layers = [kernels.hidden_by(_matrix(rows[s, CLASS_BAND], config)) for s in (0, 1) if (s, CLASS_BAND) in rows]
+        hidden = np.logical_or.reduce(layers) if layers else None
+    return kernels.magnitude(*sides, nodata, config.scale, hidden, config.mask_nodata)
+
+
+def compared(checked: DataFrame, rasters: DataFrame, config: ChangeConfig = ChangeConfig(), limits: suppression.SuppressionConfig | None = None) -> DataFrame:
+    """Checked pairs with ``seen`` (SEEN), ``magnitude`` (its raster, row by row, NaN where invalid) and, with ``limits``, ``found`` (suppression.FOUND); null for pairs with a fault.
+
+    A pair and the rasters of its two tiles meet in one group (ten rasters of bounded size), and one
+    kernel makes everything of them. ``rasters``: tile_id, band, nodata, and either ``data``
+    (row by row) or ``cells`` (place, dn).
+    """
+    bundles = _bundles(checked, rasters, config).withColumnRenamed("pair_id", "_pair")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        seen = found = raster = None
+        if right.num_rows:
+            values = _seen(right, left.column("masked")[0].as_py(), config).ravel()
+            valid = values[np.isfinite(values)]
+            numbers = kernels.summary(valid) if len(valid) else (None,) * (len(_SEEN) - 1)
+            seen = dict(zip(_SEEN, (len(valid), *numbers), strict=True))
+            raster = values.astype(np.float32)
+            if limits is not None and len(valid) and len(valid) / config.side**2 >= config.min_valid_ratio:
+                at = np.flatnonzero(np.isfinite(values))
+                found = suppression.found_in(at, values[at], config.side, limits).as_py()
+        count = left.num_rows
+        kind = pa.struct([(n, pa.int64() if n == "n_valid" else pa.float64()) for n in _SEEN])
+        columns = [*left.columns, pa.array([seen] * count, kind), pa.array([raster] * count, pa.list_(pa.float32()))]
+        names = [*left.column_names, "seen", "magnitude"]
+        if limits is not None:
+            columns.append(pa.array([found] * count, suppression._FOUND))
+            names.append("found")
+        return pa.Table.from_arrays(columns, names=names)
+
+    added = f"seen struct<{SEEN.replace(', ', ',').replace(' ', ': ').replace('long', 'bigint')}>, magnitude array<float>" + f", found {suppression.FOUND}" * (limits is not None)
+    schema = StructType([*checked.schema.fields, *StructType.fromDDL(added).fields])
+    return checked.groupBy("pair_id").cogroup(bundles.groupBy("_pair")).applyInArrow(run, schema)
+
+
+def outcomes(found: DataFrame, columns: list[str], config: ChangeConfig = ChangeConfig()) -> DataFrame:
+    """Of ``compared``: the pairs' columns, status, method, summary, warnings, masked, and what else it has (``magnitude``, ``found``).
 
     ``summary`` (null unless success) has mean, median, p95, p99, max, std, valid_pixel_ratio,
-    valid_pixels, total_pixels. Magnitudes are there also where too few pixels are valid.
+    valid_pixels, total_pixels.
     """
-    checked = checked_pairs(pairs, headers, config)
-    values = magnitudes(checked, headers, pixels, config)
-    total = SIDE * SIDE
-    stats = change.summary(values, total, config.min_valid_ratio).withColumnRenamed("status", "_status")
-    joined = checked.join(stats, "pair_id", "left")
-    status = F.coalesce("fault", "_status", F.lit("no_valid_pixels"))
-    rounded = F.round("valid_pixel_ratio", 6).alias("valid_pixel_ratio")
-    numbers = F.struct("mean", "median", "p95", "p99", "max", "std", rounded, F.col("n_valid").alias("valid_pixels"), F.lit(total).cast("long").alias("total_pixels"))
-    short = F.when(status == "no_valid_pixels", "no valid pixel").when(status == "insufficient_valid_pixels", F.format_string("valid pixel ratio %.4f is below the minimum", F.col("valid_pixel_ratio")))
+    total = config.side**2
+    seen = F.col("seen")
+    n = F.coalesce(seen["n_valid"], F.lit(0).cast("long"))
+    ratio = n / float(total)
+    status = F.coalesce("fault", F.when(n == 0, "no_valid_pixels").when(ratio < config.min_valid_ratio, "insufficient_valid_pixels").otherwise("success"))
+    numbers = F.struct(*(seen[c].alias(c) for c in _SEEN[1:]), F.round(ratio, 6).alias("valid_pixel_ratio"), n.alias("valid_pixels"), F.lit(total).cast("long").alias("total_pixels"))
+    short = F.when(status == "no_valid_pixels", "no valid pixel").when(status == "insufficient_valid_pixels", F.format_string("valid pixel ratio %.4f is below the minimum", ratio))
     method = F.when(F.col("fault").isin(*STATUSES[:3]), "unsupported").otherwise(METHOD)
-    results = joined.select(*pairs.columns, status.alias("status"), method.alias("method"), F.when(status == "success", numbers).alias("summary"), F.concat("warnings", F.array_compact(F.array(short))).alias("warnings"), "masked")
-    return results, values
+    rest = [c for c in ("magnitude", "found") if c in found.columns]
+    return found.select(*columns, status.alias("status"), method.alias("method"), F.when(status == "success", numbers).alias("summary"), F.concat("warnings", F.array_compact(F.array(short))).alias("warnings"), "masked", *rest)
+
+
+def detect_changes(pairs: DataFrame, headers: DataFrame, pixels: DataFrame, config: ChangeConfig = ChangeConfig()) -> tuple[DataFrame, DataFrame]:
+    """Results (see ``outcomes``) and magnitudes (pair_id, r, c, magnitude) of pixel tables: these are made rasters first.
+
+    Magnitudes are there also where too few pixels are valid. Whoever has rasters takes
+    ``compare_rasters``, which makes pixels of none.
+    """
+    width = F.when(F.col("band") == CLASS_BAND, config.side // 2).otherwise(config.side)
+    inside = (F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < width) & (F.col("c") < width)
+    cell = F.struct((F.col("r") * width + F.col("c")).cast("long").alias("place"), F.col("dn").cast("double").alias("dn"))
+    cells = pixels.where(inside & F.col("band").isin(*config.bands, CLASS_BAND)).groupBy("tile_id", "band").agg(F.collect_list(cell).alias("cells"))
+    rasters = headers.select("tile_id", "band", F.col("nodata").cast("double").alias("nodata")).join(cells, ["tile_id", "band"])
+    found = outcomes(compared(checked_pairs(pairs, headers, config), rasters, config), pairs.columns, config)
+    return found.drop("magnitude"), magnitude_pixels(found, config.side)
+
+
+def magnitude_pixels(found: DataFrame, side: int = SIDE) -> DataFrame:
+    """(pair_id, r, c, magnitude) of the valid pixels of ``compared``'s rasters."""
+    flat = found.select("pair_id", F.posexplode("magnitude").alias("at", "magnitude")).where(~F.isnan("magnitude"))
+    return flat.select("pair_id", F.expr(f"at div {side}").cast("long").alias("r"), (F.col("at") % side).cast("long").alias("c"), F.col("magnitude").cast("double").alias("magnitude"))
+
+
+def compare_rasters(pairs: DataFrame, rasters: DataFrame, config: ChangeConfig = ChangeConfig(), limits: suppression.SuppressionConfig = suppression.SuppressionConfig()) -> DataFrame:
+    """Change and suppression of every pair, from rasters (tile_id, band, height, width, crs, affine, nodata, data) in one kernel.
+
+    The columns of ``outcomes`` (the change result, with its ``magnitude`` raster), and ``suppressed``:
+    a struct of what ``suppression.judged`` makes of it, and ``pixels`` (the candidates).
+    """
+    headers = rasters.select("tile_id", "band", F.array("height", "width").alias("shape"), "crs", "affine", "nodata")
+    found = compared(checked_pairs(pairs, headers, config), rasters.select("tile_id", "band", "nodata", "data"), config, limits)
+    out = outcomes(found, pairs.columns, config)
+    kept = [c for c in out.columns if c != "found"]
+    verdict = suppression.judged(out.withColumn("_status", F.col("status")).withColumn("_warnings", F.col("warnings")).withColumn("_method", F.col("method")), F.col("found"))
+    fields = [c for c in verdict.columns if c not in (*kept, "found", "_status", "_warnings", "_method")]
+    given = {"_status": "status", "_warnings": "warnings", "_method": "method"}
+    back = {v: k for k, v in given.items()}
+    return verdict.select(*(F.col(back.get(c, c)).alias(c) for c in kept), F.struct("status", "method", "warnings", *fields, F.col("found.pixels").alias("pixels")).alias("suppressed"))
 
 
 def from_arrays(tiles: DataFrame) -> DataFrame:

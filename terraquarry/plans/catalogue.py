@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquarry.functions import scalars as S
-from terraquarry.operators import change, index, metrics, pairing, search, stats, tiling
+from terraquarry.operators import change, detection, index, metrics, pairing, search, stats, suppression as false_alarms, tiling
 from terraquarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,3 +471,69 @@ UNION ALL SELECT NULL, source, count(*) FROM documents GROUP BY source"""
 )
 def index_counts(spark, sf_dir):
     return index.group_counts(table(spark, sf_dir, "documents").select(F.when(F.col("lang") == "en", "optical").otherwise("sar").alias("modality"), F.col("source").alias("scene_id")))
+
+
+#: Side of the tiles that ``events`` are dealt into, for change and suppression.
+TILE_SIDE = 20
+_CELLS = TILE_SIDE**2
+TILES = f"""WITH RECURSIVE v AS (SELECT event_id // {_CELLS} AS t, event_id % {_CELLS} AS place, value::FLOAT::DOUBLE AS v, (value * 1.5)::FLOAT::DOUBLE AS w FROM events),
+whole AS (SELECT t FROM v GROUP BY 1 HAVING count(*) = {_CELLS}),
+pairs AS (SELECT a.t // 2 AS pair_id, a.t AS ta, b.t AS tb FROM whole a JOIN whole b ON b.t = a.t + 1 WHERE a.t % 2 = 0),
+classes AS (SELECT t, place // 2 // {TILE_SIDE // 2} AS r2, place // 2 % {TILE_SIDE // 2} AS c2 FROM v WHERE place % 6 = 0 AND place < {_CELLS // 2} AND (place * 7 + t * 5) % 12 IN (0, 1, 3, 8, 9, 10, 11)),
+m AS (SELECT pair_id, a.place // {TILE_SIDE} AS r, a.place % {TILE_SIDE} AS c, sqrt((b.v / 10000 - a.v / 10000) ** 2 + (b.w / 10000 - a.w / 10000) ** 2) AS x
+  FROM pairs JOIN v a ON a.t = ta JOIN v b ON b.t = tb AND b.place = a.place WHERE a.v > 0 AND b.v > 0),
+p AS (SELECT m.pair_id, r, c, x, x::FLOAT::DOUBLE AS magnitude FROM m JOIN pairs USING (pair_id) WHERE NOT EXISTS (SELECT 1 FROM classes k WHERE k.t IN (ta, tb) AND k.r2 = r // 2 AND k.c2 = c // 2)),
+seen AS (SELECT pair_id, count(*) AS valid_pixels, avg(x) AS mean, median(x) AS median, quantile_cont(x, 0.95) AS p95, max(x) AS max, stddev_pop(x) AS std FROM p GROUP BY 1),
+t AS (SELECT pair_id, median(magnitude) AS noise_median, mad(magnitude) AS noise_mad, median(magnitude) + 1.4826 * mad(magnitude) AS used FROM p GROUP BY 1),
+cand AS (SELECT p.*, used::FLOAT::DOUBLE AS threshold FROM p JOIN t USING (pair_id) WHERE magnitude > used::FLOAT::DOUBLE),
+near AS (SELECT a.pair_id, a.r, a.c, any_value(a.magnitude) AS magnitude, any_value(a.threshold) AS threshold, count(b.r) AS neighbors FROM cand a
+  LEFT JOIN cand b ON a.pair_id = b.pair_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY 1, 2, 3),
+kept AS (SELECT * FROM near WHERE neighbors >= 2),
+reach AS (SELECT pair_id, r, c, r * {TILE_SIDE} + c AS component FROM kept
+  UNION SELECT k.pair_id, k.r, k.c, x.component FROM reach x JOIN kept k ON k.pair_id = x.pair_id AND abs(k.r - x.r) <= 1 AND abs(k.c - x.c) <= 1),
+named AS (SELECT pair_id, r, c, min(component) AS component FROM reach GROUP BY 1, 2, 3),
+sized AS (SELECT *, count(*) OVER (PARTITION BY pair_id, component) AS area FROM named),
+sure AS (SELECT n.pair_id, component, area, n.r, n.c, least(greatest(0.5 * (magnitude - threshold) / (magnitude + threshold) + neighbors / 16, 0.05), 1) AS confidence
+  FROM near n JOIN sized s ON n.pair_id = s.pair_id AND n.r = s.r AND n.c = s.c WHERE area >= 4),
+counted AS (SELECT pair_id, count(*) AS candidate_pixels FROM cand GROUP BY 1),
+confirmed AS (SELECT pair_id, count(*) AS confirmed_pixels, count(DISTINCT component) AS n_components, avg(confidence) AS mean_confidence, max(confidence) AS max_confidence FROM sure GROUP BY 1)
+"""
+
+
+def _tile_rasters(spark, sf_dir):
+    """Events as two-band tiles of 20 x 20 with a class layer of 10 x 10, whole tiles alone."""
+    cell = table(spark, sf_dir, "events").selectExpr(f"event_id div {_CELLS} AS t", f"event_id % {_CELLS} AS place", "CAST(value AS FLOAT) AS v", "CAST(value * 1.5D AS FLOAT) AS w")
+    tiles = cell.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("place", "v", "w"))).alias("x")).where(F.size("x") == _CELLS)
+    half = TILE_SIDE // 2
+    layer = F.transform(F.sequence(F.lit(0), F.lit(half**2 - 1)), lambda i: F.when(i % 3 == 0, (i * 14 + F.col("t") * 5) % 12).otherwise(4).cast("float"))
+    band = lambda name, side, scale, nodata, data: F.struct(F.lit(name).alias("band"), F.lit(side).alias("height"), F.lit(side).alias("width"), F.array(*map(F.lit, (scale, 0.0, 0.0, 0.0, -scale, 0.0))).alias("affine"), nodata.alias("nodata"), data.alias("data"))
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    rows = F.array(band("B1", TILE_SIDE, 10.0, zero, F.col("x.v")), band("B2", TILE_SIDE, 10.0, zero, F.col("x.w")), band("SCL", half, 20.0, none, layer))
+    return tiles.select("t", F.inline(rows)).select(F.concat(F.lit("t"), "t").alias("tile_id"), "t", "band", "height", "width", F.lit("EPSG:32643").alias("crs"), "affine", "nodata", "data")
+
+
+def _compared_tiles(spark, sf_dir):
+    rasters = _tile_rasters(spark, sf_dir)
+    tiles = rasters.where("band = 'B1'").select("t")
+    later = tiles.select((F.col("t") - 1).alias("t"), (F.col("t")).alias("u"))
+    pairs = tiles.where("t % 2 = 0").join(later, "t").selectExpr("t div 2 AS pair_id", "concat('t', t) AS reference_tile_id", "concat('t', u) AS comparison_tile_id", "'optical' AS modality", "named_struct('is_pixel_aligned', true, 'alignment_type', 'native_pixel_aligned') AS alignment")
+    return detection.compare_rasters(pairs, rasters.drop("t"), detection.ChangeConfig(bands=("B1", "B2"), side=TILE_SIDE), false_alarms.SuppressionConfig(sensitivity_k=1.0, min_valid_pixels=10))
+
+
+@query(
+    TILES
+    + f"""SELECT pair_id, 'success' AS status, valid_pixels, {r6("mean")} AS mean, {r6("median")} AS median, {r6("p95")} AS p95, {r6("max")} AS max, {r6("std")} AS std, {r6("used")} AS threshold_used, {r6("noise_median")} AS noise_median, {r6("noise_mad")} AS noise_mad,
+coalesce(candidate_pixels, 0) AS candidate_pixels, coalesce(confirmed_pixels, 0) AS confirmed_pixels, {r6("mean_confidence")} AS mean_confidence, {r6("max_confidence")} AS max_confidence
+FROM seen JOIN t USING (pair_id) LEFT JOIN counted USING (pair_id) LEFT JOIN confirmed USING (pair_id)"""
+)
+def change_and_suppress(spark, sf_dir):
+    """Change detection and suppression of pairs of tiles, from rasters to confirmed pixels, in one kernel a pair."""
+    out = _compared_tiles(spark, sf_dir).select("pair_id", "suppressed.status", F.col("suppressed.valid_pixels").alias("valid_pixels"), *(F.col(f"summary.{c}") for c in ("mean", "median", "p95", "max", "std")), *(F.col(f"suppressed.{c}") for c in ("threshold_used", "noise_median", "noise_mad", "candidate_pixels", "confirmed_pixels", "mean_confidence", "max_confidence")))
+    return rounded(out, "mean", "median", "p95", "max", "std", "threshold_used", "noise_median", "noise_mad", "mean_confidence", "max_confidence")
+
+
+@query(TILES + f"SELECT pair_id, r, c, component, area, {r6('confidence')} AS confidence FROM sure")
+def confirmed_changes(spark, sf_dir):
+    """The confirmed pixels of the same."""
+    found = _compared_tiles(spark, sf_dir).select("pair_id", F.inline("suppressed.pixels")).where("area IS NOT NULL")
+    return rounded(found.select("pair_id", "r", "c", "component", "area", "confidence"), "confidence")
