@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from terraquarry.functions.scalars import box_iou, parse_iso_datetime
 from terraquarry.operators.stats import violations
+from terraquarry.storage import stored
 
 MICROS = 86_400_000_000
 #: Modalities, alignment types and methods of spatial correspondence.
@@ -42,14 +43,36 @@ def _check_days(min_days: float, max_days: float | None) -> None:
 # ---------------------------------------------------------------- on any keys
 
 
-def nearest_in_time(tiles: DataFrame, keys: list[str], min_days: float = 0.0, max_days: float | None = None, target_scene: str | None = None) -> DataFrame:
+def _beside(events: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """``events`` (keys, v, kind, point) with ``earlier`` and ``later``: the last point of the key before each row by (v, kind), and the first after it.
+
+    Rows are dealt by range of (keys, v, kind), so that a key of any size lies in as many
+    ranges as its rows fill. Within a range each way is a frame that only grows. Beyond it, a
+    range borrows the last (and first) point of its key's ranges before (and after) it: one row
+    a key and range. The dealt rows are written once, with the number of their range.
+    """
+    count = ranges or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(events.repartitionByRange(count, *keys, "v", "kind").withColumn("range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("range", *keys)
+    up, down = own.orderBy("v", "kind"), own.orderBy(F.col("v").desc(), F.col("kind").desc())
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    near = dealt.withColumn("_earlier", F.last("point", ignorenulls=True).over(before(up))).withColumn("_later", F.last("point", ignorenulls=True).over(before(down)))
+    ends = dealt.groupBy("range", *keys).agg(F.min("point").alias("first"), F.max("point").alias("last"))
+    of_key = Window.partitionBy(*keys)
+    lent = ends.withColumn("_before", F.last("last", ignorenulls=True).over(before(of_key.orderBy("range")))).withColumn("_after", F.last("first", ignorenulls=True).over(before(of_key.orderBy(F.col("range").desc()))))
+    joined = near.join(lent.select("range", *keys, "_before", "_after"), ["range", *keys])
+    return joined.select(*events.columns, F.coalesce("_earlier", "_before").alias("earlier"), F.coalesce("_later", "_after").alias("later"))
+
+
+def nearest_in_time(tiles: DataFrame, keys: list[str], min_days: float = 0.0, max_days: float | None = None, target_scene: str | None = None, ranges: int | None = None) -> DataFrame:
     """Each tile with the tile of its key nearest in time at another instant: the later one of two as near, then the smaller scene.
 
     ``tiles`` has scene_id, acquired (timestamp) and the keys; a scene has one tile of a key.
-    Tiles collapse to instants first. Then a key's instants stream through two sorts, and each
-    takes its neighbours from frames that only grow, so the time is linear in their number.
-    With ``target_scene``, only that scene's tiles are partners. Tiles without a partner (or
-    with null keys or times) have no row.
+    Tiles collapse to instants first; ``_beside`` finds each one's neighbours, however many
+    instants a key has. With ``min_days``, an instant asks at its time less and plus so many
+    days. With ``target_scene``, only that scene's tiles are partners. Tiles without a partner
+    (or with null keys or times) have no row. ``ranges`` is the number of tasks (default: the
+    shuffle partitions).
     """
     _check_days(min_days, max_days)
     at = tiles.where(F.col("acquired").isNotNull()).select(*keys, "scene_id", "acquired").dropna(subset=keys)
@@ -59,12 +82,17 @@ def nearest_in_time(tiles: DataFrame, keys: list[str], min_days: float = 0.0, ma
     mine = at.select(*keys, "us", F.lit(None).cast(at.schema["scene_id"].dataType).alias("partner")).unionByName(partners.select(*keys, "us", F.col("scene_id").alias("partner")))
     instants = mine.groupBy(*keys, "us").agg(F.min("partner").alias("partner"))
     point = F.when(F.col("partner").isNotNull(), F.struct(F.col("us").alias("us"), F.col("partner").alias("scene")))
-    back, ahead = (Window.partitionBy(*keys).orderBy(c).rangeBetween(Window.unboundedPreceding, -near) for c in ("us", "down"))
-    instants = instants.withColumn("down", -F.col("us")).withColumns({"point": point})
-    instants = instants.withColumn("earlier", F.last("point", ignorenulls=True).over(back)).withColumn("later", F.last("point", ignorenulls=True).over(ahead))
+    if near == 1:  # an instant is its own question: what stands beside it
+        best = _beside(instants.select(*keys, "us", F.col("us").alias("v"), F.lit(1).alias("kind"), point.alias("point")), keys, ranges)
+    else:
+        row = lambda v, kind, p: F.struct(v.alias("v"), F.lit(kind).alias("kind"), p.alias("point"))
+        none = F.lit(None).cast(instants.select(point.alias("p")).schema["p"].dataType)
+        asked = instants.select(*keys, "us", F.inline(F.array(row(F.col("us") + near, 0, none), row(F.col("us"), 1, point), row(F.col("us") - near, 2, none))))
+        beside = _beside(asked, keys, ranges)
+        best = beside.groupBy(*keys, "us").agg(F.max(F.when(F.col("kind") == 2, F.col("earlier"))).alias("earlier"), F.max(F.when(F.col("kind") == 0, F.col("later"))).alias("later"))
     later, earlier = F.col("later.us") - F.col("us"), F.col("us") - F.col("earlier.us")
     take_later = F.col("earlier").isNull() | F.coalesce(later <= earlier, F.lit(False))
-    best = instants.withColumn("best", F.when(take_later, F.col("later")).otherwise(F.col("earlier"))).where(F.col("best").isNotNull())
+    best = best.withColumn("best", F.when(take_later, F.col("later")).otherwise(F.col("earlier"))).where(F.col("best").isNotNull())
     if max_days is not None:
         best = best.where(F.abs(F.col("best.us") - F.col("us")) <= int(max_days * MICROS))
     found = at.join(best.select(*keys, "us", "best"), [*keys, "us"])

@@ -201,11 +201,27 @@ def test_one_hot_key_is_paired_as_brute_force_does(spark):
             near = [(abs(u - t), u < t, j) for j, u in enumerate(times) if u != t and abs(u - t) >= low * 86400]
             if near and (high is None or min(near)[0] <= high * 86400):
                 want[i] = min(near)[2]
-        assert {r.scene_id: r.partner_id for r in pairing.nearest_in_time(frame, ["k"], low, high).collect()} == want
+        for ranges in (1, 5, 40):
+            assert {r.scene_id: r.partner_id for r in pairing.nearest_in_time(frame, ["k"], low, high, ranges=ranges).collect()} == want
     want = {(i, j) for i, t in enumerate(times) for j, u in enumerate(times) if 0 < u - t <= 0.5 * 86400}
     assert {(r.reference_id, r.comparison_id) for r in pairing.all_pairs(frame, ["k"], max_days=0.5).collect()} == want
 
 
+def test_a_hot_key_lies_in_all_ranges(spark):
+    """One key with 400,000 instants, in ranges of about as many rows each; the neighbours are those of the sorted instants."""
+    frame = spark.range(400_000).selectExpr("1 AS k", "id AS scene_id", "timestamp_micros(id * 1000 + id % 7) AS acquired")
+    found = pairing.nearest_in_time(frame, ["k"], ranges=16)
+    us = np.arange(400_000) * 1000 + np.arange(400_000) % 7
+    ahead, behind = np.append(np.diff(us), 10**9), np.append(10**9, np.diff(us))
+    want = np.where(ahead <= behind, np.arange(400_000) + 1, np.arange(400_000) - 1)
+    got = found.toPandas().sort_values("scene_id")
+    assert (got["partner_id"].to_numpy() == want).all()
+    dealt = pairing._beside(frame.selectExpr("k", "unix_micros(acquired) AS v", "1 AS kind", "named_struct('us', unix_micros(acquired), 'scene', scene_id) AS point"), ["k"], 16)
+    assert dealt.count() == 400_000
+    sizes = pairing.stored(frame.repartitionByRange(16, "k", "acquired").withColumn("range", F.spark_partition_id()), "test").groupBy("range").count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 3 * 400_000 / 16
+
+
 # ---------------------------------------------------------------- change and suppression
 
 
