@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from terraquarry.functions.scalars import is_finite
-from terraquarry.operators import graph, kernels
+from terraquarry.operators import graph, kernels, selection
 from terraquarry.operators.kernels import LEAST_CONFIDENCE, MAD_SCALE, MARGIN_WEIGHT, NEIGHBOR_WEIGHT, UNUSABLE_CLASSES
 from terraquarry.storage import release, stored
 
@@ -39,11 +39,12 @@ def mask_classes(pixels: DataFrame, classes: DataFrame) -> DataFrame:
     return keyed.join(clear, ["pair_id", "r2", "c2"], "left_semi").drop("r2", "c2")
 
 
-def thresholds(pixels: DataFrame, k: float = 3.0, offset: float = 0.0, by: str = "pair_id") -> DataFrame:
-    """The median, its absolute deviation and the threshold of each raster: two aggregations, exact."""
+def thresholds(pixels: DataFrame, k: float = 3.0, offset: float = 0.0, by: str = "pair_id", limit: int = selection.LIMIT) -> DataFrame:
+    """The median, its absolute deviation and the threshold of each raster, exact, whatever its size (``selection``)."""
     valid = pixels.where(is_finite(F.col("magnitude")))
-    middle = valid.groupBy(by).agg(F.median("magnitude").alias("median"))
-    spread = valid.join(middle, by).groupBy(by).agg(F.first("median").alias("median"), F.median(F.abs(F.col("magnitude") - F.col("median"))).alias("mad"))
+    middle = selection.median(valid, [by], F.col("magnitude"), limit=limit)
+    off = valid.join(middle, by).select(by, F.abs(F.col("magnitude") - F.col("median")).alias("off"))
+    spread = middle.join(selection.median(off, [by], F.col("off"), "mad", limit), by)
     return spread.withColumn("threshold", F.col("median") + F.greatest(k * MAD_SCALE * F.col("mad"), F.lit(offset)))
 
 

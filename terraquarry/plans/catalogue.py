@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquarry.functions import scalars as S
-from terraquarry.operators import change, detection, index, metrics, pairing, search, stats, suppression as false_alarms, tiling
+from terraquarry.operators import change, detection, index, metrics, pairing, search, selection, stats, suppression as false_alarms, tiling
 from terraquarry.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -269,6 +269,19 @@ def mad_threshold(spark, sf_dir):
     return rounded(change.thresholds(e, by="event_type").select("event_type", "median", "mad", "threshold"), "median", "mad", "threshold")
 
 
+@query(
+    f"""SELECT l_returnflag, {r6("quantile_cont(l_extendedprice, 0.01)")} AS p01, {r6("quantile_cont(l_extendedprice, 0.25)")} AS p25, {r6("quantile_cont(l_extendedprice, 0.5)")} AS p50,
+{r6("quantile_cont(l_extendedprice, 0.99)")} AS p99, {r6("quantile_cont(l_extendedprice, 1)")} AS top, {r6("median(l_extendedprice) + 3 * 1.4826 * mad(l_extendedprice)")} AS threshold FROM lineitem GROUP BY 1"""
+)
+def exact_quantiles(spark, sf_dir):
+    """Quantiles and a threshold of groups that are too large for one buffer (here: of over 1,000 values), by refined histograms."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("magnitude"))
+    q = selection.quantiles(rows, ["l_returnflag"], F.col("magnitude"), [0.01, 0.25, 0.5, 0.99, 1.0], limit=1000)
+    limits = change.thresholds(rows, by="l_returnflag", limit=1000).select("l_returnflag", "threshold")
+    named = q.select("l_returnflag", *(F.col("q")[i].alias(n) for i, n in enumerate(("p01", "p25", "p50", "p99", "top")))).join(limits, "l_returnflag")
+    return rounded(named, "p01", "p25", "p50", "p99", "top", "threshold")
+
+
 NEAR = f"""WITH RECURSIVE p AS ({RASTER}), t AS (SELECT pair_id, {THRESHOLD} AS threshold FROM p GROUP BY 1),
 cand AS (SELECT p.*, threshold FROM p JOIN t USING (pair_id) WHERE magnitude > threshold),
 near AS (SELECT a.pair_id, a.r, a.c, any_value(a.magnitude) AS magnitude, any_value(a.threshold) AS threshold, count(b.r) AS neighbors FROM cand a
