@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from terraquarry.operators import detection, embedding, evaluation, index, pairing, suppression
 from terraquarry.plans import workflows
 from terraquarry.sources import tables
+from terraquarry.sources.rasterfiles import write_rasters
+from terraquarry.storage import stored
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,7 +48,7 @@ def parser() -> argparse.ArgumentParser:
     )
     command(
         "tile", "tile scene folders", (("--optical",), text), (("--radar",), text), (("--output-dir",), need), (("--tile-size",), {"type": int, "default": 256}), (("--stride",), whole),
-        (("--boundary-strategy",), {"choices": ("shift", "truncate", "pad"), "default": "shift"}),
+        (("--boundary-strategy",), {"choices": ("shift", "truncate", "pad"), "default": "shift"}), (("--files",), flag),
     )
     command("index", "build or inspect an index, or search it by a tile", (("--embeddings",), text), (("--tiles",), text), (("--index",), need), (("--inspect",), flag), (("--search-tile",), text), (("--top-k",), {"type": int, "default": 5}), (("--dimension",), {"type": int, "default": index.DIMENSION}))
     command("manifest", "images and captions of a benchmark's table", (("--source-parquet",), need), (("--output-dir",), need))
@@ -75,9 +77,7 @@ def _compared(spark: SparkSession, args: argparse.Namespace, limits: suppression
 def _saved(rows: DataFrame, path: str | None) -> None:
     if not path:
         raise ValueError("--output-dir is needed to save maps")
-    from terraquarry.sources.geotiff import export
-
-    export(rows, path)
+    write_rasters(rows, path, overwrite=True)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -90,22 +90,25 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.command == "change":
         found, headers = _compared(spark, args, suppression.SuppressionConfig())
         if args.save_map:
-            _saved(workflows.change_maps(found["changes"], found["magnitudes"], headers), args.output_dir)
-        return found["changes"]
+            _saved(workflows.change_maps(found["changes"], headers), args.output_dir)
+        return found["changes"].drop("magnitude")
     if args.command == "suppress":
         limits = suppression.SuppressionConfig(args.sensitivity_k, args.min_threshold_offset, args.min_neighbors, args.min_region_area, args.min_valid_pixels)
         found, headers = _compared(spark, args, limits)
         if args.save_masks:
             _saved(workflows.confirmed_maps(found["changes"], found["candidates"], headers), args.output_dir)
         if args.save_change_map:
-            _saved(workflows.change_maps(found["changes"], found["magnitudes"], headers), args.output_dir)
+            _saved(workflows.change_maps(found["changes"], headers), args.output_dir)
         return found["suppressed"]
     if args.command == "tile":
         made = None
         for path, make in ((args.optical, workflows.tile_optical), (args.radar, workflows.tile_radar)):
             if path:
                 tiles, rasters = make(spark, path, args.tile_size, args.stride, args.boundary_strategy)
+                rasters = stored(rasters, "rasters")
                 workflows.write_tiles(tiles, rasters, f"{args.output_dir}/{make.__name__}")
+                if args.files:
+                    workflows.write_tile_files(tiles, rasters, f"{args.output_dir}/{make.__name__}/files")
                 sized = rasters.groupBy("tile_id").agg(F.sum("n_bytes").alias("n_bytes"))
                 part = tiles.select("modality", "scene_id", "tile_id").join(sized, "tile_id")
                 made = part if made is None else made.unionByName(part)

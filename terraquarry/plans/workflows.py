@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquarry.operators import detection, embedding, index, pairing, suppression, tiling
-from terraquarry.sources import geotiff, scenes, tables
+from terraquarry.sources import geotiff, rasterfiles, scenes, tables
+from terraquarry.storage import stored
+
+
+def _mounted(spark: SparkSession, path: str) -> bool:
+    """Whether a path is of a mounted file system, where tasks can read windows of files."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
 
 
 def tile_optical(spark: SparkSession, path: str, tile: int = 256, stride: int | None = None, strategy: str = "shift") -> tuple[DataFrame, DataFrame]:
     """Tiles and their rasters (with content, n_bytes, sha256, statistics) of the optical scenes under a path. A scene that fails its checks is an error."""
     found, bands = scenes.optical_scenes(spark, path)
     tiles = tiling.optical_tiles(scenes.tileable(found, bands, "B02"), tile, stride, strategy)
-    return tiles, _rasters(scenes.cropped(bands, tiles, half="SCL"))
+    return tiles, _rasters(scenes.cropped(bands, tiles, half="SCL", windows=_mounted(spark, path)))
 
 
 def tile_radar(spark: SparkSession, path: str, tile: int = 256, stride: int | None = None, strategy: str = "shift") -> tuple[DataFrame, DataFrame]:
-    """The same for radar scenes."""
+    """The same for radar scenes; the rasters have their tile's control points (``gcps``), and so have the files."""
     found, bands = scenes.radar_scenes(spark, path)
     tiles = tiling.radar_tiles(scenes.tileable(found, bands, "VV").drop("crs", "affine"), tile, stride, strategy)
-    return tiles, _rasters(scenes.cropped(bands, tiles))
+    points = F.transform("tile_gcps", lambda g: F.struct(g["tile_col"].alias("col"), g["tile_row"].alias("row"), g["lon"].alias("lon"), g["lat"].alias("lat"), g["elevation_m"].alias("elevation_m")))
+    return tiles, _rasters(scenes.cropped(bands, tiles.withColumn("gcps", points), windows=_mounted(spark, path), keep=["gcps"]))
 
 
 def _rasters(rows: DataFrame) -> DataFrame:
@@ -71,30 +81,59 @@ def index_tiles(tiles: DataFrame, directory: str) -> DataFrame:
 
 
 def compare(tiles: DataFrame, rasters: DataFrame, pairs: DataFrame | None = None, change: detection.ChangeConfig = detection.ChangeConfig(), limits: suppression.SuppressionConfig = suppression.SuppressionConfig()) -> dict[str, DataFrame]:
-    """Pairs (all of an index's tiles, unless given), changes, magnitudes, suppressed and candidates."""
+    """Pairs (all of an index's tiles, unless given), changes (with their magnitude rasters), suppressed results and candidates.
+
+    The comparison is made once, when this is called, and lies in the shared folder; each of
+    the tables reads its own columns of it.
+    """
     pairs = pairing.all_tile_pairs(tiles) if pairs is None else pairs
-    headers, pixels = headers_and_pixels(rasters)
-    changes, magnitudes = detection.detect_changes(pairs, headers, pixels, change)
-    suppressed, candidates = suppression.suppress_changes(changes, magnitudes, limits)
-    return {"pairs": pairs, "changes": changes, "magnitudes": magnitudes, "suppressed": suppressed, "candidates": candidates}
+    found = stored(detection.compare_rasters(pairs, rasters.select("tile_id", "band", "height", "width", "crs", "affine", "nodata", "data"), change, limits), "compared")
+    verdict = ("status", "method", "warnings")
+    suppressed = found.drop("magnitude", *verdict).select("*", "suppressed.*").drop("suppressed", "pixels")
+    candidates = found.select("pair_id", F.inline("suppressed.pixels"))
+    return {"pairs": pairs, "changes": found.drop("suppressed"), "suppressed": suppressed, "candidates": candidates}
 
 
-def change_maps(changes: DataFrame, magnitudes: DataFrame, headers: DataFrame, band: str = "B02") -> DataFrame:
-    """Magnitude rasters of compared pairs as files: name, content. Invalid pixels are NaN."""
-    return _maps(changes, geotiff.grids(magnitudes, "pair_id", "magnitude", detection.SIDE, float("nan")), headers, band, "change", float("nan"))
+def change_maps(changes: DataFrame, headers: DataFrame, band: str = "B02") -> DataFrame:
+    """Magnitude rasters of compared pairs, to be written as files: name, height, width, dtype, crs, affine, nodata, data. Invalid pixels are NaN."""
+    return _maps(changes.where("magnitude IS NOT NULL").select("pair_id", "reference_tile_id", F.col("magnitude").alias("data")), headers, band, "change", "float32", float("nan"))
 
 
 def confirmed_maps(changes: DataFrame, candidates: DataFrame, headers: DataFrame, band: str = "B02") -> DataFrame:
-    """Masks (bytes) and confidences (floats) of confirmed pixels as files: name, content."""
-    kept = candidates.where("area IS NOT NULL").withColumn("one", F.lit(1.0))
-    mask = _maps(changes, geotiff.grids(kept, "pair_id", "one", detection.SIDE, 0.0, "uint8"), headers, band, "mask", 0.0)
-    return mask.unionByName(_maps(changes, geotiff.grids(kept, "pair_id", "confidence", detection.SIDE, 0.0), headers, band, "confidence", 0.0))
+    """Masks (bytes) and confidences (floats) of confirmed pixels, as above; a compared pair without any has empty ones."""
+    side = detection.SIDE
+    sure = candidates.where("area IS NOT NULL").groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("r") * side + F.col("c")).cast("int").alias("at"), "confidence"))).alias("sure"))
+    pairs = changes.where("status = 'success'").select("pair_id", "reference_tile_id").join(sure, "pair_id", "left")
+
+    def filled(batches):
+        for batch in batches:
+            grid = np.zeros((batch.num_rows, side * side), np.float32)
+            for i, pixels in enumerate(batch.column("sure").to_pylist()):
+                if pixels:
+                    at, values = zip(*pixels, strict=True)
+                    grid[i, list(at)] = values
+            data = pa.array(list(grid), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column("pair_id"), batch.column("reference_tile_id"), data], names=["pair_id", "reference_tile_id", "data"])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("pair_id", "reference_tile_id"))
+    grids = pairs.mapInArrow(filled, f"{kinds}, data array<float>")
+    mask = grids.withColumn("data", F.transform("data", lambda x: F.when(x > 0, 1.0).otherwise(0.0).cast("float")))
+    return _maps(mask, headers, band, "mask", "uint8", 0.0).unionByName(_maps(grids, headers, band, "confidence", "float32", 0.0))
+
+
+def _maps(grids: DataFrame, headers: DataFrame, band: str, prefix: str, dtype: str, nodata: float) -> DataFrame:
+    placed = headers.where(F.col("band") == band).select(F.col("tile_id").alias("reference_tile_id"), "crs", "affine")
+    side = F.lit(detection.SIDE)
+    name = F.concat(F.lit(f"{prefix}__"), "pair_id", F.lit(".tif"))
+    return grids.join(placed, "reference_tile_id", "left").select(name.alias("name"), side.alias("height"), side.alias("width"), F.lit(dtype).alias("dtype"), "crs", "affine", F.lit(nodata).alias("nodata"), "data")
 
 
-def _maps(changes: DataFrame, grids: DataFrame, headers: DataFrame, band: str, prefix: str, nodata: float) -> DataFrame:
-    placed = headers.where(F.col("band") == band).select(F.col("tile_id").alias("reference_tile_id"), "crs", "affine")
-    rows = grids.join(changes.select("pair_id", "reference_tile_id"), "pair_id").join(placed, "reference_tile_id", "left").withColumn("nodata", F.lit(nodata))
-    return geotiff.encoded(rows).select(F.concat(F.lit(f"{prefix}__"), "pair_id", F.lit(".tif")).alias("name"), "content")
+def write_tile_files(tiles: DataFrame, rasters: DataFrame, path: str, block: int = 256) -> None:
+    """The tiles' rasters as blocked files, modality/scene/tile/band.tif below a path (a mounted one), all or none; radar files carry their control points."""
+    place = F.concat_ws("/", "modality", "scene_id", "tile_id", F.concat("band", F.lit(".tif")))
+    rows = rasters.join(tiles.select("tile_id", "modality", "scene_id"), "tile_id").withColumn("name", place)
+    kept = ["name", "height", "width", "dtype", "crs", "affine", "nodata", "data", *["gcps"] * ("gcps" in rasters.columns)]
+    rasterfiles.write_rasters(rows.select(*kept), path, block)
 
 
 def write_tiles(tiles: DataFrame, rasters: DataFrame, path: str) -> None:

@@ -39,8 +39,24 @@ def _fields(data: bytes) -> tuple[str, dict[int, tuple | bytes]]:
     return order, out
 
 
-def decode(data: bytes) -> dict:
-    """height, width, dtype, crs, affine, nodata, gcps (pixel column and row, lon, lat, elevation) and the values as a matrix."""
+class Seeking:
+    """A file that is sliced like bytes: each slice is one seek and read, and ``n_read`` counts what was read."""
+
+    def __init__(self, file):
+        self.file, self.n_read = file, 0
+
+    def __getitem__(self, part: slice) -> bytes:
+        self.file.seek(part.start or 0)
+        out = self.file.read(part.stop - (part.start or 0))
+        self.n_read += len(out)
+        return out
+
+
+def header(data) -> dict:
+    """What a file's directory says: height, width, dtype, crs, affine, nodata, gcps (pixel column and row, lon, lat, elevation), and how its blocks lie.
+
+    ``data`` is bytes or ``Seeking``: only the directory is read.
+    """
     order, f = _fields(data)
     width, height = f[256][0], f[257][0]
     if f.get(277, (1,))[0] != 1:
@@ -50,17 +66,6 @@ def decode(data: bytes) -> dict:
     if packing not in (_PLAIN, _DEFLATE, _OLD_DEFLATE) or predictor not in (1, 2) or (predictor == 2 and kind.kind == "f"):
         raise ValueError(f"compression {packing} with predictor {predictor} is not supported")
     tiled = 322 in f
-    wide, high = (f[322][0], f[323][0]) if tiled else (width, min(height, f.get(278, (height,))[0]))
-    across = -(-width // wide)
-    out = np.zeros((-(-height // high) * high, across * wide), kind.newbyteorder("="))
-    for i, (start, size) in enumerate(zip(*((f[324], f[325]) if tiled else (f[273], f[279])), strict=True)):
-        raw = data[start : start + size]
-        block = np.frombuffer(zlib.decompress(raw) if packing != _PLAIN else raw, kind)
-        block = block.reshape(-1, wide).astype(out.dtype)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=out.dtype)
-        y, x = i // across * high, i % across * wide
-        out[y : y + len(block), x : x + wide] = block
     affine, gcps = None, []
     if 33550 in f and 33922 in f:
         (sx, sy, *_), (i, j, _, x, y, _) = f[33550], f[33922][:6]
@@ -71,22 +76,65 @@ def decode(data: bytes) -> dict:
     code = keys.get(3072) or keys.get(2048)
     nodata = f.get(42113)
     return {
-        "height": height, "width": width, "dtype": str(out.dtype), "crs": f"EPSG:{code}" if code else None, "affine": affine, "gcps": gcps,
-        "nodata": float(nodata.split(b"\0")[0]) if nodata else None, "data": out[:height, :width],
+        "height": height, "width": width, "dtype": str(kind.newbyteorder("=")), "crs": f"EPSG:{code}" if code else None, "affine": affine, "gcps": gcps,
+        "nodata": float(nodata.split(b"\0")[0]) if nodata else None,
+        "blocks": {
+            "kind": kind.str, "packed": packing != _PLAIN, "summed": predictor == 2, "wide": f[322][0] if tiled else width, "high": f[323][0] if tiled else min(height, f.get(278, (height,))[0]),
+            "places": list(zip(*((f[324], f[325]) if tiled else (f[273], f[279])), strict=True)),
+        },
     }
 
 
-def encode(values: np.ndarray, affine: list[float] | None = None, crs: str | None = None, nodata: float | None = None, gcps: list[tuple] = ()) -> bytes:
-    """A deflated one-strip file. ``affine`` without rotation; ``gcps`` as ``decode`` gives them, in degrees."""
+def window(data, head: dict, row: int, column: int, height: int, width: int) -> np.ndarray:
+    """Some rows and columns of a file's values: only the blocks that they touch are read and unpacked. What lies outside the raster is 0."""
+    b = head["blocks"]
+    kind, wide, high = np.dtype(b["kind"]), b["wide"], b["high"]
+    across = -(-head["width"] // wide)
+    out = np.zeros((height, width), kind.newbyteorder("="))
+    bottom, right = min(row + height, head["height"]), min(column + width, head["width"])
+    for y in range(max(row, 0) // high, -(-bottom // high)):
+        for x in range(max(column, 0) // wide, -(-right // wide)):
+            start, size = b["places"][y * across + x]
+            raw = data[start : start + size]
+            block = np.frombuffer(zlib.decompress(raw) if b["packed"] else raw, kind).reshape(-1, wide).astype(out.dtype)
+            if b["summed"]:
+                block = np.cumsum(block, axis=1, dtype=out.dtype)
+            top, left = max(y * high, row), max(x * wide, column)
+            low, far = min(y * high + len(block), bottom), min((x + 1) * wide, right)
+            out[top - row : low - row, left - column : far - column] = block[top - y * high : low - y * high, left - x * wide : far - x * wide]
+    return out
+
+
+def decode(data: bytes) -> dict:
+    """``header`` of a file that is held whole, and its values as a matrix: ``data``."""
+    head = header(data)
+    values = window(data, head, 0, 0, head["height"], head["width"])
+    return {k: v for k, v in head.items() if k != "blocks"} | {"data": values}
+
+
+def encode(values: np.ndarray, affine: list[float] | None = None, crs: str | None = None, nodata: float | None = None, gcps: list[tuple] = (), block: int | None = None) -> bytes:
+    """A deflated file: one strip, or with ``block`` (a multiple of 16) square blocks. ``affine`` without rotation; ``gcps`` as ``header`` gives them, in degrees."""
     values = np.ascontiguousarray(values, values.dtype.newbyteorder("<"))
     if values.ndim != 2 or values.dtype.kind not in "uif" or values.dtype.itemsize > 4:
         raise ValueError(f"can't write {values.dtype} of {values.ndim} dimensions")
-    body = zlib.compress(values.tobytes())
-    kind = {v: k for k, v in _KINDS.items()}[values.dtype.kind]
     height, width = values.shape
+    if block is None:
+        bodies = [zlib.compress(values.tobytes())]
+    else:
+        if block < 16 or block % 16:
+            raise ValueError("block must be a multiple of 16")
+        filled = np.pad(values, ((0, -height % block), (0, -width % block)))
+        bodies = [zlib.compress(filled[y : y + block, x : x + block].tobytes()) for y in range(0, height, block) for x in range(0, width, block)]
+    starts, body = [], b""
+    for one in bodies:
+        starts.append(8 + len(body))
+        body += one + b"\0" * (len(one) % 2)
+    sizes = tuple(len(one) for one in bodies)
+    laid = [(273, 4, tuple(starts)), (278, 4, (height,)), (279, 4, sizes)] if block is None else [(322, 4, (block,)), (323, 4, (block,)), (324, 4, tuple(starts)), (325, 4, sizes)]
+    kind = {v: k for k, v in _KINDS.items()}[values.dtype.kind]
     fields: list[tuple[int, int, tuple | bytes]] = [
-        (256, 4, (width,)), (257, 4, (height,)), (258, 3, (8 * values.dtype.itemsize,)), (259, 3, (_DEFLATE,)), (262, 3, (1,)), (273, 4, (8,)),
-        (277, 3, (1,)), (278, 4, (height,)), (279, 4, (len(body),)), (339, 3, (kind,)),
+        (256, 4, (width,)), (257, 4, (height,)), (258, 3, (8 * values.dtype.itemsize,)), (259, 3, (_DEFLATE,)), (262, 3, (1,)),
+        (277, 3, (1,)), *laid, (339, 3, (kind,)),
     ]
     if affine is not None:
         if affine[1] or affine[3]:
@@ -100,7 +148,7 @@ def encode(values: np.ndarray, affine: list[float] | None = None, crs: str | Non
         fields.append((34735, 3, (1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, code)))
     if nodata is not None:
         fields.append((42113, 2, f"{nodata:g}".encode() + b"\0"))
-    start = 8 + len(body) + len(body) % 2
+    start = 8 + len(body)
     extra_at = start + 2 + 12 * len(fields) + 4
     table, extra = struct.pack("<H", len(fields)), b""
     for tag, kind, value in sorted(fields, key=lambda x: x[0]):
@@ -109,7 +157,7 @@ def encode(values: np.ndarray, affine: list[float] | None = None, crs: str | Non
         place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", extra_at + len(extra))
         table += struct.pack("<HHI", tag, kind, count) + place
         extra += (raw + b"\0" * (len(raw) % 2)) if len(raw) > 4 else b""
-    return struct.pack("<2sHI", b"II", 42, start) + body + b"\0" * (len(body) % 2) + table + struct.pack("<I", 0) + extra
+    return struct.pack("<2sHI", b"II", 42, start) + body + table + struct.pack("<I", 0) + extra
 
 
 RASTER = "path string, folder string, filename string, n_bytes long, sha256 string, height int, width int, dtype string, crs string, affine array<double>, nodata double, data array<float>"
@@ -137,42 +185,19 @@ def rasters(spark: SparkSession, path: str, pattern: str = "*.tif", values: bool
 
 
 def encoded(rows: DataFrame) -> DataFrame:
-    """Adds ``content`` (the file's bytes), n_bytes and sha256 to rasters: height, width, dtype, data, and crs, affine, nodata or null."""
+    """Adds ``content`` (the file's bytes), n_bytes and sha256 to rasters: height, width, dtype, data, and crs, affine, nodata or null; ``gcps`` (see ``header``) where a column has them."""
     names = rows.columns
+    used = ["height", "width", "dtype", "data", "crs", "affine", "nodata", *["gcps"] * ("gcps" in names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             contents = []
-            for r in batch.select(["height", "width", "dtype", "data", "crs", "affine", "nodata"]).to_pylist():
+            for r in batch.select(used).to_pylist():
                 values = np.array(r["data"], r["dtype"]).reshape(r["height"], r["width"])
-                contents.append(encode(values, r["affine"], r["crs"], r["nodata"]))
+                points = [tuple(p.values()) for p in r.get("gcps") or ()]
+                contents.append(encode(values, r["affine"], r["crs"] if r["affine"] or not points else None, r["nodata"], points))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary())], names=[*names, "content"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     made = rows.mapInArrow(run, f"{schema}, content binary")
     return made.withColumns({"n_bytes": F.length("content").cast("long"), "sha256": F.sha2("content", 256)})
-
-
-def grids(pixels: DataFrame, key: str, value: str, side: int, fill: float, dtype: str = "float32") -> DataFrame:
-    """Rasters of sparse pixels (key, r, c, value): key, height, width, dtype, data; places without a pixel have ``fill``. A raster is one group."""
-    kind = pixels.schema[key].dataType.simpleString()
-
-    def run(frame):
-        out = np.full((side, side), fill, np.float32)
-        out[frame["r"].to_numpy(), frame["c"].to_numpy()] = frame[value].to_numpy()
-        return type(frame)({key: [frame[key].iloc[0]], "height": [side], "width": [side], "dtype": [dtype], "data": [out.ravel()]})
-
-    return pixels.select(key, "r", "c", value).groupBy(key).applyInPandas(run, f"{key} {kind}, height int, width int, dtype string, data array<float>")
-
-
-def export(rows: DataFrame, path: str) -> list[str]:
-    """Write files (name, content) below a path through Hadoop's file system, one at a time through the driver; the paths written."""
-    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
-    written = []
-    for row in rows.select("name", "content").toLocalIterator():
-        target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{row['name']}")
-        stream = target.getFileSystem(conf).create(target, True)
-        stream.write(bytearray(row["content"]))
-        stream.close()
-        written.append(target.toString())
-    return written

@@ -7,11 +7,14 @@ row per band whose file is there).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquarry.operators.stats import array_statistics, class_report
 from terraquarry.sources.geotiff import rasters
+from terraquarry.sources.rasterfiles import at_windows
 
 #: The bands that a scene must have, and the parts of a radar scene's provenance.
 OPTICAL_BANDS, RADAR_BANDS = ("B02", "B03", "B04", "B08", "SCL"), ("VV", "VH")
@@ -127,16 +130,24 @@ def tileable(scenes: DataFrame, bands: DataFrame, band: str) -> DataFrame:
     return scenes.join(head, "folder").withColumns(crop)
 
 
-def cropped(bands: DataFrame, tiles: DataFrame, half: str | None = None) -> DataFrame:
-    """The rasters of tiles: tile_id, band, height, width, dtype, nodata, crs, affine, data. A band named ``half`` uses the halved windows.
+def cropped(bands: DataFrame, tiles: DataFrame, half: str | None = None, windows: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """The rasters of tiles: tile_id, band, height, width, dtype, nodata, crs, affine, data, and the tiles' columns ``keep``. A band named ``half`` uses the halved windows.
 
-    Bands meet the tiles of their scene by folder; each tile takes slices of the rows of the array.
+    Bands meet the tiles of their scene by folder. With ``windows`` (the files are on a mounted
+    file system) each tile reads the blocks of its own window, and no band's array is moved;
+    else it takes slices of the array.
     """
     window = ["row_off", "col_off", "width", "height"]
     at = {c: F.when(F.col("band") == half, F.col(f"half_{c}")).otherwise(F.col(f"t_{c}")) if half else F.col(f"t_{c}") for c in window}
-    named = tiles.select("folder", "tile_id", *(F.col(c).alias(f"t_{c}") for c in window), *(f"half_{c}" for c in window if half))
-    joined = bands.select("folder", "band", F.col("width").alias("_w"), "dtype", "nodata", "crs", F.col("affine").alias("_a"), F.col("data").alias("_d")).join(named, "folder").withColumns({f"w_{c}": v.cast("int") for c, v in at.items()})
-    rows = F.transform(F.sequence(F.col("w_row_off"), F.col("w_row_off") + F.col("w_height") - 1), lambda r: F.slice(F.col("_d"), r * F.col("_w") + F.col("w_col_off") + 1, F.col("w_width")))
+    named = tiles.select("folder", "tile_id", *keep, *(F.col(c).alias(f"t_{c}") for c in window), *(f"half_{c}" for c in window if half))
+    array = [] if windows else [F.col("data").alias("_d")]
+    joined = bands.select("folder", "path", "band", F.col("width").alias("_w"), "dtype", "nodata", "crs", F.col("affine").alias("_a"), *array).join(named, "folder").withColumns({f"w_{c}": v.cast("int") for c, v in at.items()})
     a = F.col("_a")
     moved = F.array(a[0], a[1], a[2] + a[0] * F.col("w_col_off"), a[3], a[4], a[5] + a[4] * F.col("w_row_off"))
-    return joined.select("tile_id", "band", F.col("w_height").alias("height"), F.col("w_width").alias("width"), "dtype", "nodata", "crs", F.when(a.isNotNull(), moved).alias("affine"), F.flatten(rows).alias("data"))
+    placed = joined.withColumn("affine", F.when(a.isNotNull(), moved))
+    if windows:
+        made = at_windows(placed.select("tile_id", "path", "band", "dtype", "nodata", "crs", "affine", *keep, *(f"w_{c}" for c in window)))
+    else:
+        rows = F.transform(F.sequence(F.col("w_row_off"), F.col("w_row_off") + F.col("w_height") - 1), lambda r: F.slice(F.col("_d"), r * F.col("_w") + F.col("w_col_off") + 1, F.col("w_width")))
+        made = placed.withColumn("data", F.flatten(rows))
+    return made.select("tile_id", "band", F.col("w_height").alias("height"), F.col("w_width").alias("width"), "dtype", "nodata", "crs", "affine", *keep, "data")
