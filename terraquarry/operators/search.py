@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -98,58 +98,118 @@ def checked_vector(vector: Sequence[float], dimension: int | None = None) -> lis
     return (array if abs(length - 1) <= UNIT_TOLERANCE else array / length).astype(float).tolist()
 
 
+def exact_score(score: Column) -> Column:
+    """What rows are ranked by: a score to 12 places, so that the order of a sum's terms (which tasks and matrix products choose) decides nothing."""
+    return F.floor(score * 1e12 + 0.5) / 1e12
+
+
+def _exact(scores: np.ndarray) -> np.ndarray:
+    return np.floor(scores * 1e12 + 0.5) / 1e12
+
+
 def top_k(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id") -> DataFrame:
     """The k best rows by score, ties by id: partial top-k per task, then one merge of k rows each.
 
-    ``query`` is an array column, in general a literal. Scores have 6 places, and rows are
-    ranked by what is shown: scores that agree in them are ties.
+    ``query`` is an array column, in general a literal. Scores are ranked to 12 places and
+    shown to 6.
     """
-    return vectors.withColumn("score", rounded(dot(F.col("embedding"), query))).orderBy(F.desc("score"), id_col).limit(checked_k(k))
+    best = vectors.withColumn("score", exact_score(dot(F.col("embedding"), query))).orderBy(F.desc("score"), id_col).limit(checked_k(k))
+    return best.withColumn("score", rounded(F.col("score")))
 
 
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of queries, ``block`` at a time, streamed through the driver."""
-    ids, rows = [], []
-    for row in queries.select("id", "embedding").toLocalIterator(prefetchPartitions=True):
-        ids.append(row["id"])
-        rows.append(row["embedding"])
-        if len(ids) == block:
-            yield np.array(ids), np.array(rows, float)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, float)
+def _cells(queries: DataFrame, vectors: DataFrame, block: int, run: Callable[[Iterator[tuple[pa.Table, Iterator[pa.RecordBatch]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over every pair of a block of queries and a block of vectors: it gets the queries of a cell as a table, and the vectors as batches.
+
+    ``queries`` has id, embedding and other columns, ``vectors`` id and embedding. Up to ``block``
+    queries are one block, which is broadcast (it is collected first, so its size is known), and
+    no vector is shuffled. More go to about (queries / block) blocks, and the vectors to as many;
+    a row is sent to the cells of its block's row or column, and a task holds one cell's
+    queries at a time.
+    """
+    spark, extra = vectors.sparkSession, [c for c in queries.columns if c not in ("id", "embedding")]
+    slim = vectors.select("id", "embedding")
+    some = queries.limit(block + 1).toArrow()
+    if some.num_rows <= block:
+        held = spark.sparkContext.broadcast(some)
+        return slim.mapInArrow(lambda batches: run(iter([(held.value, batches)])), schema)
+    side = -(-queries.count() // block)
+    deal = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(side)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    nothing = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in extra]
+    asked = queries.select("id", F.col("embedding").cast(vectors.schema["embedding"].dataType).alias("embedding"), *extra, F.lit(0).alias("_side"), deal(1).alias("_row"), every.alias("_column"))
+    given = slim.select("id", "embedding", *nothing, F.lit(1).alias("_side"), every.alias("_row"), deal(2).alias("_column"))
+    dealt = asked.unionByName(given).withColumn("_cell", F.col("_row") * side + F.col("_column")).drop("_row", "_column")
+    ordered = dealt.repartition("_cell").sortWithinPartitions("_cell", "_side")
+    return ordered.mapInArrow(lambda batches: run(_by_cell(batches)), schema)
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Iterator[pa.RecordBatch]]]:
+    """Cells of batches that are sorted by cell and side: the queries as one table, the vectors as they come."""
+
+    def pieces() -> Iterator[tuple[int, int, pa.RecordBatch]]:
+        for batch in batches:
+            cells, sides = batch.column("_cell").to_numpy(), batch.column("_side").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(sides) != 0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:], strict=False):
+                if end > start:
+                    yield int(cells[start]), int(sides[start]), batch.slice(start, end - start)
+
+    source = pieces()
+    ahead = next(source, None)
+    while ahead is not None:
+        cell, asked = ahead[0], []
+        while ahead is not None and ahead[:2] == (cell, 0):
+            asked.append(ahead[2])
+            ahead = next(source, None)
+
+        def vectors(cell=cell) -> Iterator[pa.RecordBatch]:
+            nonlocal ahead
+            while ahead is not None and ahead[0] == cell:
+                yield ahead[2]
+                ahead = next(source, None)
+
+        own = vectors()
+        if asked:
+            yield pa.Table.from_batches(asked), own
+        for _ in own:  # what a cell's queries have not read is passed over
+            pass
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
 
 
 def search_all(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """The k best of all rows for each query row, itself excluded: (query_id, id, score, rank).
 
-    Both sides are (id, embedding), with ids of one type. The queries are a stated set: they go to
-    the tasks in blocks of ``block`` rows, each with one map pass over the vectors that multiplies
-    matrices and keeps k rows a query, and one window merges those partial lists. No vector is shuffled.
+    Both sides are (id, embedding), with ids of one type; an id is one row of its side. Blocks of
+    both sides meet in tasks (``_cells``), which multiply matrices and keep k rows a query; one
+    window merges those partial lists. Scores are ranked to 12 places and shown to 6.
     """
     checked_k(k)
-    spark, kind = vectors.sparkSession, vectors.schema["id"].dataType
-    schema, arrow = f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double", to_arrow_type(kind)
-    partial = None
-    for own, matrix in _blocks(queries, block):
-        held = spark.sparkContext.broadcast((own, matrix))
-        part = vectors.select("id", "embedding").mapInArrow(lambda batches, held=held: _best(batches, *held.value, k, arrow), schema)
-        partial = part if partial is None else partial.unionByName(part)
-    if partial is None:
-        partial = spark.createDataFrame([], schema)
+    kind = vectors.schema["id"].dataType
+    arrow = to_arrow_type(kind)
+
+    def run(cells: Iterator[tuple[pa.Table, Iterator[pa.RecordBatch]]]) -> Iterator[pa.RecordBatch]:
+        for asked, batches in cells:
+            if asked.num_rows:
+                yield from _best(batches, np.array(asked.column("id").to_pylist()), _matrix(asked.column("embedding"), asked.num_rows), k, arrow)
+
+    partial = _cells(queries.select("id", "embedding"), vectors, block, run, f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumn("score", rounded(F.col("score")))
 
 
 def _best(batches: Iterator[pa.RecordBatch], own: np.ndarray, matrix: np.ndarray, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """The k best rows of a task for each query: a running list that each batch is merged into."""
+    """The k best rows for each query: a running list that each batch is merged into."""
     held: list[tuple[np.ndarray, np.ndarray]] = [(own[:0], np.empty(0))] * len(own)
     for batch in batches:
         ids = np.array(batch.column("id").to_pylist())
         if not len(ids):
             continue
-        data = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-        scores = np.floor(matrix @ data.T * 1e6 + 0.5) / 1e6
+        scores = _exact(matrix @ _matrix(batch.column("embedding"), len(ids)).T)
         scores[own[:, None] == ids] = -np.inf
         least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own), -np.inf)
         for q in range(len(own)):
@@ -166,33 +226,25 @@ def target_ranks(targets: DataFrame, vectors: DataFrame, block: int = BLOCK) ->
     """The rank of one stated row among all for each query: (query_id, rank), without ranking the others.
 
     ``targets`` is (id, embedding, target_id, target_embedding); its ids are the queries'. The
-    rank is one more than the rows of a higher score, or of the same and a smaller id.
+    rank is one more than the rows of a higher score, or of the same and a smaller id. Blocks of
+    both sides meet as in ``search_all``; what is shuffled after that is a count a query and cell.
     """
-    spark, kind = vectors.sparkSession, targets.schema["id"].dataType
-    schema, arrow = f"query_id {kind.simpleString()}, n long", to_arrow_type(kind)
-    counts, rows = None, []
-
-    def run(batches: Iterator[pa.RecordBatch], own, matrix, ids, scores) -> Iterator[pa.RecordBatch]:
-        better = np.zeros(len(own), np.int64)
-        for batch in batches:
-            names = np.array(batch.column("id").to_pylist())
-            if len(names):
-                data = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(names), -1)
-                found = np.floor(matrix @ data.T * 1e6 + 0.5) / 1e6
-                better += ((found > scores[:, None]) | ((found == scores[:, None]) & (names[None] < ids[:, None]))).sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(own, arrow), pa.array(better)], names=["query_id", "n"])
-
-    def passed(rows: list) -> DataFrame:
-        matrix = np.array([r["embedding"] for r in rows], float)
-        scores = np.floor((matrix * np.array([r["target_embedding"] for r in rows], float)).sum(1) * 1e6 + 0.5) / 1e6
-        held = spark.sparkContext.broadcast(([r["id"] for r in rows], matrix, np.array([r["target_id"] for r in rows]), scores))
-        return vectors.select("id", "embedding").mapInArrow(lambda b: run(b, *held.value), schema)
-
-    for row in targets.toLocalIterator(prefetchPartitions=True):
-        rows.append(row)
-        if len(rows) == block:
-            counts, rows = passed(rows) if counts is None else counts.unionByName(passed(rows)), []
-    if rows or counts is None:
-        part = passed(rows) if rows else spark.createDataFrame([], schema)
-        counts = part if counts is None else counts.unionByName(part)
+    kind = targets.schema["id"].dataType
+    arrow = to_arrow_type(kind)
+
+    def run(cells: Iterator[tuple[pa.Table, Iterator[pa.RecordBatch]]]) -> Iterator[pa.RecordBatch]:
+        for asked, batches in cells:
+            count = asked.num_rows
+            if not count:
+                continue
+            matrix, goal = _matrix(asked.column("embedding"), count), _matrix(asked.column("target_embedding"), count)
+            ids, scores, better = np.array(asked.column("target_id").to_pylist())[:, None], _exact((matrix * goal).sum(1))[:, None], np.zeros(count, np.int64)
+            for batch in batches:
+                names = np.array(batch.column("id").to_pylist())
+                if len(names):
+                    found = _exact(matrix @ _matrix(batch.column("embedding"), len(names)).T)
+                    better += ((found > scores) | ((found == scores) & (names[None] < ids))).sum(1)
+            yield pa.RecordBatch.from_arrays([asked.column("id").combine_chunks().cast(arrow), pa.array(better)], names=["query_id", "n"])
+
+    counts = _cells(targets.select("id", "embedding", "target_id", "target_embedding"), vectors, block, run, f"query_id {kind.simpleString()}, n long")
     return counts.groupBy("query_id").agg((F.sum("n") + 1).alias("rank"))

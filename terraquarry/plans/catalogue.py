@@ -44,23 +44,24 @@ def first_vector(spark: SparkSession, sf_dir: str):
     return F.array(*(F.lit(float(x)) for x in (row[0] if row else [])))
 
 
-SCORE = r6("list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])")
-TOP = f"SELECT e.vec_id, {SCORE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+#: Scores are ranked to 12 places and shown to 6.
+EXACT = "floor(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) * 1e12 + 0.5) / 1e12"
+TOP = f"SELECT e.vec_id, {r6(EXACT)} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 
 
-@query(f"{TOP} ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"{TOP} ORDER BY {EXACT} DESC, vec_id LIMIT 10")
 def cosine_topk(spark, sf_dir):
     return search.top_k(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 10).select("vec_id", "score")
 
 
-@query(f"{TOP} WHERE e.label = 3 AND e.vec_id >= 1 ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"{TOP} WHERE e.label = 3 AND e.vec_id >= 1 ORDER BY {EXACT} DESC, vec_id LIMIT 10")
 def filtered_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").where("label = 3 AND vec_id >= 1")
     return search.top_k(rows, first_vector(spark, sf_dir), 10).select("vec_id", "score")
 
 
 ALL = f"""
-WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {SCORE} AS score, q.label = e.label AS is_rel
+WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {EXACT} AS score, q.label = e.label AS is_rel
   FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scored)
 """
@@ -71,7 +72,7 @@ def _similar(spark, sf_dir):
     return search.search_all(rows.where("id % 50 = 0"), rows, 10)
 
 
-@query(ALL + "SELECT query_id, id, score, rank FROM ranked WHERE rank <= 10")
+@query(ALL + f"SELECT query_id, id, {r6('score')} AS score, rank FROM ranked WHERE rank <= 10")
 def similar_tiles_all(spark, sf_dir):
     return _similar(spark, sf_dir)
 
@@ -550,3 +551,30 @@ def confirmed_changes(spark, sf_dir):
     """The confirmed pixels of the same."""
     found = _compared_tiles(spark, sf_dir).select("pair_id", F.inline("suppressed.pixels")).where("area IS NOT NULL")
     return rounded(found.select("pair_id", "r", "c", "component", "area", "confidence"), "confidence")
+
+
+@query(
+    f"""WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {EXACT} AS score, e.label = q.label AS same FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)
+SELECT query_id, count(*) FILTER (same) AS n_same, sum(id) AS id_sum, {r6("min(score)")} AS least FROM ranked WHERE rank <= 5 GROUP BY 1"""
+)
+def nearest_of_each(spark, sf_dir):
+    """The five nearest of every row among all rows, both sides in blocks on the executors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    near = search.search_all(rows.select("id", "embedding"), rows.select("id", "embedding"), 5, block=200)
+    named = near.join(rows.select("id", "label"), "id").join(rows.select(F.col("id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    out = named.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("own")).alias("n_same"), F.sum("id").alias("id_sum"), F.min("score").alias("least"))
+    return out
+
+
+@query(
+    f"""WITH goal AS (SELECT vec_id AS q, (SELECT min(vec_id) FROM embeddings o WHERE o.label = e.label) AS t, embedding, label FROM embeddings e),
+wanted AS (SELECT q, t, goal.embedding, floor(list_inner_product(goal.embedding::DOUBLE[], x.embedding::DOUBLE[]) * 1e12 + 0.5) / 1e12 AS s FROM goal JOIN embeddings x ON x.vec_id = t)
+SELECT q.q AS query_id, 1 + count(*) FILTER ({EXACT} > q.s OR ({EXACT} = q.s AND e.vec_id < q.t)) AS rank FROM wanted q JOIN embeddings e ON TRUE GROUP BY 1"""
+)
+def target_ranks(spark, sf_dir):
+    """The rank that the first row of each row's label has among all rows for it."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    first = rows.groupBy("label").agg(F.min("id").alias("target_id"))
+    goals = first.join(rows.select(F.col("id").alias("target_id"), F.col("embedding").alias("target_embedding")), "target_id")
+    return search.target_ranks(rows.join(goals, "label").select("id", "embedding", "target_id", "target_embedding"), rows.select("id", "embedding"), block=200)
