@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquarry.functions import scalars as S
-from terraquarry.operators import change, detection, index, metrics, pairing, search, selection, stats, suppression as false_alarms, tiling
+from terraquarry.operators import change, detection, footprints, index, metrics, pairing, parts, search, selection, stats, suppression as false_alarms, tiling
 from terraquarry.sources.tables import table
+from terraquarry.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -578,3 +580,36 @@ def target_ranks(spark, sf_dir):
     first = rows.groupBy("label").agg(F.min("id").alias("target_id"))
     goals = first.join(rows.select(F.col("id").alias("target_id"), F.col("embedding").alias("target_embedding")), "target_id")
     return search.target_ranks(rows.join(goals, "label").select("id", "embedding", "target_id", "target_embedding"), rows.select("id", "embedding"), block=200)
+
+
+FOOT = """SELECT p_partkey AS id, p_size AS day, p_size + (p_partkey % 100) / 100.0::DOUBLE AS west, p_retailprice / 100 AS south,
+p_size + (p_partkey % 100) / 100.0::DOUBLE + 0.05::DOUBLE * (1 + p_partkey % 7) AS east, p_retailprice / 100 + CASE WHEN p_partkey % 500 = 0 THEN 5 ELSE 0.06 END::DOUBLE AS north FROM part"""
+
+
+@query(
+    f"""WITH b AS ({FOOT}), j AS (SELECT x.id AS reference_id, y.id AS comparison_id, least(x.east, y.east) - greatest(x.west, y.west) AS w, least(x.north, y.north) - greatest(x.south, y.south) AS h,
+(x.east - x.west) * (x.north - x.south) AS ax, (y.east - y.west) * (y.north - y.south) AS ay
+FROM b x JOIN b y ON x.day < y.day AND x.west <= y.east AND y.west <= x.east AND x.south <= y.north AND y.south <= x.north)
+SELECT reference_id, comparison_id, {r6("w * h / (ax + ay - w * h)")} AS iou FROM j WHERE w > 0 AND h > 0"""
+)
+def footprint_pairs(spark, sf_dir):
+    """Pairs of boxes of different days that share some area, found by cells of a plane."""
+    boxes = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", "p_size AS acquired", "p_size + (p_partkey % 100) / 100D AS west", "p_retailprice / 100D AS south",
+        "p_size + (p_partkey % 100) / 100D + 0.05D * (1 + p_partkey % 7) AS east", "p_retailprice / 100D + IF(p_partkey % 500 = 0, 5D, 0.06D) AS north",
+    )
+    return rounded(footprints.overlapping_pairs(boxes), "iou")
+
+
+@query(
+    """SELECT CASE WHEN label < 5 THEN 'optical' ELSE 'sar' END AS modality, count(*) AS n, sum(vec_id) AS id_sum, 2 AS n_parts FROM embeddings GROUP BY 1"""
+)
+def index_by_parts(spark, sf_dir):
+    """An index that is written as two parts and read back by its manifest."""
+    rows = table(spark, sf_dir, "embeddings").selectExpr("concat('t', vec_id) AS tile_id", "vec_id", "IF(label < 5, 'optical', 'sar') AS modality", "embedding")
+    path = f"{shared_folder(spark).rstrip('/')}/terraquarry-core/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    parts.create(spark, path, 64)
+    for half in (0, 1):
+        parts.append(path, rows.where(f"vec_id % 2 = {half}"))
+    found = parts.manifest(spark, path)
+    return parts.load(spark, path, verify=True).groupBy("modality").agg(F.count("*").alias("n"), F.sum("vec_id").alias("id_sum")).withColumn("n_parts", F.lit(len(found.parts)))
