@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraquarry.llm import common
@@ -130,6 +130,10 @@ NODE = "node long, rep long, sketch binary"
 PIVOTS = 8
 #: Members of a pivot's star that are resolved together.
 STAR = 256
+#: Members of a large node in one part, in node limits.
+PART = 8
+#: Bytes of shingle hashes that are resolved together; see ``_edges``.
+HELD = 32 << 20
 
 
 def _roots(classes: DataFrame, trees: int) -> DataFrame:
@@ -189,42 +193,70 @@ def _blocks(large: DataFrame, classes: DataFrame, node_limit: int) -> DataFrame:
     return _sketched(pairs.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "rep"), classes)
 
 
+def _parted(nodes: DataFrame, node_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes with ``part`` and ``own``: large ones in parts, each with a copy of the node's pivots (``own`` is false); part is -1 in others. And the large nodes' sizes.
+
+    So no task gets a node whole, however many classes hold its value. The pivots are the
+    members of least number; Spark takes the first rows of each node before it shuffles.
+    """
+    sizes = common.materialize(nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > node_limit), "sizes")
+    if sizes.isEmpty():
+        return nodes.select("node", F.lit(-1).cast("long").alias("part"), "rep", "sketch", F.lit(True).alias("own")), sizes
+    marked = nodes.join(sizes, "node", "left")
+    parts = F.ceil(F.col("n") / F.lit(PART * node_limit)).cast("long")
+    part = F.coalesce(F.pmod(F.xxhash64("rep"), parts), F.lit(-1))
+    dealt = marked.select("node", part.alias("part"), "rep", "sketch", F.lit(True).alias("own"))
+    first = F.row_number().over(Window.partitionBy("node").orderBy("rep"))
+    pivots = nodes.join(sizes, "node").withColumn("at", first).where(F.col("at") <= PIVOTS)
+    lent = pivots.select("node", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "rep", "sketch", F.lit(False).alias("own"))
+    return dealt.unionByName(lent), sizes
+
+
 def _compare(nodes: DataFrame, node_limit: int | None, most: int) -> DataFrame:
-    """Compare small nodes. Rows: cluster and member; or large node, member and its nearest pivot (itself if none is near)."""
+    """Compare small nodes. Rows: cluster and member; or large node, member and its nearest pivot (itself if none is near). Written to shared storage."""
+
+    def held_against(keys: np.ndarray, reps: np.ndarray, own: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, ...]:
+        lent = np.flatnonzero(~own)
+        pivots, at = np.unique(reps[lent], return_index=True)
+        differ = np.stack([mismatches(p, sketch[own]) for p in sketch[lent[at]]])
+        nearest = np.where(differ.min(0) <= most, pivots[differ.argmin(0)], reps[own])
+        return keys[own], reps[own], np.ones(len(nearest), bool), nearest
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_node = pivots = pivot_sketches = None
-        for table, large in common.groups(batches, "node", node_limit):
+        for table, _ in common.groups(batches, "node"):
             keys, reps = table.column("node").to_numpy(), table.column("rep").to_numpy()
-            if large:
-                sketch = _sketch_rows(table, np.arange(len(keys)))
-                if keys[0] != open_node:
-                    open_node, pivots, pivot_sketches = keys[0], reps[:PIVOTS], sketch[:PIVOTS].copy()
-                differ = np.stack([mismatches(p, sketch) for p in pivot_sketches])
-                nearest = np.where(differ.min(0) <= most, pivots[differ.argmin(0)], reps)
-                out = [(keys, reps, np.ones(len(keys), bool), nearest)]
-            else:
-                edges = common.runs(keys)
-                sizes = np.diff(edges)
-                several = np.flatnonzero(sizes > 1)
-                rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
-                if not len(rows):
+            part, own = table.column("part").to_numpy(), table.column("own").to_numpy()
+            edges = common.runs(keys)
+            sizes = np.diff(edges)
+            rows = np.flatnonzero(np.repeat(sizes > 1, sizes))
+            if not len(rows):
+                continue
+            sketch = _sketch_rows(table, rows)
+            out, at = [], 0
+            for i in np.flatnonzero(sizes > 1):
+                a, b = edges[i], edges[i + 1]
+                mine = sketch[at : at + sizes[i]]
+                at += sizes[i]
+                if part[a] >= 0:
+                    out.append(held_against(keys[a:b], reps[a:b], own[a:b], mine))
                     continue
-                sketch = _sketch_rows(table, rows)
-                out, at = [], 0
-                for i in several:
-                    members = reps[edges[i] : edges[i + 1]]
-                    labels = clusters(sketch[at : at + sizes[i]], most)
-                    at += sizes[i]
-                    for label in np.flatnonzero(np.bincount(labels) > 1):
-                        own = members[labels == label]
-                        name = common.mix(own.view(np.uint64), 5).sum(dtype=np.uint64).astype(np.int64)
-                        out.append((np.full(len(own), name), own, np.zeros(len(own), bool), own))
+                members, labels = reps[a:b], clusters(mine, most)
+                for label in np.flatnonzero(np.bincount(labels) > 1):
+                    same = members[labels == label]
+                    name = common.mix(same.view(np.uint64), 5).sum(dtype=np.uint64).astype(np.int64)
+                    out.append((np.full(len(same), name), same, np.zeros(len(same), bool), same))
             if out:
                 columns = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cluster", "rep", "large", "pivot"])
 
-    return nodes.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(run, "cluster long, rep long, large boolean, pivot long")
+    if node_limit is None:
+        dealt, sizes = nodes.select("node", F.lit(-1).cast("long").alias("part"), "rep", "sketch", F.lit(True).alias("own")), None
+    else:
+        dealt, sizes = _parted(nodes, node_limit)
+    ordered = dealt.repartition("node", "part").sortWithinPartitions("node", "rep")
+    compared = common.materialize(ordered.mapInArrow(run, "cluster long, rep long, large boolean, pivot long"), "nodes")
+    common.drop(sizes)
+    return compared
 
 
 def _sketch_rows(table: pa.Table, rows: np.ndarray) -> np.ndarray:
@@ -337,15 +369,17 @@ def resolve(reps: np.ndarray, sets: list[np.ndarray], percent: int, most: int) -
     return [(int(reps[labels == label].min()), int(r)) for label in np.flatnonzero(np.bincount(labels) > 1) for r in reps[labels == label]]
 
 
-def _edges(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int, percent: int, most: int) -> DataFrame:
-    """Resolve clusters (cluster, rep) on full sets, which are made again for their members alone."""
-    key = ["doc_id", "h1", "h2"]
+_KEY = ["doc_id", "h1", "h2"]
+
+
+def _resolved(docs: DataFrame, wanted: DataFrame, size: int, percent: int, most: int) -> DataFrame:
+    """Edges within clusters (cluster, rep, doc_id, h1, h2), confirmed on full sets, which are made again for their members alone."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             values = list(shingle_sets(batch, size))
             h1, h2 = zip(*map(_identity, values), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=[*key, "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=[*_KEY, "shingles"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in common.groups(batches, "cluster"):
@@ -358,17 +392,55 @@ def _edges(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int, p
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     # merges throughout: a join that is broadcast while its table is small would only hide what a large one moves
-    wanted = common.materialize(members.hint("merge").join(classes.select("rep", *key), "rep"), "wanted")
     near = common.likely(docs, F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id").alias("k")).distinct()).where("likely")
     whole = near.select("doc_id", "text").mapInArrow(sets, "doc_id long, h1 long, h2 long, shingles binary")
-    whole = whole.groupBy(*key).agg(F.any_value("shingles").alias("shingles"))  # rows that repeat
-    dealt = wanted.hint("merge").join(whole, key).select("cluster", "rep", "shingles").repartition("cluster")
-    edges = common.materialize(dealt.sortWithinPartitions("cluster", "rep").mapInArrow(run, "a long, b long"), "links")
-    common.drop(wanted)
+    whole = whole.groupBy(*_KEY).agg(F.any_value("shingles").alias("shingles"))  # rows that repeat
+    dealt = wanted.hint("merge").join(whole, _KEY).select("cluster", "rep", "shingles").repartition("cluster")
+    return common.materialize(dealt.sortWithinPartitions("cluster", "rep").mapInArrow(run, "a long, b long"), "links")
+
+
+def _edges(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int, percent: int, most: int, held: int = HELD) -> DataFrame:
+    """Resolve clusters (cluster, rep) on full sets, of which a task holds about ``held`` bytes at a time.
+
+    A cluster of more bytes is dealt into slices of ``held`` bytes, each with the cluster's
+    first member, which is linked to most of the others where they are near copies. What the
+    slices' links leave in several components meets again, each pair of slices a cluster: so
+    every two members meet that are not connected yet, and no link is lost.
+    """
+    own = [*_KEY, "n_shingles"]
+    wanted = common.materialize(members.hint("merge").join(classes.select("rep", *own), "rep"), "wanted")
+    weights = wanted.groupBy("cluster").agg(F.sum("n_shingles").alias("w"), F.min(F.struct("rep", *own)).alias("first"))
+    heavy = common.materialize(weights.where(F.col("w") * 8 > held), "heavy")
+    if heavy.isEmpty():
+        edges = _resolved(docs, wanted, size, percent, most)
+        common.drop(wanted, heavy)
+        return edges
+    so_far = F.sum("n_shingles").over(Window.partitionBy("cluster").orderBy("rep").rowsBetween(Window.unboundedPreceding, -1))
+    slices = wanted.join(heavy.select("cluster", "first"), "cluster").withColumn("slice", F.floor(F.coalesce(so_far, F.lit(0)) * 8 / F.lit(held)))
+    slices = common.materialize(slices, "slices")
+    named = lambda *c: F.xxhash64("cluster", *c).alias("cluster")
+    parts = slices.select(named("slice"), "rep", *own)
+    led = slices.select(named("slice"), "first.*").unionByName(parts).distinct()
+    light = wanted.join(heavy.select("cluster"), "cluster", "left_anti").select("cluster", "rep", *own)
+    edges = _resolved(docs, light.unionByName(led), size, percent, most)
+    labels = connected_components(edges)
+    known = _with_component(slices.select("cluster", "rep", *own, "slice"), labels)
+    last = known.groupBy("cluster").agg(F.max("slice").alias("last"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed AND last > 0")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda q: q != F.col("slice"))
+    met = known.join(last.select("cluster", "last"), "cluster").withColumn("other", F.explode(others))
+    met = met.select(named(F.least("slice", "other"), F.greatest("slice", "other")), "rep", "component", *own)
+    several = met.groupBy("cluster").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("cluster")
+    met = common.materialize(met.drop("component").join(several, "cluster", "left_semi"), "met")
+    if not met.isEmpty():
+        more = _resolved(docs, met, size, percent, most)
+        whole = common.materialize(edges.unionByName(more), "links")
+        common.drop(edges, more)
+        edges = whole
+    common.drop(wanted, heavy, slices, labels, met)
     return edges
 
 
-def _components(docs: DataFrame, shingle: int, percent: int, trees: int, node_limit: int, few_limit: int | None, depth: int) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, shingle: int, percent: int, trees: int, node_limit: int, few_limit: int | None, depth: int, held: int = HELD) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, n_shingles, h1, h2), and the classes (h1, h2) of several rows or with links.
 
     ``docs`` is doc_id (long), text, text_hash. Classes have component (a number) and
@@ -378,14 +450,14 @@ def _components(docs: DataFrame, shingle: int, percent: int, trees: int, node_li
     most = most_mismatches(percent / 100)
     hashed = common.materialize(_hash_rows(docs, shingle), "sets")
     some = hashed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("signature").alias("signature"))
+    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
     classes = common.materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     rows = common.materialize(hashed.drop("signature"), "rows")
     common.drop(hashed)
 
     nodes, found, stars, labels, spent = _roots(classes, trees), None, None, None, []
     for level in range(depth + 2):
-        compared = common.materialize(_compare(nodes, node_limit if level <= depth else None, most), "nodes")
+        compared = _compare(nodes, node_limit if level <= depth else None, most)
         spent.append(compared)
         small = compared.where("NOT large").select("cluster", "rep")
         found = small if found is None else found.unionByName(small)
@@ -393,14 +465,14 @@ def _components(docs: DataFrame, shingle: int, percent: int, trees: int, node_li
         if large.isEmpty():
             break
         star = common.materialize(_stars(large), "stars")
-        edges = _edges(docs, star, classes, shingle, percent, most)
+        edges = _edges(docs, star, classes, shingle, percent, most, held)
         spent += [star, edges, labels]
         stars = edges if stars is None else stars.unionByName(edges)
         labels = connected_components(stars)
         open_ = common.materialize(_open(large, labels, few_limit), "open")
-        slices = common.materialize(_compare(_slices(open_, classes, node_limit), None, most).select("cluster", "rep"), "slices")
+        slices = _compare(_slices(open_, classes, node_limit), None, most)
         spent += [open_, slices]
-        found = found.unionByName(slices)
+        found = found.unionByName(slices.select("cluster", "rep"))
         rest = open_.where("NOT sliced").select("node", "rep")
         if rest.isEmpty():
             break
@@ -411,7 +483,7 @@ def _components(docs: DataFrame, shingle: int, percent: int, trees: int, node_li
         mixed = known.groupBy("cluster").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("cluster")
         members = members.join(mixed, "cluster", "left_semi")
     members = common.materialize(members, "members")
-    edges = _edges(docs, members, classes, shingle, percent, most)
+    edges = _edges(docs, members, classes, shingle, percent, most, held)
     last = connected_components(edges if stars is None else edges.unionByName(stars))
     common.drop(members, edges, labels, *spent)
 
@@ -429,7 +501,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 12, node_limit: int = 1024, few_limit: int | None = None, depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 12, node_limit: int = 1024, few_limit: int | None = None, depth: int = 8, held: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of word shingles.
 
     Words are runs of characters other than space and \\t to \\r, A-Z lower-cased. A text
@@ -444,17 +516,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     columns are ignored; an empty table gives no rows.
 
     Nodes that are large after ``depth`` levels are compared in blocks, exactly. Without
-    ``few_limit``, it is four times ``node_limit``. A task holds the sets of one cluster:
-    at most ``node_limit + few_limit`` members.
+    ``few_limit``, it is four times ``node_limit``. A task holds the sets of one cluster, at
+    most ``node_limit + few_limit`` members, and of these sets about ``held`` bytes (a pair of
+    slices, twice as many, where links within slices do not connect the cluster).
     """
     common.tune(docs.sparkSession)
-    rows, named = _components(_keyed(docs, id_col, text_col), shingle, percent, trees, node_limit, few_limit, depth)
+    rows, named = _components(_keyed(docs, id_col, text_col), shingle, percent, trees, node_limit, few_limit, depth, held)
     joined = rows.join(named, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 12, node_limit: int = 1024, few_limit: int | None = None, depth: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 12, node_limit: int = 1024, few_limit: int | None = None, depth: int = 8, held: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of ``near_duplicates`` and all rows in none, with all their columns.
 
     Rows are judged, not ids: of a group the row of least doc_id (and, among its texts, of
@@ -462,7 +535,7 @@ def deduplicate(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees:
     all columns. Rows without a doc_id, or without a word, all stay.
     """
     common.tune(docs.sparkSession)
-    rows, named = _components(_keyed(docs, id_col, text_col), shingle, percent, trees, node_limit, few_limit, depth)
+    rows, named = _components(_keyed(docs, id_col, text_col), shingle, percent, trees, node_limit, few_limit, depth, held)
     key = ["doc_id", "text_hash"]
     grouped = common.materialize(rows.where("doc_id IS NOT NULL").join(named, ["h1", "h2"]).select(*key, "component"), "grouped")
     first = grouped.groupBy("component").agg(F.min(F.struct(*key)).alias("first")).select("first.*", F.lit(True).alias("first"))

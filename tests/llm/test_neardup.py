@@ -100,3 +100,41 @@ def test_sketches_estimate_similarity():
     x, y = neardup.sketches(np.array([neardup.signature(a), neardup.signature(b)]))
     assert neardup.mismatches(x, y[None])[0] <= neardup.most_mismatches(0.8)
     assert neardup.mismatches(x, x[None])[0] == 0
+
+
+@pytest.mark.parametrize("held", [1, 3000, 20_000])
+def test_long_near_copies_are_resolved_in_slices(spark, held):
+    """Texts of some 700 words under small limits of bytes: chains of copies, whose ends are far apart, and copies of one text."""
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(900)]
+    chain, texts = draw.choices(words, k=700), []
+    for _ in range(25):  # each is near the last one, and less and less near the first
+        at = draw.randrange(600)
+        chain[at : at + 40] = draw.choices(words, k=40)
+        texts.append(" ".join(chain))
+    base = draw.choices(words, k=650)
+    for _ in range(20):
+        own = list(base)
+        for _ in range(draw.randint(0, 12)):
+            own[draw.randrange(650)] = draw.choice(words)
+        texts.append(" ".join(own))
+    texts += [" ".join(draw.choices(words, k=600)) for _ in range(4)]
+    draw.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(neardup.near_duplicates(docs, shingle=4, held=held)) == brute(list(enumerate(texts)), 4, 80)
+
+
+def test_a_large_node_is_dealt_in_parts(spark, monkeypatch):
+    """Every class in one node: its parts hold a few node limits each, and every member meets the node's pivots."""
+    sketch = neardup.sketches(np.zeros((1, neardup.WIDTH), np.uint64))[0].tobytes()
+    nodes = spark.createDataFrame([(5, i, sketch) for i in range(500)] + [(6, i, sketch) for i in range(3)], "node long, rep long, sketch binary")
+    dealt, _ = neardup._parted(nodes, 4)
+    parts = {}
+    for r in dealt.collect():
+        parts.setdefault((r.node, r.part), []).append((r.rep, r.own))
+    assert len(parts) == 17 and max(len(p) for p in parts.values()) < 80 and sorted(parts[6, -1]) == [(0, True), (1, True), (2, True)]
+    for (node, part), own in parts.items():
+        assert node == 6 or sorted(r for r, mine in own if not mine) == list(range(neardup.PIVOTS))
+    found = neardup._compare(nodes, 4, 10).collect()
+    assert sorted((r.cluster, r.rep) for r in found if r.large) == [(5, i) for i in range(500)] and {r.pivot for r in found if r.large} == {0}
+    assert sorted(r.rep for r in found if not r.large) == [0, 1, 2]
