@@ -130,8 +130,8 @@ NODE = "node long, rep long, sketch binary"
 PIVOTS = 8
 #: Members of a pivot's star that are resolved together.
 STAR = 256
-#: Members of a large node in one part, in node limits.
-PART = 8
+#: Parts of a node limit's size that a large node is dealt into.
+PARTS = 4
 #: Bytes of shingle hashes that are resolved together; see ``_edges``.
 HELD = 32 << 20
 
@@ -203,7 +203,7 @@ def _parted(nodes: DataFrame, node_limit: int) -> tuple[DataFrame, DataFrame]:
     if sizes.isEmpty():
         return nodes.select("node", F.lit(-1).cast("long").alias("part"), "rep", "sketch", F.lit(True).alias("own")), sizes
     marked = nodes.join(sizes, "node", "left")
-    parts = F.ceil(F.col("n") / F.lit(PART * node_limit)).cast("long")
+    parts = F.ceil(F.col("n") / F.lit(max(1, node_limit // PARTS))).cast("long")
     part = F.coalesce(F.pmod(F.xxhash64("rep"), parts), F.lit(-1))
     dealt = marked.select("node", part.alias("part"), "rep", "sketch", F.lit(True).alias("own"))
     first = F.row_number().over(Window.partitionBy("node").orderBy("rep"))

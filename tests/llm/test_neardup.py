@@ -124,17 +124,17 @@ def test_long_near_copies_are_resolved_in_slices(spark, held):
     assert rows(neardup.near_duplicates(docs, shingle=4, held=held)) == brute(list(enumerate(texts)), 4, 80)
 
 
-def test_a_large_node_is_dealt_in_parts(spark, monkeypatch):
+def test_a_large_node_is_dealt_in_parts(spark):
     """Every class in one node: its parts hold a few node limits each, and every member meets the node's pivots."""
     sketch = neardup.sketches(np.zeros((1, neardup.WIDTH), np.uint64))[0].tobytes()
     nodes = spark.createDataFrame([(5, i, sketch) for i in range(500)] + [(6, i, sketch) for i in range(3)], "node long, rep long, sketch binary")
-    dealt, _ = neardup._parted(nodes, 4)
+    dealt, _ = neardup._parted(nodes, 120)
     parts = {}
     for r in dealt.collect():
         parts.setdefault((r.node, r.part), []).append((r.rep, r.own))
-    assert len(parts) == 17 and max(len(p) for p in parts.values()) < 80 and sorted(parts[6, -1]) == [(0, True), (1, True), (2, True)]
+    assert len(parts) == 18 and max(len(p) for p in parts.values()) < 60 and sorted(parts[6, -1]) == [(0, True), (1, True), (2, True)]
     for (node, part), own in parts.items():
         assert node == 6 or sorted(r for r, mine in own if not mine) == list(range(neardup.PIVOTS))
-    found = neardup._compare(nodes, 4, 10).collect()
+    found = neardup._compare(nodes, 120, 10).collect()
     assert sorted((r.cluster, r.rep) for r in found if r.large) == [(5, i) for i in range(500)] and {r.pivot for r in found if r.large} == {0}
     assert sorted(r.rep for r in found if not r.large) == [0, 1, 2]
