@@ -102,7 +102,7 @@ def test_sketches_estimate_similarity():
     assert neardup.mismatches(x, x[None])[0] == 0
 
 
-@pytest.mark.parametrize("held", [1, 3000, 20_000])
+@pytest.mark.parametrize("held", [4000])
 def test_long_near_copies_are_resolved_in_slices(spark, held):
     """Texts of some 700 words under small limits of bytes: chains of copies, whose ends are far apart, and copies of one text."""
     draw = random.Random(11)
