@@ -56,7 +56,7 @@ def rows(spark, masks):
     return spark.createDataFrame([(n, int(r), int(c)) for n, m in masks.items() for r, c in zip(*np.nonzero(m))], "pair_id string, r long, c long")
 
 
-@pytest.mark.parametrize("block", [4, 9, 512])
+@pytest.mark.parametrize("block", [9, 512])
 def test_components_over_blocks(spark, block):
     given = masks()
     table = rows(spark, given)
