@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraquarry.functions import scalars as S
-from terraquarry.operators import change, detection, footprints, index, metrics, pairing, parts, search, selection, stats, suppression as false_alarms, tiling
+from terraquarry.operators import change, detection, evaluation, footprints, index, metrics, pairing, parts, search, selection, stats, suppression as false_alarms, tiling
 from terraquarry.sources.tables import table
 from terraquarry.storage import shared_folder
 
@@ -558,7 +558,7 @@ def confirmed_changes(spark, sf_dir):
 @query(
     f"""WITH scored AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {EXACT} AS score, e.label = q.label AS same FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)
-SELECT query_id, count(*) FILTER (same) AS n_same, sum(id) AS id_sum, {r6("min(score)")} AS least FROM ranked WHERE rank <= 5 GROUP BY 1"""
+SELECT query_id, count(*) FILTER (same) AS n_same, sum(id)::BIGINT AS id_sum, {r6("min(score)")} AS least FROM ranked WHERE rank <= 5 GROUP BY 1"""
 )
 def nearest_of_each(spark, sf_dir):
     """The five nearest of every row among all rows, both sides in blocks on the executors."""
@@ -602,7 +602,7 @@ def footprint_pairs(spark, sf_dir):
 
 
 @query(
-    """SELECT CASE WHEN label < 5 THEN 'optical' ELSE 'sar' END AS modality, count(*) AS n, sum(vec_id) AS id_sum, 2 AS n_parts FROM embeddings GROUP BY 1"""
+    """SELECT CASE WHEN label < 5 THEN 'optical' ELSE 'sar' END AS modality, count(*) AS n, sum(vec_id)::BIGINT AS id_sum, 2 AS n_parts FROM embeddings GROUP BY 1"""
 )
 def index_by_parts(spark, sf_dir):
     """An index that is written as two parts and read back by its manifest."""
@@ -613,3 +613,196 @@ def index_by_parts(spark, sf_dir):
         parts.append(path, rows.where(f"vec_id % 2 = {half}"))
     found = parts.manifest(spark, path)
     return parts.load(spark, path, verify=True).groupBy("modality").agg(F.count("*").alias("n"), F.sum("vec_id").alias("id_sum")).withColumn("n_parts", F.lit(len(found.parts)))
+
+
+TILE_ROWS = """SELECT 't' || event_id AS tile_id, 's' || (event_id % 40) AS scene_id, CASE WHEN event_type = 'view' THEN 'sar' ELSE 'optical' END AS modality, ts, user_id::INT AS row_idx, ascii(event_type) AS col_idx,
+(event_id % 50)::DOUBLE AS west, (event_id % 20)::DOUBLE AS south, v.embedding FROM embeddings v LEFT JOIN events ON event_id = vec_id"""
+
+
+def _index(spark, sf_dir):
+    """Vectors with the metadata of the event of the same number, as an index."""
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("concat('t', vec_id) AS tile_id", "vec_id", "embedding")
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "concat('s', event_id % 40) AS scene_id", "IF(event_type = 'view', 'sar', 'optical') AS modality")
+    known = vectors.join(events, F.col("vec_id") == F.col("event_id"), "left").select("tile_id", "scene_id", "modality", "embedding")
+    tiles = table(spark, sf_dir, "events").selectExpr(
+        "concat('t', event_id) AS tile_id", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") AS acquisition_datetime_utc", "CAST(user_id AS INT) AS row_idx", "ascii(event_type) AS col_idx",
+        "array(CAST(event_id % 50 AS DOUBLE), CAST(event_id % 20 AS DOUBLE), event_id % 50 + 1D, event_id % 20 + 1D) AS bounds_wgs84",
+    )
+    return index.checked(index.index_entries(known, tiles), 64)
+
+
+@query(f"SELECT tile_id, row_number() OVER (ORDER BY coalesce(modality = 'optical', false), modality NULLS FIRST, scene_id NULLS FIRST, row_idx, col_idx, tile_id) - 1 AS row_id FROM ({TILE_ROWS})")
+def index_row_ids(spark, sf_dir):
+    """The position of every tile of a checked index."""
+    return index.with_row_ids(_index(spark, sf_dir)).select("tile_id", "row_id")
+
+
+LIKE = EXACT.replace("e.embedding", "i.embedding")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY s DESC, tile_id)::INT AS rank, tile_id, scene_id, {r6('s')} AS similarity_score FROM (SELECT i.*, {LIKE} AS s FROM ({TILE_ROWS}) i, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) QUALIFY rank <= 10")
+def like_tile(spark, sf_dir):
+    """The ten tiles nearest to a stored one, itself among them."""
+    return index.TextSearch(_index(spark, sf_dir), dimension=64).like_tile("t0", 10).select("rank", "tile_id", "scene_id", "similarity_score")
+
+
+@query(
+    f"""SELECT row_number() OVER (ORDER BY s DESC, tile_id)::INT AS rank, tile_id, modality, {r6('s')} AS similarity_score FROM (SELECT i.*, {LIKE} AS s FROM ({TILE_ROWS}) i, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
+WHERE modality = 'optical' AND scene_id = 's7' AND ts >= TIMESTAMP '2024-01-02' AND ts <= TIMESTAMP '2024-12-30 23:59:59.999999' AND west <= 47 AND west + 1 >= 2 AND south <= 12 AND south + 1 >= 3) QUALIFY rank <= 10"""
+)
+def tile_search(spark, sf_dir):
+    """Search by a vector with filters of modality, scene, dates and a box."""
+    first = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    found = index.TextSearch(_index(spark, sf_dir), dimension=64)
+    if first is None:
+        raise ValueError("embeddings has no row 0")
+    import numpy as np
+
+    return found.search(np.array(first[0], np.float32), 10, "optical", "2024-01-02", "2024-12-30", "s7", [2.0, 3.0, 47.0, 12.0]).select("rank", "tile_id", "modality", "similarity_score")
+
+
+@query("SELECT count(*) AS total_tiles, count(DISTINCT event_id) AS total_scenes FROM events")
+def index_totals(spark, sf_dir):
+    return pairing.totals(_tile_index(spark, sf_dir))
+
+
+WINDOWS = """WITH d AS (SELECT p_partkey AS scene_id, (p_size * 40 + 100)::BIGINT AS w FROM part),
+o AS (SELECT scene_id, w, CASE WHEN w <= 256 THEN [0::BIGINT] ELSE list_sort(list_distinct(list_concat(range(0, w - 255, 256), [w - 256]))) END AS offs FROM d),
+t AS (SELECT a.scene_id, i - 1 AS row_idx, j - 1 AS col_idx, a.offs[i] AS row_off, a.offs[j] AS col_off, least(256, w - a.offs[j]) AS width, least(256, w - a.offs[i]) AS height
+FROM o a, unnest(range(1, len(offs) + 1)) AS x(i), unnest(range(1, len(offs) + 1)) AS y(j))"""
+
+
+@query(
+    WINDOWS
+    + """SELECT printf('s2_%s_10m_r%02d_c%02d', scene_id::VARCHAR, row_idx, col_idx) AS tile_id, printf('s1_%s_radar_r%02d_c%02d', scene_id::VARCHAR, row_idx, col_idx) AS radar_id, col_off // 2 AS half_col_off, row_off // 2 AS half_row_off, width // 2 AS half_width, height // 2 AS half_height,
+1000 + col_off AS abs_col_off, scene_id + row_off AS abs_row_off, 300000.0::DOUBLE + 10 * col_off AS west, 2100000.0::DOUBLE - 10 * row_off AS north, 300000.0::DOUBLE + 10 * (col_off + width) AS east, 2100000.0::DOUBLE - 10 * (row_off + height) AS south FROM t"""
+)
+def tile_geometry(spark, sf_dir):
+    """Names, half-resolution windows, absolute places, transforms and bounds of all tiles."""
+    tiles = tiling.absolute_window(tiling.half_window(tiling.tile_windows(_sides(spark, sf_dir))), F.lit(1000).cast("long"), F.col("scene_id"))
+    affine = F.array(*map(F.lit, (10.0, 0.0, 300000.0, 0.0, -10.0, 2100000.0)))
+    moved = tiles.withColumn("affine", tiling.tile_affine(affine, F.col("col_off"), F.col("row_off")))
+    box = tiling.projected_bounds(F.col("affine"), F.col("width"), F.col("height"))
+    named = [f(F.col("scene_id").cast("string"), F.col("row_idx"), F.col("col_idx")).alias(n) for f, n in ((tiling.optical_tile_id, "tile_id"), (tiling.radar_tile_id, "radar_id"))]
+    return moved.select(*named, *(f"half_{c}" for c in ("col_off", "row_off", "width", "height")), "abs_col_off", "abs_row_off", *(box[i].alias(n) for i, n in enumerate(("west", "south", "east", "north"))))
+
+
+@query(WINDOWS + "SELECT scene_id, count(*) AS total_tiles, (max(row_idx) + 1)::INT AS grid_rows, (max(col_idx) + 1)::INT AS grid_cols, sum(width * height)::BIGINT AS total_bytes FROM t GROUP BY 1")
+def tile_manifests(spark, sf_dir):
+    """The manifest of each scene's tiles (its list of tiles left out)."""
+    tiles = tiling.tile_windows(_sides(spark, sf_dir)).withColumn("size", F.col("width") * F.col("height"))
+    named = tiles.withColumn("tile_id", tiling.optical_tile_id(F.col("scene_id").cast("string"), F.col("row_idx"), F.col("col_idx")))
+    return tiling.manifests(named, "size").drop("tiles")
+
+
+@query("SELECT CASE WHEN lang = 'en' THEN 'optical' ELSE 'sar' END AS modality, source AS scene_id, count(*) AS total_tiles, sum(n_chars)::BIGINT AS total_bytes FROM documents GROUP BY ROLLUP (modality, scene_id)")
+def tiling_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").selectExpr("IF(lang = 'en', 'optical', 'sar') AS modality", "source AS scene_id", "n_chars")
+    return tiling.tiling_summary(rows, "n_chars")
+
+
+@query(f"SELECT pair_id, r - 10 AS r, c - 25 AS c, magnitude FROM ({RASTER}) WHERE r BETWEEN 10 AND 69 AND c BETWEEN 25 AND 64")
+def window_crop(spark, sf_dir):
+    """A window of each raster, moved to its origin."""
+    pixels = _raster(spark, sf_dir).select("pair_id", "r", "c", "magnitude")
+    windows = pixels.select("pair_id").distinct().selectExpr("pair_id", "10 AS row_off", "25 AS col_off", "40 AS width", "60 AS height")
+    return tiling.crop_pixels(pixels, windows, ["pair_id"]).select("pair_id", "r", "c", "magnitude")
+
+
+@query("SELECT lang || '_' || doc_id || '.tif' AS image_id, 'images/' || lang || '_' || doc_id || '.tif' AS relative_path, lower(lang) AS category, sha256(text) AS sha256, lang || '_' || doc_id || '.tif_cap_1' AS second_caption, trim(source) AS text FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def manifest_items(spark, sf_dir):
+    """Images and captions of a benchmark's table, of which documents make one with two captions each."""
+    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    split = rows.selectExpr("concat('some/', lang, '_', doc_id, '.tif') AS filename", "CAST(text AS BINARY) AS image", "array('a caption', concat(' ', source, ' ')) AS captions")
+    images, captions = evaluation.items_of(split)
+    second = captions.where("caption_id LIKE '%cap_1'").select("image_id", F.col("caption_id").alias("second_caption"), "text")
+    return images.select("image_id", "relative_path", "category", "sha256").join(second, "image_id")
+
+
+@query("SELECT (SELECT count(DISTINCT doc_id) FROM labels) AS n_files, (SELECT count(DISTINCT doc_id) FROM documents) AS n_items, (SELECT count(DISTINCT doc_id) FROM documents JOIN labels USING (doc_id)) AS n_both, false AS complete")
+def name_overlap(spark, sf_dir):
+    """What names of files and of items share."""
+    return evaluation.overlap(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name")), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id")))
+
+
+_SUMS = "count(*) AS n, avg(l_quantity) AS mx, avg(l_discount) AS my, var_pop(l_quantity) AS xx, var_pop(l_discount) AS yy, covar_pop(l_quantity, l_discount) AS xy"
+
+
+@query(
+    f"""WITH s AS (SELECT l_suppkey, {_SUMS}, avg(l_tax) AS mz, covar_pop(l_quantity, l_tax) AS xz, covar_pop(l_discount, l_tax) AS yz FROM lineitem GROUP BY 1 HAVING count(*) >= 20),
+f AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b FROM s)
+SELECT l_suppkey, {r6("a")} AS a, {r6("b")} AS b, {r6("mz - a * mx - b * my")} AS c FROM f"""
+)
+def gcp_fits(spark, sf_dir):
+    """The affine fit of each scene's control points (here: of a supplier's line items), from an array a scene."""
+    point = F.struct(F.col("l_quantity").alias("local_col"), F.col("l_discount").alias("local_row"), F.col("l_tax").alias("lon"), F.col("l_tax").alias("lat"))
+    scenes = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_list(point).alias("g")).where(F.size("g") >= 20)
+    fit = scenes.select("l_suppkey", tiling.local_affine(F.col("g")).alias("fit"))
+    return rounded(fit.select("l_suppkey", *(F.col("fit.coefficients")[i].alias(n) for i, n in enumerate("abc"))), "a", "b", "c")
+
+
+@query(
+    f"""WITH v AS (SELECT event_id // {_CELLS} AS t, count(*) AS n, min(value) AS low FROM events GROUP BY 1 HAVING count(*) = {_CELLS}),
+p AS (SELECT a.t // 2 AS pair_id FROM v a JOIN v b ON b.t = a.t + 1 WHERE a.t % 2 = 0)
+SELECT pair_id, CASE pair_id % 7 WHEN 1 THEN 'crs_mismatch' WHEN 2 THEN 'transform_mismatch' WHEN 3 THEN 'missing_raster_file' WHEN 4 THEN 'unsupported_sar_unaligned' WHEN 5 THEN 'unaligned_optical_grid' WHEN 6 THEN 'dimension_mismatch' ELSE 'success' END AS status,
+CASE WHEN pair_id % 7 = 0 THEN 'adaptive_mad_suppression' ELSE 'unsupported' END AS method FROM p"""
+)
+def change_statuses(spark, sf_dir):
+    """What becomes of pairs whose headers, files, modality or grids do not fit, as the number of the pair has it."""
+    rasters = _tile_rasters(spark, sf_dir)
+    pair, odd = F.expr("t div 2 % 7"), F.expr("t % 2 = 1")
+    wrong = rasters.where(~(odd & (pair == 3) & (F.col("band") == "B2")))
+    wrong = wrong.withColumns({
+        "crs": F.when(odd & (pair == 1), "EPSG:1").otherwise(F.col("crs")), "height": F.when(odd & (pair == 6), 8).otherwise(F.col("height")),
+        "affine": F.when(odd & (pair == 2), F.transform("affine", lambda x, i: F.when(i == 2, 5.0).otherwise(x))).otherwise(F.col("affine")),
+    })
+    tiles = rasters.where("band = 'B1'").select("t")
+    pairs = tiles.where("t % 2 = 0").join(tiles.select((F.col("t") - 1).alias("t")), "t").selectExpr(
+        "t div 2 AS pair_id", "concat('t', t) AS reference_tile_id", "concat('t', t + 1) AS comparison_tile_id", "IF(t div 2 % 7 = 4, 'sar', 'optical') AS modality",
+        "named_struct('is_pixel_aligned', t div 2 % 7 <> 5, 'alignment_type', 'any') AS alignment",
+    )
+    found = detection.compare_rasters(pairs, wrong.drop("t"), detection.ChangeConfig(bands=("B1", "B2"), side=TILE_SIDE), false_alarms.SuppressionConfig(min_valid_pixels=10))
+    return found.select("pair_id", "status", F.col("suppressed.method").alias("method"))
+
+
+RANKED = """WITH img AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 2 = 0), cap AS (SELECT vec_id, vec_id - 1 AS own, embedding FROM embeddings WHERE vec_id % 2 = 1),
+t AS (SELECT q.vec_id AS q, q.own, e.vec_id AS id, e.label, floor(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) * 1e12 + 0.5) / 1e12 AS s FROM cap q, img e),
+tr AS (SELECT t.*, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS rank, label = (SELECT label FROM img WHERE vec_id = t.own) AS rel FROM t),
+c AS (SELECT q.vec_id AS q, e.vec_id AS id, q.label = e.label AS rel, floor(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) * 1e12 + 0.5) / 1e12 AS s FROM img q JOIN img e ON q.vec_id <> e.vec_id),
+cr AS (SELECT c.*, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS rank FROM c),
+inst AS (SELECT rank FROM tr WHERE id = own),
+"""
+
+
+def _task(ranked: str, name: str, depth: int) -> str:
+    return f"""{name}_n AS (SELECT q, count(*) FILTER (rel) AS n FROM {ranked} GROUP BY 1),
+{name}_h AS (SELECT *, sum(rel::INT) OVER (PARTITION BY q ORDER BY rank) AS hits FROM {ranked} WHERE rank <= {depth}),
+{name} AS (SELECT n.q, any_value(n) AS n, sum(rel::INT) FILTER (rank <= 1) AS h1, sum(rel::INT) FILTER (rank <= 5) AS h5, sum(rel::INT) FILTER (rank <= 10) AS h10, sum(rel::INT) FILTER (rank <= 20) AS h20,
+  sum(CASE WHEN rel THEN hits / rank ELSE 0 END) AS ap, sum(CASE WHEN rel THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM {name}_n n JOIN {name}_h h ON n.q = h.q GROUP BY 1)"""
+
+
+def _r4(sql: str) -> str:
+    return f"round({sql}, 4)"
+
+
+@query(
+    RANKED + _task("tr", "cat", 20) + "," + _task("cr", "cls", 50)
+    + "".join(
+        f" {'UNION ALL ' if i else ''}SELECT '{task}' AS task, '{measure}' AS measure, {_r4(value)} AS value FROM {source}"
+        for i, (task, source, measure, value) in enumerate(
+            [("text_to_image_instance", "inst", f"Recall@{k}", f"avg((rank <= {k})::INT)") for k in (1, 5, 10)] + [("text_to_image_instance", "inst", "MRR", "avg(1.0::DOUBLE / rank)")]
+            + [("text_to_image_category", "cat", f"Recall@{k}", f"avg(h{k} / greatest(n, 1))") for k in (5, 10, 20)]
+            + [("text_to_image_category", "cat", "mAP@20", "avg(CASE WHEN n > 0 THEN ap / least(n, 20) END)")]
+            + [("text_to_image_category", "cat", "nDCG@20", "avg(CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, least(n, 20)::BIGINT + 1), lambda i: 1 / log2(i + 1))) END)")]
+            + [("image_to_image_class", "cls", "Recall@10", "avg(h10 / greatest(n, 1))")] + [("image_to_image_class", "cls", f"Precision@{k}", f"avg(h{k} / {k}.0::DOUBLE)") for k in (1, 5, 10)]
+            + [("image_to_image_class", "cls", "mAP@50", "avg(CASE WHEN n > 0 THEN ap / least(n, 50) END)")]
+        )
+    )
+)
+def evaluate_retrieval(spark, sf_dir):
+    """Fourteen measures of three tasks: even vectors are images of their label, odd ones captions of the image before."""
+    rows = table(spark, sf_dir, "embeddings")
+    images = rows.where("vec_id % 2 = 0").select(F.col("vec_id").alias("image_id"), F.col("label").cast("string").alias("category"))
+    captions = rows.where("vec_id % 2 = 1").selectExpr("vec_id AS caption_id", "vec_id - 1 AS image_id")
+    vectors = [rows.where(f"vec_id % 2 = {k}").select(F.col("vec_id").alias("id"), "embedding") for k in (0, 1)]
+    return evaluation.evaluate(images, captions, *vectors)
