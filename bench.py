@@ -10,6 +10,7 @@ from terraquarry.session import local_session
 NAMES = [
     "cosine_topk", "filtered_topk", "similar_tiles_all", "retrieval_metrics", "nearest_in_time", "all_pairs", "band_stats",
     "class_distribution", "change_magnitude", "mad_threshold", "neighbors8", "suppression", "tile_windows", "affine_lstsq",
+    "change_and_suppress", "nearest_of_each", "footprint_pairs",
 ]
 
 

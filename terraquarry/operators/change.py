@@ -42,9 +42,10 @@ def mask_classes(pixels: DataFrame, classes: DataFrame) -> DataFrame:
 def thresholds(pixels: DataFrame, k: float = 3.0, offset: float = 0.0, by: str = "pair_id", limit: int = selection.LIMIT) -> DataFrame:
     """The median, its absolute deviation and the threshold of each raster, exact, whatever its size (``selection``)."""
     valid = pixels.where(is_finite(F.col("magnitude")))
-    middle = selection.median(valid, [by], F.col("magnitude"), limit=limit)
+    large = selection.any_large(valid, [by], limit)
+    middle = selection.median(valid, [by], F.col("magnitude"), "median", limit, large)
     off = valid.join(middle, by).select(by, F.abs(F.col("magnitude") - F.col("median")).alias("off"))
-    spread = middle.join(selection.median(off, [by], F.col("off"), "mad", limit), by)
+    spread = middle.join(selection.median(off, [by], F.col("off"), "mad", limit, large), by)
     return spread.withColumn("threshold", F.col("median") + F.greatest(k * MAD_SCALE * F.col("mad"), F.lit(offset)))
 
 

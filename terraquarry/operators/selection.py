@@ -57,22 +57,27 @@ def order_statistics(values: DataFrame, ranks: DataFrame, limit: int = LIMIT) ->
     return found
 
 
-def quantiles(rows: DataFrame, by: list[str], value: Column, shares: list[float], limit: int = LIMIT) -> DataFrame:
+def any_large(rows: DataFrame, by: list[str], limit: int = LIMIT) -> bool:
+    """Whether a group has more rows than ``limit``."""
+    return not rows.groupBy(*by).count().where(F.col("count") > limit).isEmpty()
+
+
+def quantiles(rows: DataFrame, by: list[str], value: Column, shares: list[float], limit: int = LIMIT, large_ones: bool = True) -> DataFrame:
     """(by, q): the quantiles of each group's finite values at some shares, interpolated, as an array; null for a group without any.
 
-    Null keys are a group. The result of large groups is exact, not an approximation.
+    Null keys are a group. The result of large groups is exact, not an approximation. Whoever
+    knows that there are none (``any_large``) says so by ``large_ones``, and spares a count.
     """
     for share in shares:
         if not 0 <= share <= 1:
             raise ValueError("shares must be 0 to 1")
     x = value.cast("double")
     given = rows.select(F.struct(*by).alias("key"), F.when(is_finite(x), x).alias("x"))
-    sizes = given.groupBy("key").agg(F.count("x").alias("size"))
-    large = stored(sizes.where(F.col("size") > limit), "large-groups")
     exact = F.percentile("x", F.array(*(F.lit(float(s)) for s in shares)))
     names = [F.col(f"key.{c}").alias(c) for c in by]
-    if large.isEmpty():
+    if not large_ones or not any_large(given, ["key"], limit):
         return given.groupBy("key").agg(exact.alias("q")).select(*names, "q")
+    large = stored(given.groupBy("key").agg(F.count("x").alias("size")).where(F.col("size") > limit), "large-groups")
     small = given.join(F.broadcast(large.select("key")), "key", "left_anti").groupBy("key").agg(exact.alias("q"))
     position = lambda s: (F.col("size") - 1) * F.lit(float(s))
     wanted = F.array_distinct(F.array(*(f(position(s)).cast("long") for s in shares for f in (F.floor, F.ceil))))
@@ -88,6 +93,6 @@ def quantiles(rows: DataFrame, by: list[str], value: Column, shares: list[float]
     return small.unionByName(looked.select("key", F.array(*(mixed(s) for s in shares)).alias("q"))).select(*names, "q")
 
 
-def median(rows: DataFrame, by: list[str], value: Column, name: str = "median", limit: int = LIMIT) -> DataFrame:
+def median(rows: DataFrame, by: list[str], value: Column, name: str = "median", limit: int = LIMIT, large_ones: bool = True) -> DataFrame:
     """(by, name): the exact median of each group."""
-    return quantiles(rows, by, value, [0.5], limit).select(*by, F.col("q")[0].alias(name))
+    return quantiles(rows, by, value, [0.5], limit, large_ones).select(*by, F.col("q")[0].alias(name))
