@@ -701,11 +701,11 @@ def tiling_rollup(spark, sf_dir):
     return tiling.tiling_summary(rows, "n_chars")
 
 
-@query(f"SELECT pair_id, r - 10 AS r, c - 25 AS c, magnitude FROM ({RASTER}) WHERE r BETWEEN 10 AND 69 AND c BETWEEN 25 AND 64")
+@query(f"SELECT pair_id, r - 3 AS r, c - 25 AS c, magnitude FROM ({RASTER}) WHERE r BETWEEN 3 AND 62 AND c BETWEEN 25 AND 64")
 def window_crop(spark, sf_dir):
     """A window of each raster, moved to its origin."""
     pixels = _raster(spark, sf_dir).select("pair_id", "r", "c", "magnitude")
-    windows = pixels.select("pair_id").distinct().selectExpr("pair_id", "10 AS row_off", "25 AS col_off", "40 AS width", "60 AS height")
+    windows = pixels.select("pair_id").distinct().selectExpr("pair_id", "3 AS row_off", "25 AS col_off", "40 AS width", "60 AS height")
     return tiling.crop_pixels(pixels, windows, ["pair_id"]).select("pair_id", "r", "c", "magnitude")
 
 
