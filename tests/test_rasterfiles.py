@@ -168,3 +168,30 @@ def test_commands_over_folders(spark, tmp_path):
     assert {r.confirmed_pixels for r in rows} == {36} and len(files_below(tmp_path / "maps")) == 12
     first = pairing.in_order(pairing.all_tile_pairs(spark.read.parquet(f"{tmp_path}/index"))).first()
     assert run("change", *given, "--tile-id", first.reference_tile_id).count() == 1
+
+
+def test_from_scene_folders_to_a_searched_index(spark, tmp_path):
+    """Tiles become images, images vectors, vectors an index of parts; a tile's bytes are those of the plain formula."""
+    from terraquarry.operators import embedding, index, parts
+
+    folder(tmp_path / "scenes" / "s1", "2023-01-01T10:00:00Z", [(100, 120, 6)])
+    tiles, made = workflows.tile_optical(spark, str(tmp_path / "scenes"))
+    workflows.write_tiles(tiles, made, str(tmp_path / "made"))
+    tiles, made = spark.read.parquet(f"{tmp_path}/made/tiles"), spark.read.parquet(f"{tmp_path}/made/rasters")
+    bands = {r.band: np.array(r.data) for r in made.where("tile_id LIKE '%r00_c00'").collect()}
+    image = np.stack([np.round(np.clip(bands[b] / 10000, 0, 0.35) / 0.35 * 255) for b in ("B04", "B03", "B02")], -1).astype(int).ravel()
+    (row,) = workflows.images(tiles.where("tile_id LIKE '%r00_c00'"), made).collect()
+    assert (row.height, row.width) == (256, 256) and (np.array(row.values) == image).all()
+    embedder = embedding.HashEmbedder(16)
+    vectors = workflows.embed_tiles(tiles, made, embedder)
+    want = embedder.encode_images([image.astype(np.uint8).reshape(256, 256, 3)])[0]
+    found = {r.tile_id: np.array(r.embedding) for r in vectors.collect()}
+    assert len(found) == 4 and np.allclose(found[row.tile_id], want, atol=1e-6)
+    built = index.checked(index.index_entries(vectors, workflows.index_tiles(tiles, "d")), 16)
+    parts.create(spark, f"{tmp_path}/index", 16)
+    for scene in ("c00", "c01"):
+        parts.append(f"{tmp_path}/index", built.where(f"tile_id LIKE '%{scene}'"))
+    search = index.TextSearch(parts.load(spark, f"{tmp_path}/index", verify=True), embedder, 16)
+    nearest = search.like_tile(row.tile_id, 4).collect()
+    assert nearest[0].tile_id == row.tile_id and nearest[0].similarity_score == pytest.approx(1, abs=1e-5) and len(nearest) == 4
+    assert search.search("a bridge", 2, modality="optical").count() == 2
