@@ -100,3 +100,9 @@ def file_size_text(size: Column) -> Column:
     for power, name in enumerate(("KB", "MB", "GB", "TB"), 1):
         out = F.when(size >= 1024.0**power, F.format_string(f"%.1f {name}", size / 1024.0**power)).otherwise(out)
     return out
+
+
+def merged(first: Column, second: Column) -> Column:
+    """The entries of two maps; of a key that both have, the second's value (also if it is null). A null map is an empty one; two null maps are null."""
+    both = F.map_zip_with(F.coalesce(first, F.map_filter(second, lambda k, v: F.lit(False))), F.coalesce(second, F.map_filter(first, lambda k, v: F.lit(False))), lambda k, a, b: F.when(F.coalesce(F.map_contains_key(second, k), F.lit(False)), b).otherwise(a))
+    return both

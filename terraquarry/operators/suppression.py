@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terraquarry.operators import kernels
 
@@ -143,3 +144,37 @@ def suppress_changes(results: DataFrame, magnitudes: DataFrame, config: Suppress
     found = packed.mapInArrow(run, f"pair_id {kind}, found {FOUND}")
     out = judged(results.join(found.select("pair_id", F.col("found").dropFields("pixels").alias("_found")), "pair_id", "left"), F.col("_found")).drop("_found")
     return out, found.select("pair_id", F.inline("found.pixels"))
+
+
+def suppress_rasters(changes: DataFrame, config: SuppressionConfig = SuppressionConfig(), width: int = 256, files: DataFrame | None = None) -> DataFrame:
+    """Suppressed results with ``pixels`` (candidates) of change results that have their magnitudes as rasters.
+
+    ``changes`` has pair_id, modality, status, warnings and ``magnitude`` (row by row, NaN where
+    invalid, or null). Where it is null, the raster of the pair in ``files`` (pair_id, magnitude;
+    see ``workflows.stored_magnitudes``) takes its place, if these are given; a success without
+    either is missing_raster_file then, and else missing_change_data. No raster is shuffled
+    but for the join with the files.
+    """
+    rows = changes
+    if files is not None:
+        on_file = files.select(F.col("pair_id").cast(changes.schema["pair_id"].dataType).alias("pair_id"), F.col("magnitude").alias("_on_file"))
+        rows = changes.join(on_file, "pair_id", "left").withColumn("magnitude", F.coalesce("magnitude", "_on_file")).drop("_on_file")
+    names = rows.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for modality, status, raster in zip(*(batch.column(names.index(c)) for c in ("modality", "status", "magnitude")), strict=True):
+                if modality.as_py() == "sar" or status.as_py() != "success" or not raster.is_valid:
+                    found.append(None)
+                    continue
+                values = raster.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                at = np.flatnonzero(~np.isnan(values))
+                found.append(found_in(at, values[at], width, config).as_py() if len(at) else {"n_rows": len(values), "n_valid": 0, "candidate_pixels": 0, "confirmed_pixels": 0, "pixels": []})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _FOUND)], names=[*names, "found"])
+
+    made = rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(f"found {FOUND}").fields]))
+    out = judged(made, F.col("found")).withColumn("pixels", F.col("found.pixels")).drop("magnitude", "found")
+    if files is not None:
+        out = out.withColumn("status", F.when(F.col("status") == "missing_change_data", "missing_raster_file").otherwise(F.col("status")))
+    return out

@@ -99,6 +99,12 @@ def change_maps(changes: DataFrame, headers: DataFrame, band: str = "B02") -> Da
     return _maps(changes.where("magnitude IS NOT NULL").select("pair_id", "reference_tile_id", F.col("magnitude").alias("data")), headers, band, "change", "float32", float("nan"))
 
 
+def stored_magnitudes(spark: SparkSession, path: str) -> DataFrame:
+    """(pair_id, magnitude) of the magnitude files that ``change_maps`` has made under a path."""
+    files = geotiff.rasters(spark, path, "change__*.tif")
+    return files.select(F.regexp_extract("filename", r"^change__(.*)\.tif$", 1).alias("pair_id"), F.col("data").alias("magnitude"))
+
+
 def confirmed_maps(changes: DataFrame, candidates: DataFrame, headers: DataFrame, band: str = "B02") -> DataFrame:
     """Masks (bytes) and confidences (floats) of confirmed pixels, as above; a compared pair without any has empty ones."""
     side = detection.SIDE

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terraquarry.operators import pairing
+from terraquarry.operators import pairing, suppression
 from terraquarry.plans import workflows
 from terraquarry.sources import geotiff, rasterfiles
 
@@ -135,6 +135,22 @@ def test_from_scene_folders_to_confirmed_maps(spark, tmp_path):
         assert (mask["data"] == want).all() and mask["dtype"] == "uint8" and ((sureness["data"] > 0) == (want > 0)).all()
         assert change["affine"] == [10.0, 0.0, 300000.0 + 10 * column, 0.0, -10.0, 2100000.0 - 10 * row] and change["data"].max() > 0.4
     assert time.monotonic() - start < 60
+    # magnitudes that are not at hand come from the files; a pair without either has a status of its own
+    gone = found["changes"].withColumn("magnitude", F.lit(None).cast("array<float>"))
+    (tmp_path / "maps" / f"change__{min(changes)}.tif").unlink()
+    again = suppression.suppress_rasters(gone, files=workflows.stored_magnitudes(spark, str(tmp_path / "maps")))
+    rows = {r.pair_id: (r.status, r.confirmed_pixels, len(r.pixels or [])) for r in again.collect()}
+    assert rows.pop(min(changes)) == ("missing_raster_file", 0, 0) and set(rows.values()) == {("success", 36, 37)} and len(rows) == 3
+    assert {(r.status, r.candidate_pixels) for r in suppression.suppress_rasters(found["changes"]).collect()} == {("success", 37)}
+    assert {r.status for r in suppression.suppress_rasters(gone).collect()} == {"missing_change_data"}
+
+
+def test_maps_are_merged(spark):
+    from terraquarry.functions import scalars
+
+    frame = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3, "c": None}), ({"a": 1}, None), (None, {"z": 9}), (None, None), ({}, {})], "x map<string,int>, y map<string,int>")
+    got = [r.m for r in frame.select(scalars.merged(F.col("x"), F.col("y")).alias("m")).collect()]
+    assert got == [{"a": 1, "b": 3, "c": None}, {"a": 1}, {"z": 9}, None, {}]
 
 
 def test_radar_files_carry_control_points(spark, tmp_path):
