@@ -52,3 +52,21 @@ def test_cells_are_numbered_along_the_curve(spark):
     bits = lambda n: sum((n >> i & 1) << 2 * i for i in range(31))
     for r in frame.collect():
         assert r.z == bits(r.x % 2**31) | bits(r.y % 2**31) << 1
+
+
+def test_no_side_is_broadcast_for_its_small_files(spark, tmp_path):
+    """200,000 boxes of one place in a file of some KB, whose exploded cells don't show in its size."""
+    spark.range(200_000).selectExpr("id % 400 AS id", "CAST(id AS INT) AS acquired", *(f"{v}D AS {c}" for c, v in zip(footprints.BOX, (0.1, 0.1, 0.2, 0.2)))).write.parquet(str(tmp_path / "t"))
+    plan = footprints.overlapping_pairs(spark.read.parquet(str(tmp_path / "t"))).select("iou")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_cells_of_many_rows(spark, monkeypatch):
+    """Cells in several packed rows, instants of other types than integers, boxes without one."""
+    monkeypatch.setattr(footprints, "PACK", 7)
+    given = [(i, f"2024-01-{1 + i % 9:02d}" if i % 10 else None, 0.1 * (i % 11), 0.0, 0.1 * (i % 11) + 0.15, 1.0) for i in range(120)]
+    want = sorted((p[0], q[0]) for p in given for q in given if p[1] and q[1] and p[1] < q[1] and min(p[4], q[4]) > max(p[2], q[2]))
+    frame = spark.createDataFrame(given, f"id long, acquired string, {BOX}")
+    for kind in ("string", "date", "timestamp"):
+        rows = footprints.overlapping_pairs(frame.withColumn("acquired", F.col("acquired").cast(kind))).collect()
+        assert sorted((r.reference_id, r.comparison_id) for r in rows) == want
