@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terraquarry.functions.scalars import norm, parse_iso_datetime
+from terraquarry.functions.scalars import norm, parse_iso_datetime, rounded
 from terraquarry.operators import search
 from terraquarry.operators.tiling import affine_bounds
 
@@ -114,11 +114,11 @@ def group_counts(index: DataFrame) -> DataFrame:
 def hits(index: DataFrame, query: Sequence[float], k: int = 10) -> DataFrame:
     """The k best tiles: rank, tile_id, similarity_score, row_id, scene_id, modality, bounds_wgs84, tile_directory, acquisition_datetime_utc, metadata (JSON)."""
     vector = F.array(*(F.lit(float(x)) for x in query))
-    found = search.top_k(index, vector, k, id_col="tile_id")
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "tile_id"))  # over k rows
+    found = search.best(index, vector, k, id_col="tile_id")
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "tile_id"))  # over k rows, by scores to 12 places as they were chosen
     position = F.col("row_id") if "row_id" in index.columns else F.lit(None).cast("long")
     rest = [c for c in index.columns if c != "embedding"]
-    return found.select(rank.alias("rank"), "tile_id", F.col("score").alias("similarity_score"), position.alias("row_id"), "scene_id", "modality", "bounds_wgs84", "tile_directory", "acquisition_datetime_utc", F.to_json(F.struct(*rest)).alias("metadata"))
+    return found.select(rank.alias("rank"), "tile_id", rounded(F.col("score")).alias("similarity_score"), position.alias("row_id"), "scene_id", "modality", "bounds_wgs84", "tile_directory", "acquisition_datetime_utc", F.to_json(F.struct(*rest)).alias("metadata"))
 
 
 class TextSearch:

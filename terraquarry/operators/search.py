@@ -107,14 +107,18 @@ def _exact(scores: np.ndarray) -> np.ndarray:
     return np.floor(scores * 1e12 + 0.5) / 1e12
 
 
+def best(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id") -> DataFrame:
+    """The k best rows by score to 12 places, ties by id: partial top-k per task, then one merge of k rows each."""
+    return vectors.withColumn("score", exact_score(dot(F.col("embedding"), query))).orderBy(F.desc("score"), id_col).limit(checked_k(k))
+
+
 def top_k(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id") -> DataFrame:
-    """The k best rows by score, ties by id: partial top-k per task, then one merge of k rows each.
+    """The k best rows by score, ties by id.
 
     ``query`` is an array column, in general a literal. Scores are ranked to 12 places and
     shown to 6.
     """
-    best = vectors.withColumn("score", exact_score(dot(F.col("embedding"), query))).orderBy(F.desc("score"), id_col).limit(checked_k(k))
-    return best.withColumn("score", rounded(F.col("score")))
+    return best(vectors, query, k, id_col).withColumn("score", rounded(F.col("score")))
 
 
 def _cells(queries: DataFrame, vectors: DataFrame, block: int, run: Callable[[Iterator[tuple[pa.Table, Iterator[pa.RecordBatch]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

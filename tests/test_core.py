@@ -416,6 +416,16 @@ def test_filters_and_their_errors(spark):
         engine.like_tile("none")
 
 
+def test_near_scores_rank_as_they_were_chosen(spark):
+    """Scores that are the same to 6 places and not to 12: the ids' order is the other way."""
+    angle = {"d": 1e-5, "c": 2e-4, "b": 4e-4, "a": 6e-4, "far": 1.0}
+    rows = [(t, "s", "optical", "d", None, None, [float(np.cos(x)), float(np.sin(x))]) for t, x in angle.items()]
+    entries = spark.createDataFrame(rows, "tile_id string, scene_id string, modality string, tile_directory string, bounds_wgs84 array<double>, acquisition_datetime_utc string, embedding array<double>")
+    found = index.hits(entries, [1.0, 0.0], 4).orderBy("rank").collect()
+    assert [r.tile_id for r in found] == ["d", "c", "b", "a"]
+    assert [r.similarity_score for r in found] == [1.0] * 4
+
+
 def test_ties_rank_by_id_and_rows_are_numbered(spark):
     same = [(t, "s", "optical", "d", None, None, [1.0, 0.0]) for t in ("charlie", "alpha", "bravo")]
     frame = spark.createDataFrame(same, "tile_id string, scene_id string, modality string, tile_directory string, bounds_wgs84 array<double>, acquisition_datetime_utc string, embedding array<float>")
