@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,6 +17,10 @@ from terraquarry.functions.scalars import boxes_touch, dot, filter_datetime, rou
 
 #: Queries that are searched in one pass: their vectors and a batch's scores stay under 70 MB.
 BLOCK = 2048
+#: Bytes of vectors in a block, and in the part of them that a task reads at once.
+PACKED, PART = 2 << 20, 64 << 20
+#: Pairs whose products are summed in order at once.
+CHUNK = 100_000
 #: Fixed value: how far a vector's length may be from 1.
 UNIT_TOLERANCE = 2e-3
 
@@ -121,62 +127,86 @@ def top_k(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id"
     return best(vectors, query, k, id_col).withColumn("score", rounded(F.col("score")))
 
 
-def _cells(queries: DataFrame, vectors: DataFrame, block: int, run: Callable[[Iterator[tuple[pa.Table, Iterator[pa.RecordBatch]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``run`` over every pair of a block of queries and a block of vectors: it gets the queries of a cell as a table, and the vectors as batches.
+def _blocks(rows: DataFrame, size: int, columns: list[str]) -> DataFrame:
+    """Rows of ``size`` vectors at most: number, ids, vectors (doubles or floats as bytes, row by row) and a list for each other column."""
+    kind = {c: rows.schema[c].dataType for c in columns}
+    schema = ", ".join(["number long", f"ids array<{rows.schema['id'].dataType.simpleString()}>", "vectors binary", *(f"`{c}` array<{k.simpleString()}>" for c, k in kind.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        number = TaskContext.get().partitionId() << 32
+
+        def block(table: pa.Table) -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), _one(table.column(c))) for c in ("id", *columns)]
+            matrix = _matrix(table.column("embedding"), table.num_rows)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists[0], pa.array([matrix.tobytes()], pa.binary()), *lists[1:]], names=["number", "ids", "vectors", *columns])
+
+        for batch in batches:
+            held, count = [*held, batch], count + batch.num_rows
+            if count >= size:
+                table = pa.Table.from_batches(held)
+                for at in range(0, count - size + 1, size):
+                    yield block(table.slice(at, size))
+                    number += 1
+                rest = table.slice(count - count % size)
+                held, count = rest.to_batches(), rest.num_rows
+        if count:
+            yield block(pa.Table.from_batches(held))
+
+    return rows.select("id", F.col("embedding").cast("array<double>").alias("embedding"), *columns).mapInArrow(run, schema)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    whole = column.combine_chunks()
+    return whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
+
+
+def _names(ids: pa.Array) -> np.ndarray:
+    return ids.to_numpy() if pa.types.is_integer(ids.type) and not ids.null_count else np.array(ids.to_pylist())
+
+
+def _crossed(queries: DataFrame, vectors: DataFrame, block: int, work: Callable[[pa.RecordBatch, Iterator[tuple[np.ndarray, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work`` for every block of queries: it gets the block (a row of ``_blocks``) and the (ids, matrix) of the vectors, block by block.
 
     ``queries`` has id, embedding and other columns, ``vectors`` id and embedding. Up to ``block``
     queries are one block, which is broadcast (it is collected first, so its size is known), and
-    no vector is shuffled. More go to about (queries / block) blocks, and the vectors to as many;
-    a row is sent to the cells of its block's row or column, and a task holds one cell's
-    queries at a time.
+    no vector is shuffled. More are packed into blocks, and so are the vectors; Spark's cartesian
+    product pairs the blocks: each side is shuffled and stored once, whatever the number of pairs,
+    and a task reads one part of the vectors, of ``PART`` bytes at most, for each of its blocks of queries.
     """
     spark, extra = vectors.sparkSession, [c for c in queries.columns if c not in ("id", "embedding")]
     slim = vectors.select("id", "embedding")
     some = queries.limit(block + 1).toArrow()
     if some.num_rows <= block:
-        held = spark.sparkContext.broadcast(some)
-        return slim.mapInArrow(lambda batches: run(iter([(held.value, batches)])), schema)
-    side = -(-queries.count() // block)
-    deal = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(side)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    nothing = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in extra]
-    asked = queries.select("id", F.col("embedding").cast(vectors.schema["embedding"].dataType).alias("embedding"), *extra, F.lit(0).alias("_side"), deal(1).alias("_row"), every.alias("_column"))
-    given = slim.select("id", "embedding", *nothing, F.lit(1).alias("_side"), every.alias("_row"), deal(2).alias("_column"))
-    dealt = asked.unionByName(given).withColumn("_cell", F.col("_row") * side + F.col("_column")).drop("_row", "_column")
-    ordered = dealt.repartition("_cell").sortWithinPartitions("_cell", "_side")
-    return ordered.mapInArrow(lambda batches: run(_by_cell(batches)), schema)
-
-
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Iterator[pa.RecordBatch]]]:
-    """Cells of batches that are sorted by cell and side: the queries as one table, the vectors as they come."""
-
-    def pieces() -> Iterator[tuple[int, int, pa.RecordBatch]]:
-        for batch in batches:
-            cells, sides = batch.column("_cell").to_numpy(), batch.column("_side").to_numpy()
-            edges = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(sides) != 0)) + 1).tolist(), batch.num_rows]
-            for start, end in zip(edges, edges[1:], strict=False):
-                if end > start:
-                    yield int(cells[start]), int(sides[start]), batch.slice(start, end - start)
-
-    source = pieces()
-    ahead = next(source, None)
-    while ahead is not None:
-        cell, asked = ahead[0], []
-        while ahead is not None and ahead[:2] == (cell, 0):
-            asked.append(ahead[2])
-            ahead = next(source, None)
-
-        def vectors(cell=cell) -> Iterator[pa.RecordBatch]:
-            nonlocal ahead
-            while ahead is not None and ahead[0] == cell:
-                yield ahead[2]
-                ahead = next(source, None)
-
-        own = vectors()
-        if asked:
-            yield pa.Table.from_batches(asked), own
-        for _ in own:  # what a cell's queries have not read is passed over
-            pass
+        lists = {c: pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), _one(some.column(c))) for c in ("id", *extra)}
+        matrix = _matrix(some.column("embedding"), some.num_rows) if some.num_rows else np.empty((0, 0))
+        row = pa.RecordBatch.from_arrays([pa.array([matrix.tobytes()], pa.binary()), *lists.values()], names=["vectors", "ids", *extra])
+        held = spark.sparkContext.broadcast(row)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if len(held.value.column("ids")[0]):
+                sliced = (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK))
+                yield from work(held.value, ((_names(b.column("id")), _matrix(b.column("embedding"), b.num_rows)) for b in sliced))
+
+        return slim.mapInArrow(run, schema)
+    of = lambda rows: rows.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    asked, given = of(queries), of(slim)
+    if not given.n:
+        return spark.createDataFrame([], schema)
+    # small tables have smaller blocks, so that all tasks have some
+    size = lambda n, d: max(1, min(BLOCK, max(block, n // 64), PACKED // (8 * max(1, d))))
+    mine, theirs = size(asked.n, asked.d), size(given.n, given.d)
+    left = _blocks(queries, mine, extra).repartition(-(-asked.n // mine))
+    right = _blocks(slim, theirs, []).select(F.col("ids").alias("their_ids"), F.col("vectors").alias("their_vectors")).repartition(-(-given.n * given.d * 8 // PART))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (b.slice(at, 1) for b in batches for at in range(b.num_rows))
+        for _, group in itertools.groupby(rows, lambda r: r.column("number")[0].as_py()):
+            first = next(group)
+            theirs = ((_names(r.column("their_ids").flatten()), r.column("their_vectors")) for r in itertools.chain([first], group))
+            yield from work(first, ((ids, np.frombuffer(v[0].as_buffer()).reshape(len(ids), -1)) for ids, v in theirs))
+
+    return left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(met, schema)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -184,46 +214,76 @@ def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
 
 
+def _own(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """A block's ids and matrix."""
+    ids = _names(row.column("ids").flatten())
+    return ids, np.frombuffer(row.column("vectors")[0].as_buffer()).reshape(len(ids), -1)
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row-wise products to 12 places, summed in order as ``dot`` and the SQL do: what a product of matrices makes of the last bits decides nothing."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return _exact(total)
+
+
+def _margin(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far apart a row's product by matrices and one in order to 12 places may be."""
+    lengths = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max(initial=0)
+    return 1e-12 + 4e-16 * (a.shape[1] + 2) * lengths
+
+
 def search_all(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """The k best of all rows for each query row, itself excluded: (query_id, id, score, rank).
 
     Both sides are (id, embedding), with ids of one type; an id is one row of its side. Blocks of
-    both sides meet in tasks (``_cells``), which multiply matrices and keep k rows a query; one
+    both sides meet in tasks (``_crossed``), which multiply matrices and keep k rows a query; one
     window merges those partial lists. Scores are ranked to 12 places and shown to 6.
     """
     checked_k(k)
     kind = vectors.schema["id"].dataType
     arrow = to_arrow_type(kind)
-
-    def run(cells: Iterator[tuple[pa.Table, Iterator[pa.RecordBatch]]]) -> Iterator[pa.RecordBatch]:
-        for asked, batches in cells:
-            if asked.num_rows:
-                yield from _best(batches, np.array(asked.column("id").to_pylist()), _matrix(asked.column("embedding"), asked.num_rows), k, arrow)
-
-    partial = _cells(queries.select("id", "embedding"), vectors, block, run, f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double")
+    partial = _crossed(queries.select("id", "embedding"), vectors, block, lambda row, given: _best(given, *_own(row), k, arrow), f"query_id {kind.simpleString()}, id {kind.simpleString()}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("score", rounded(F.col("score")))
 
 
-def _best(batches: Iterator[pa.RecordBatch], own: np.ndarray, matrix: np.ndarray, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """The k best rows for each query: a running list that each batch is merged into."""
-    held: list[tuple[np.ndarray, np.ndarray]] = [(own[:0], np.empty(0))] * len(own)
-    for batch in batches:
-        ids = np.array(batch.column("id").to_pylist())
-        if not len(ids):
+def _best(given: Iterator[tuple[np.ndarray, np.ndarray]], own: np.ndarray, matrix: np.ndarray, k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The k best rows for each query: running lists that each block's better rows are merged into."""
+    rows, ids, scores = np.empty(0, np.int64), own[:0], np.empty(0)  # the lists, sorted by row, score and id
+    least = np.full(len(own), -np.inf)  # the k-th best score so far
+    for names, theirs in given:
+        if not len(names):
             continue
-        scores = _exact(matrix @ _matrix(batch.column("embedding"), len(ids)).T)
-        scores[own[:, None] == ids] = -np.inf
-        least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(own), -np.inf)
-        for q in range(len(own)):
-            near = np.flatnonzero((scores[q] >= least[q]) & (scores[q] > -np.inf))
-            some, found = np.concatenate((held[q][0], ids[near])), np.concatenate((held[q][1], scores[q, near]))
-            order = np.lexsort((some, -found))[:k]
-            held[q] = some[order], found[order]
-    sizes = [len(s) for _, s in held]
-    if sum(sizes):
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes).tolist(), kind), pa.array(np.concatenate([i for i, _ in held if len(i)]).tolist(), kind), pa.array(np.concatenate([s for _, s in held]))], names=["query_id", "id", "score"])
+        found, slack = matrix @ theirs.T, _margin(matrix, theirs)
+        shared = np.flatnonzero(np.isin(names, own))
+        if len(shared):
+            part = found[:, shared]
+            part[own[:, None] == names[shared][None]] = -np.inf
+            found[:, shared] = part
+        bar = least
+        if not np.isfinite(least).all() and len(names) > k:
+            bar = np.maximum(least, np.partition(found, -k, axis=1)[:, -k] - slack)
+        q, at = np.nonzero(found >= (bar - slack)[:, None])
+        keep = found[q, at] > -np.inf
+        q, at = q[keep], at[keep]
+        if not len(q):
+            continue
+        exact = np.concatenate([_in_order(matrix[q[i : i + CHUNK]], theirs[at[i : i + CHUNK]]) for i in range(0, len(q), CHUNK)])
+        touched = np.zeros(len(own), bool)
+        touched[q] = True
+        old = touched[rows]
+        r, n, s = np.concatenate((rows[old], q)), np.concatenate((ids[old], names[at])), np.concatenate((scores[old], exact))
+        order = np.lexsort((n, -s, r))
+        r, n, s = r[order], n[order], s[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, n, s, place = (v[place < k] for v in (r, n, s, place))
+        least[r[place == k - 1]] = s[place == k - 1]
+        rows, ids, scores = (np.concatenate((v[~old], w)) for v, w in ((rows, r), (ids, n), (scores, s)))
+    if len(rows):
+        yield pa.RecordBatch.from_arrays([pa.array(own[rows].tolist(), kind), pa.array(ids.tolist(), kind), pa.array(scores)], names=["query_id", "id", "score"])
 
 
 def target_ranks(targets: DataFrame, vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -231,24 +291,29 @@ def target_ranks(targets: DataFrame, vectors: DataFrame, block: int = BLOCK) ->
 
     ``targets`` is (id, embedding, target_id, target_embedding); its ids are the queries'. The
     rank is one more than the rows of a higher score, or of the same and a smaller id. Blocks of
-    both sides meet as in ``search_all``; what is shuffled after that is a count a query and cell.
+    both sides meet as in ``search_all``; what is shuffled after that is a count a query and part.
     """
     kind = targets.schema["id"].dataType
     arrow = to_arrow_type(kind)
-
-    def run(cells: Iterator[tuple[pa.Table, Iterator[pa.RecordBatch]]]) -> Iterator[pa.RecordBatch]:
-        for asked, batches in cells:
-            count = asked.num_rows
-            if not count:
+    # the score to beat, as ``dot`` has it
+    goals = targets.select("id", "embedding", "target_id", exact_score(dot(F.col("embedding"), F.col("target_embedding"))).alias("goal"))
+
+    def run(row: pa.RecordBatch, given: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        _, matrix = _own(row)
+        ids, goal = _names(row.column("target_id").flatten()), row.column("goal").flatten().to_numpy(zero_copy_only=False)
+        better = np.zeros(len(goal), np.int64)
+        for names, theirs in given:
+            if not len(names):
                 continue
-            matrix, goal = _matrix(asked.column("embedding"), count), _matrix(asked.column("target_embedding"), count)
-            ids, scores, better = np.array(asked.column("target_id").to_pylist())[:, None], _exact((matrix * goal).sum(1))[:, None], np.zeros(count, np.int64)
-            for batch in batches:
-                names = np.array(batch.column("id").to_pylist())
-                if len(names):
-                    found = _exact(matrix @ _matrix(batch.column("embedding"), len(names)).T)
-                    better += ((found > scores) | ((found == scores) & (names[None] < ids))).sum(1)
-            yield pa.RecordBatch.from_arrays([asked.column("id").combine_chunks().cast(arrow), pa.array(better)], names=["query_id", "n"])
-
-    counts = _cells(targets.select("id", "embedding", "target_id", "target_embedding"), vectors, block, run, f"query_id {kind.simpleString()}, n long")
+            found, slack = matrix @ theirs.T, 2 * _margin(matrix, theirs)
+            better += (found > (goal + slack)[:, None]).sum(1)
+            q, at = np.nonzero((found >= (goal - slack)[:, None]) & (found <= (goal + slack)[:, None]))  # too near to tell
+            for i in range(0, len(q), CHUNK):
+                one, other = q[i : i + CHUNK], at[i : i + CHUNK]
+                exact = _in_order(matrix[one], theirs[other])
+                over = (exact > goal[one]) | ((exact == goal[one]) & (names[other] < ids[one]))
+                better += np.bincount(one[over], minlength=len(goal))
+        yield pa.RecordBatch.from_arrays([row.column("ids").flatten().cast(arrow), pa.array(better)], names=["query_id", "n"])
+
+    counts = _crossed(goals, vectors, block, run, f"query_id {kind.simpleString()}, n long")
     return counts.groupBy("query_id").agg((F.sum("n") + 1).alias("rank"))

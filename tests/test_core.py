@@ -471,6 +471,31 @@ def test_search_of_many_queries_against_brute_force(spark):
     assert search.search_all(frame.limit(0), frame, 3).count() == 0
 
 
+def test_blocks_of_both_sides_are_stored_once(spark):
+    """No row is copied for the blocks that it meets, and lists and ranks of many blocks equal sums in order."""
+    draw = np.random.default_rng(7)
+    data = draw.standard_normal((700, 24)).astype(np.float32)
+    data[350:] = data[:350]  # every vector twice
+    frame = spark.createDataFrame(list(enumerate(data.tolist())), "id long, embedding array<float>").repartition(3)
+    goals = frame.selectExpr("id", "embedding", "id * 13 % 700 AS target_id").join(frame.selectExpr("id AS target_id", "embedding AS target_embedding"), "target_id")
+    near, ranks = search.search_all(frame, frame, 4, block=50), search.target_ranks(goals, frame, block=50)
+    for made in (near, ranks):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate" not in plan
+    wide = data.astype(float)
+    total = np.zeros((700, 700))
+    for i in range(24):
+        total += wide[:, None, i] * wide[None, :, i]
+    scores, got = np.floor(total * 1e12 + 0.5) / 1e12, {}
+    for r in near.collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    for q in range(700):
+        assert [got[q][k] for k in range(1, 5)] == sorted((i for i in range(700) if i != q), key=lambda i: (-scores[q, i], i))[:4]
+    for r in ranks.collect():
+        t = r.query_id * 13 % 700
+        assert r["rank"] == 1 + int(((scores[r.query_id] > scores[r.query_id, t]) | ((scores[r.query_id] == scores[r.query_id, t]) & (np.arange(700) < t))).sum())
+
+
 # ---------------------------------------------------------------- evaluation
 
 
